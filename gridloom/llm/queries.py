@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, secrets
+from . import fingerprints, langid, mixing, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,3 +38,49 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_next(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pii.pseudonymise(docs, key="corpus-key-1")
+    return done.select("doc_id", "text", *pii.counted(done))
+
+
+@_query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.plan(mixing.sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op4_mix_sources"] = r"""
+WITH items AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM items GROUP BY source
+), weighed AS (
+  SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM sources
+), filled AS (
+  SELECT *, row_number() OVER o AS position,
+         (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, rank)
+), leveled AS (
+  SELECT *, cap / weight <= level AS is_full FROM filled
+), targets AS (
+  SELECT *, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE weight * (SELECT min_by(level, position) FROM leveled WHERE NOT is_full) END AS target FROM leveled
+), streams AS (
+  SELECT i.*, t.rank, t.source_size, t.target,
+         sum(size) OVER (PARTITION BY i.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM items i JOIN targets t ON i.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, CASE WHEN target > 0 THEN CAST(cum + c * source_size AS DOUBLE) / target ELSE 0 END AS finish
+  FROM streams CROSS JOIN (VALUES (0), (1)) AS v(c)
+), queued AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, rank, c, k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM copies
+)
+SELECT doc_id, CAST(any_value(size) AS BIGINT) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       CAST(coalesce(sum(size) FILTER (WHERE spent <= (SELECT sum(size) * 1.5 FROM items)), 0) AS BIGINT) AS taken
+FROM queued GROUP BY doc_id, source, k
+"""
