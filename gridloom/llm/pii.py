@@ -30,6 +30,11 @@ MAY = r"@|[0-9][0-9 ()./-]{5,}"
 _DAY_SPLIT, _FIRST_DAY = (189, 773), "1800-01-01"
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def _prf(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 512)
 
@@ -40,6 +45,10 @@ def _steps(back: bool) -> Column:
 
 def _shifted(s: Column, hexes: Column, alphabet: str, back: bool) -> Column:
     """Adds (or takes away) pseudorandom digits to the symbols of s, modulo the alphabet's size."""
+    return F.when(F.length(s) == 0, F.lit("")).otherwise(_let(hexes, lambda h: _shifted_by(s, h, alphabet, back)))
+
+
+def _shifted_by(s: Column, hexes: Column, alphabet: str, back: bool) -> Column:
     base = len(alphabet)
 
     def one(j: Column) -> Column:
@@ -48,11 +57,15 @@ def _shifted(s: Column, hexes: Column, alphabet: str, back: bool) -> Column:
         y = F.pmod(x - byte if back else x + byte, F.lit(base))
         return F.substring(F.lit(alphabet), y + 1, F.lit(1))
 
-    return F.when(F.length(s) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0))), one), ""))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.length(s) - 1), one), "")
 
 
 def permuted_string(s: Column, alphabet: str, key: str, tweak: Column, back: bool = False) -> Column:
     """Feistel network over strings of an alphabet, of any length."""
+    return _let(F.struct(s.alias("s"), tweak.alias("t")), lambda x: _permuted_string(x["s"], alphabet, key, x["t"], back))
+
+
+def _permuted_string(s: Column, alphabet: str, key: str, tweak: Column, back: bool) -> Column:
     half = F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substring(s, F.lit(1), half).alias("l"), F.substring(s, half + 1, F.length(s)).alias("r"))
 
@@ -89,6 +102,10 @@ def _only(s: Column, what: str) -> Column:
 
 def _refilled(shape: Column, what: str, symbols: Column) -> Column:
     """shape with its characters of class `what` replaced by the symbols in order; capitals stay capitals."""
+    return _let(F.struct(shape.alias("shape"), symbols.alias("symbols")), lambda x: _refilled_with(x["shape"], what, x["symbols"]))
+
+
+def _refilled_with(shape: Column, what: str, symbols: Column) -> Column:
 
     def one(i: Column) -> Column:
         c = F.substring(shape, i, F.lit(1))
@@ -111,14 +128,22 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
 
 def _email(m: Column, key: str, back: bool) -> Column:
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    letters, digits = F.lower(_only(local, "A-Za-z")), _only(local, "0-9")
-    if back:
-        digits = permuted_string(digits, DIGITS, key, F.concat(F.lit("n"), letters), True)
-        letters = permuted_string(letters, LETTERS, key, F.concat(F.lit("a"), digits), True)
-    else:
-        new = permuted_string(letters, LETTERS, key, F.concat(F.lit("a"), digits))
-        letters, digits = new, permuted_string(digits, DIGITS, key, F.concat(F.lit("n"), new))
-    return F.concat(_refilled(_refilled(local, "A-Za-z", letters), "0-9", digits), F.lit("@"), domain)
+
+    def filled(letters: Column, digits: Column) -> Column:
+        return F.concat(_refilled(_refilled(local, "A-Za-z", letters), "0-9", digits), F.lit("@"), domain)
+
+    def by_letters(letters: Column, digits: Column) -> Column:
+        return permuted_string(digits, DIGITS, key, F.concat(F.lit("n"), letters), back)
+
+    def by_digits(letters: Column, digits: Column) -> Column:
+        return permuted_string(letters, LETTERS, key, F.concat(F.lit("a"), digits), back)
+
+    def changed(x: Column) -> Column:
+        if back:
+            return _let(by_letters(x["a"], x["n"]), lambda n: filled(by_digits(x["a"], n), n))
+        return _let(by_digits(x["a"], x["n"]), lambda a: filled(a, by_letters(a, x["n"])))
+
+    return _let(F.struct(F.lower(_only(local, "A-Za-z")).alias("a"), _only(local, "0-9").alias("n")), changed)
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
@@ -128,20 +153,25 @@ def _phone(m: Column, key: str, back: bool) -> Column:
 
 
 def _card(m: Column, key: str, back: bool) -> Column:
-    digits = _only(m, "0-9")
-    body = permuted_string(F.substring(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, F.lit("card"), back)
-    check = F.pmod(-_luhn_sum(body, 0), F.lit(10)).cast("string")
-    return F.when(F.pmod(_luhn_sum(digits, 1), F.lit(10)) == 0, _refilled(m, "0-9", F.concat(body, check)))
+    def changed(digits: Column) -> Column:
+        body = permuted_string(F.substring(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, F.lit("card"), back)
+        checked = _let(body, lambda b: F.concat(b, F.pmod(-_luhn_sum(b, 0), F.lit(10)).cast("string")))
+        return F.when(F.pmod(_luhn_sum(digits, 1), F.lit(10)) == 0, _refilled(m, "0-9", checked))
+
+    return _let(_only(m, "0-9"), changed)
 
 
 def _ssn(m: Column, key: str, back: bool) -> Column:
     area, group, serial = (F.substring(m, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     index = (F.when(area > 666, area - 2).otherwise(area - 1) * 99 + group - 1).cast("long") * 9999 + serial - 1
-    new = permuted_number(index, 898 * 99, 9999, key, "ssn", back)
-    a = F.floor(new / (99 * 9999)).cast("int")
-    parts = F.when(a > 664, a + 2).otherwise(a + 1), F.pmod(F.floor(new / 9999), F.lit(99)).cast("int") + 1, F.pmod(new, F.lit(9999)).cast("int") + 1
-    return F.when(valid, F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in zip(parts, (3, 2, 4), strict=True)]))
+
+    def shown(new: Column) -> Column:
+        a = F.floor(new / (99 * 9999)).cast("int")
+        parts = F.when(a > 664, a + 2).otherwise(a + 1), F.pmod(F.floor(new / 9999), F.lit(99)).cast("int") + 1, F.pmod(new, F.lit(9999)).cast("int") + 1
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in zip(parts, (3, 2, 4), strict=True)])
+
+    return F.when(valid, _let(permuted_number(index, 898 * 99, 9999, key, "ssn", back), shown))
 
 
 def _date(m: Column, key: str, back: bool) -> Column:
@@ -167,20 +197,25 @@ def _ip(m: Column, key: str, back: bool) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     valid = F.forall(octets, lambda x: x < 256)
     value = F.aggregate(octets, F.expr("0L"), lambda a, x: a * 256 + x)
-    new = permuted_number(value, 65536, 65536, key, "ip", back)
-    parts = [F.pmod(F.shiftright(new, 8 * i), F.lit(256).cast("long")).cast("string") for i in (3, 2, 1, 0)]
-    return F.when(valid, F.concat_ws(".", *parts))
+
+    def shown(new: Column) -> Column:
+        return F.concat_ws(".", *[F.pmod(F.shiftright(new, 8 * i), F.lit(256).cast("long")).cast("string") for i in (3, 2, 1, 0)])
+
+    return F.when(valid, _let(permuted_number(value, 65536, 65536, key, "ip", back), shown))
 
 
 _MAKERS = {"email": _email, "phone": _phone, "card": _card, "ssn": _ssn, "date": _date, "ip": _ip}
 
 
+def _hit(kind: str, m: Column):
+    return lambda new: F.struct(F.when(new.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(new, m).alias("new"))
+
+
 def _replaced(m: Column, key: str, back: bool) -> Column:
     """A struct of the kind of a match (null if it isn't valid) and its replacement."""
     out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new"))
     for kind in reversed(KINDS):
-        new = _MAKERS[kind](m, key, back)
-        hit = F.struct(F.when(new.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(new, m).alias("new"))
+        hit = _let(_MAKERS[kind](m, key, back), _hit(kind, m))
         out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), hit).otherwise(out)
     return out
 
