@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, pii, secrets, topk, warc
+from . import fingerprints, langid, mixing, pieces, pii, secrets, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,3 +127,14 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+#: The tokenizer file; the driver reads it and ships the model, whose size is fixed.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.round_trip(docs, pieces.load(PIECE_MODEL))
+    return found.select("doc_id", "n_pieces", "pieces_sha256", "decoded_sha256", "exact")
