@@ -115,3 +115,22 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", "source", common.word_count(F.col(text)).alias("size"))
+
+
+def apply(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies there, 0 to 2. Among rows equal in
+    doc_id, source and text the copies are dealt out one by one."""
+    key = (F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.xxhash64("doc_id", "source", text).alias("_hash"))
+    items = docs.select("doc_id", "source", common.word_count(F.col(text)).alias("size"), *key).where("size > 0")
+    taken = plan(items, **options).groupBy("_id", "_hash").agg(F.count("*").alias("_rows"), F.sum((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
+    taken = common.written(taken.where("_copies > 0"), "mix_copies")
+    bounded = taken.count() <= 1_000_000  # some 60 MB at most; beyond it both sides are shuffled
+    joined = docs.select("*", *key).join(F.broadcast(taken) if bounded else taken, ["_id", "_hash"])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = joined.where("_rows = 1").select(*names, F.col("_copies").alias("_n"))
+    place = F.row_number().over(W.partitionBy("_id", "_hash").orderBy("_hash"))
+    # the r-th of n equal rows gets the r-th share of their copies
+    share = F.floor(place * F.col("_copies") / F.col("_rows")) - F.floor((place - 1) * F.col("_copies") / F.col("_rows"))
+    repeated = joined.where("_rows > 1").select(*names, share.cast("int").alias("_n"))
+    both = once.select(*names, F.col("_n").cast("int").alias("_n")).unionByName(repeated)
+    return both.where("_n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")

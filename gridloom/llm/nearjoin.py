@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -200,9 +200,9 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"list": names, "groups": [table[1][o] for o in own], "sizes": [table[0][o] for o in own]})
 
 
-def _alike(a: str, b: str):
+def _alike(a: str, b: str) -> Column:
     """Whether sizes allow the threshold."""
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
+    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
 def _leaders(lists: DataFrame) -> DataFrame:
@@ -289,15 +289,16 @@ def _across(rows: DataFrame) -> DataFrame:
     return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
 
 
-def link(docs: DataFrame, chars: int = 8_000_000) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs: its set's size, and the smallest doc_id
-    that links reach from it.
+def _key(names: tuple[str, str, str] = ("none", "doc_id", "text_hash")) -> list[Column]:
+    """What tells rows apart: whether doc_id is null, doc_id or 0, and a hash of the text."""
+    return [F.col("doc_id").isNull().alias(names[0]), F.coalesce("doc_id", F.lit(0)).cast("long").alias(names[1]), F.xxhash64("text").alias(names[2])]
 
-    Null and empty texts have empty sets, which link with nothing, so their component is their own doc_id.
-    Rows that repeat a doc_id are nodes of their own; a null doc_id is never the smallest, and a
-    component without any id has a null one."""
+
+def _resolved(docs: DataFrame, chars: int) -> tuple[DataFrame, DataFrame]:
+    """A node for every row (none, doc_id, text_hash, n, class, grp), and for every class its component's
+    smallest doc_id and first node (class, component_id, first)."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(*_key(), "text")
     buckets = 2 * common.partitions(spark)
     bits = int(min(64, max(40, np.ceil(np.log2(max(1, rows.count()))) + 22)))
     shift = np.uint64(64 - bits)
@@ -329,9 +330,45 @@ def link(docs: DataFrame, chars: int = 8_000_000) -> DataFrame:
     more = _verified(_across(crossing), classes, rows, chars)
     rooted = _rooted(classes, links.unionByName(more))
 
-    least = rooted.groupBy("root").agg(F.min(F.when(~F.col("none"), F.col("doc_id"))).alias("component_id"))
-    named = common.written(rooted.join(least, "root").select("class", "component_id"), "components")
-    alone = nodes.where("n = 0").select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~F.col("none"), F.col("doc_id")).alias("component_id"))
+    node = F.struct("none", "doc_id", "text_hash")
+    least = rooted.groupBy("root").agg(F.min(F.when(~F.col("none"), F.col("doc_id"))).alias("component_id"), F.min(node).alias("first"))
+    return nodes, common.written(rooted.select("class", "root").join(least, "root").select("class", "component_id", "first"), "components")
+
+
+def link(docs: DataFrame, chars: int = 8_000_000) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of docs: its set's size, and the smallest doc_id
+    that links reach from it.
+
+    Null and empty texts have empty sets, which link with nothing, so their component is their own doc_id.
+    Rows that repeat a doc_id are nodes of their own; a null doc_id is never the smallest, and a
+    component without any id has a null one. An empty table gives an empty one."""
+    nodes, named = _resolved(docs, chars)
+    own = F.when(~F.col("none"), F.col("doc_id")).alias("doc_id")
+    size = F.col("n").alias("n_shingles")
+    alone = nodes.where("n = 0").select(own, size, own.alias("component_id"))
     # a class with very many documents makes a skewed join, which Spark splits
     others = nodes.where("n > 0").select("class", "none", "doc_id", "n").join(named, "class")
-    return others.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    return others.select(own, size, "component_id").unionByName(alone)
+
+
+def keep_first(docs: DataFrame, chars: int = 8_000_000) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id (of several texts with that id, the
+    one of the least hash). Rows with an empty set all stay. Of rows equal in doc_id and text one stays."""
+    nodes, named = _resolved(docs, chars)
+    judged = nodes.where("n > 0").select("class", "none", "doc_id", "text_hash").join(named.select("class", "first"), "class")
+    key = F.struct("none", "doc_id", "text_hash")
+    gone = common.written(judged.where(key != F.col("first")).select("none", "doc_id", "text_hash").distinct(), "gone")
+    twice = common.written(judged.where(key == F.col("first")).groupBy("none", "doc_id", "text_hash").count().where("count > 1").drop("count"), "twice")
+    names = [F.col(f"d.`{c}`") for c in docs.columns]
+    keyed = docs.select("*", *_key(("_none", "_id", "_hash"))).alias("d")
+
+    def match(other: DataFrame):
+        return other.alias("o"), (F.col("_none") == F.col("o.none")) & (F.col("_id") == F.col("o.doc_id")) & (F.col("_hash") == F.col("o.text_hash"))
+
+    bounded = gone.count() <= 1_000_000  # some 60 MB at most; beyond it both sides are shuffled
+    left = keyed.join(*match(F.broadcast(gone) if bounded else gone), "left_anti")
+    if twice.isEmpty():
+        return left.select(*names)
+    once = left.join(*match(twice), "left_anti").select(*names)
+    again = left.join(*match(twice), "left_semi").dropDuplicates(["_none", "_id", "_hash"]).select(*names)
+    return once.unionByName(again)
