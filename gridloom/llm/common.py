@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,13 +119,31 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def packed_sorted(values: np.ndarray) -> bytes:
-    """Like packed, for values that never fall: their differences."""
-    return packed(np.diff(values, prepend=np.uint64(0))) if len(values) else packed(values)
+    """Like packed, for values that never fall: the first, and the differences."""
+    return values[:1].astype("<u8").tobytes() + packed(np.diff(values))
 
 
 def unpacked_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data), dtype=np.uint64)
+    if len(data) < 8:
+        return np.empty(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], "<u8"), unpacked(data[8:])]), dtype=np.uint64)
+
+
+def by_bucket(h: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """(bucket, slice) of sorted hashes, dealt out by range."""
+    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    marks = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)]])
+    return [(int(bucket[a]), slice(a, b)) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True) if b > a]
+
 
+def ranged(rows: DataFrame, n: int, column: str = "doc_id", to: str = "home") -> tuple[DataFrame, int]:
+    """rows with the place of their id among n ranges of about as many rows each (nulls in one of their own,
+    the last), and the number of ranges. Only the ids are read for it."""
+    cuts = rows.agg(F.percentile_approx(column, [(i + 1) / n for i in range(n - 1)] or [0.5], 10_000).alias("q")).first()["q"] or []
+    edges = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
+    edges = edges if len(edges) > 2 else [-math.inf, 0.0, math.inf]
+    cut = Bucketizer(splits=edges, inputCol="_as_double", outputCol="_range", handleInvalid="keep")
+    placed = cut.transform(rows.withColumn("_as_double", F.col(column).cast("double")))
+    home = F.when(F.col(column).isNull(), F.lit(len(edges) - 1)).otherwise(F.col("_range")).cast("int")
+    return placed.withColumn(to, home).drop("_as_double", "_range"), len(edges)
 
-def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

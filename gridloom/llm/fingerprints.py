@@ -11,12 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,13 +119,10 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = buckets or common.partitions(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    edges = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
-    edges = edges if len(edges) > 2 else [-math.inf, 0.0, math.inf]
-    cut = Bucketizer(splits=edges, inputCol="as_double", outputCol="b", handleInvalid="keep")
-    placed = cut.transform(rows.withColumn("as_double", F.col("doc_id").cast("double")))
+    placed, homes = common.ranged(rows, n, to="range")
     # the largest ids come first, and rows without an id last
-    placed = placed.select((F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(F.lit(len(edges) - 2) - F.col("b"))).cast("int").alias("bucket"), "doc_id", "text")
+    last = F.when(F.col("doc_id").isNull(), F.lit(homes)).otherwise(F.lit(homes) - 1 - F.col("range"))
+    placed = placed.select(last.cast("int").alias("bucket"), "doc_id", "text")
     heads = placed.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).orderBy("bucket").collect()
     order = [r["bucket"] for r in heads]
     follows = [(a, b) for a, b in zip([order[-1], *order[:-1]], order, strict=True)] if order else []

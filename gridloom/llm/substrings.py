@@ -1,11 +1,11 @@
 """Substring deduplication: word windows that occur earlier in the corpus are removed.
 
-Every window of a fixed number of words gets a Rabin-Karp hash. A task sorts the hashes of a block of
-documents and keeps each hash's first window; the later ones are known to be repeats at once. What is
-left is dealt out by hash range, so a frequent window costs a row per block and no more; there the
-earliest window of each hash stays and the other blocks' windows are repeats too. Repeats go back to
-their documents and merge into maximal intervals. Hashes have 64 bits: among n different windows about
-n**2 / 2**65 pairs collide.
+Every window of a fixed number of words gets a Rabin-Karp hash. Documents are dealt out by id into blocks,
+ranges that follow each other. A block sorts its hashes and keeps the first window of each; its later ones
+are repeats. The hashes that are left, a few bytes each and a frequent one once per block, are dealt out by
+value; there each hash stays with its first block, and every other block is told, a bit a hash, that its
+own is a repeat. The block makes its hashes again and merges all repeats into maximal intervals. Hashes
+have 64 bits: among n different windows about n**2 / 2**65 pairs collide.
 """
 
 from __future__ import annotations
@@ -22,80 +22,62 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH = 20
-_CHUNK = "bucket int, is_done boolean, home int, docs binary, counts binary, hashes binary, owners binary, starts binary"
-_DOC = np.dtype([("none", "?"), ("id", "<i8"), ("text", "<u8"), ("home", "<i4")])
-
-
-def _block(docs: np.ndarray, words: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document (its place in docs) and start of every window, in the documents' order."""
-    n = np.array([len(w) for w in words])
-    flat = np.concatenate(words) if len(words) else np.empty(0, np.uint64)
-    h = common.window_hashes(flat, width)
-    ends = np.cumsum(n)
-    owner = np.repeat(np.arange(len(docs)), n)[: len(h)]
-    at = np.arange(len(h))
-    inside = at + width <= ends[owner] if len(h) else np.zeros(0, bool)
-    return h[inside], owner[inside], (at - (ends - n)[owner])[inside]
-
-
-def _replies(docs: np.ndarray, owner: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Repeats by home block: (home, documents, repeats of each, their starts)."""
-    order = np.lexsort((starts, owner, docs["home"][owner]))
-    owner, starts = owner[order], starts[order]
-    home = docs["home"][owner]
-    for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(home)) + 1):
-        if len(part):
-            own, n = np.unique(owner[part], return_counts=True)
-            yield int(home[part[0]]), docs[own].tobytes(), common.packed(n.astype(np.uint64)), common.packed(starts[part].astype(np.uint64))
-
-
-def _chunks(pdf: pd.DataFrame, hashes: common.WordHashes, width: int, buckets: int) -> Iterator[dict]:
-    """What one block of documents sends: first windows by bucket, and repeats that it knows itself."""
-    texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
-    docs = np.zeros(len(pdf), _DOC)
-    docs["none"], docs["id"], docs["home"] = pdf["none"], pdf["doc_id"], pdf["home"]
-    docs["text"] = [xxhash.xxh3_64_intdigest(t) for t in texts]
-    # a row that repeats another's id and text is the same document
-    docs, first = np.unique(docs, return_index=True)
-    words = [hashes.of(texts[i].split()) for i in first]
-    h, owner, start = _block(docs, words, width)
-    if not len(h):
-        return
+
+
+class Block:
+    """The documents of a range of ids in order, and their windows sorted by hash and place."""
+
+    def __init__(self, pdf: pd.DataFrame, width: int):
+        self.width = width
+        raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
+        key = np.zeros(len(pdf), [("none", "?"), ("id", "<i8"), ("text", "<u8")])
+        key["none"], key["id"], key["text"] = pdf["none"], pdf["doc_id"], [xxhash.xxh3_64_intdigest(t) for t in raw]
+        # a row that repeats another's id and text is the same document
+        self.docs, first, self.place = np.unique(key, return_index=True, return_inverse=True)
+        self.words = [raw[i].split() for i in first]
+        hashes = common.WordHashes()
+        n = np.array([len(w) for w in self.words])
+        h = common.window_hashes(hashes.of([w for x in self.words for w in x]), width)
+        ends = np.cumsum(n)
+        owner = np.repeat(np.arange(len(n)), n)[: len(h)]
+        at = np.arange(len(h))
+        inside = at + width <= ends[owner] if len(h) else np.zeros(0, bool)
+        h, owner, start = h[inside], owner[inside], (at - (ends - n)[owner])[inside] if len(h) else at
+        order = np.argsort(h, kind="stable")
+        self.h, self.owner, self.start = h[order], owner[order], start[order]
+        self.is_first = np.ones(len(h), bool)
+        self.is_first[1:] = self.h[1:] != self.h[:-1]
+
+    def firsts(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """The block's different hashes by bucket."""
+        h = self.h[self.is_first]
+        for bucket, part in common.by_bucket(h, buckets):
+            yield bucket, common.packed_sorted(h[part])
+
+    def repeats(self, buckets: int, told: dict[int, bytes]) -> Iterator[np.ndarray]:
+        """The starts of each document's repeated windows; told has by bucket which hashes occur in an earlier block."""
+        gone = ~self.is_first
+        places = np.flatnonzero(self.is_first)
+        for bucket, part in common.by_bucket(self.h[places], buckets):
+            if bucket in told:
+                own = places[part]
+                gone[own] = np.unpackbits(np.frombuffer(told[bucket], np.uint8), count=len(own)).astype(bool)
+        owner, start = self.owner[gone], self.start[gone]
+        order = np.argsort(owner, kind="stable")
+        yield from np.split(start[order], np.cumsum(np.bincount(owner, minlength=len(self.docs)))[:-1])
+
+
+def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For the blocks of a bucket, which of their hashes an earlier block has; blocks without any are left out."""
+    pdf = pdf.sort_values("home")
+    parts = [common.unpacked_sorted(x) for x in pdf["hashes"]]
+    h = np.concatenate(parts)
     order = np.argsort(h, kind="stable")
-    h, owner, start = h[order], owner[order], start[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    for home, own, n, at in _replies(docs, owner[~new], start[~new]):
-        yield {"bucket": home % buckets, "is_done": True, "home": home, "docs": own, "counts": n, "starts": at}
-    h, owner, start = h[new], owner[new], start[new]
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    for part in np.split(np.arange(len(h)), np.flatnonzero(np.diff(bucket)) + 1):
-        own, place = np.unique(owner[part], return_inverse=True)
-        yield {
-            "bucket": int(bucket[part[0]]), "is_done": False, "docs": docs[own].tobytes(), "hashes": common.packed_sorted(h[part]),
-            "owners": common.packed(place.astype(np.uint64)), "starts": common.packed(start[part].astype(np.uint64)),
-        }
-
-
-def _resolve(pdf: pd.DataFrame) -> Iterator[dict]:
-    """The earliest window of each hash in a bucket stays; the others are repeats."""
-    for row in pdf[pdf["is_done"]].to_dict("records"):
-        yield {k: row[k] for k in ("home", "docs", "counts", "starts")}
-    some = pdf[~pdf["is_done"]]
-    if not len(some):
-        return
-    tables = [np.frombuffer(x, _DOC) for x in some["docs"]]
-    docs, place = np.unique(np.concatenate(tables), return_inverse=True)
-    offset = np.cumsum([0, *map(len, tables)])
-    owner = np.concatenate([place[o + common.unpacked(x).astype(np.int64)] for o, x in zip(offset, some["owners"], strict=False)])
-    h = np.concatenate([common.unpacked_sorted(x) for x in some["hashes"]])
-    start = np.concatenate([common.unpacked(x) for x in some["starts"]]).astype(np.int64)
-    order = np.lexsort((start, owner, h))
-    h, owner, start = h[order], owner[order], start[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (owner != owner[first]) | (start != start[first])  # the same window again comes from a repeated row
-    for home, own, n, at in _replies(docs, owner[later], start[later]):
-        yield {"home": home, "docs": own, "counts": n, "starts": at}
+    later = np.zeros(len(h), bool)
+    later[order[1:]] = h[order[1:]] == h[order[:-1]]
+    flags = np.split(later, np.cumsum([len(x) for x in parts])[:-1])
+    out = [(int(home), int(b), np.packbits(f).tobytes()) for home, b, f in zip(pdf["home"], pdf["bucket"], flags, strict=True) if f.any()]
+    return pd.DataFrame(out, columns=["home", "bucket", "flags"])
 
 
 def merged(starts: np.ndarray, width: int, n_words: int) -> np.ndarray:
@@ -108,60 +90,45 @@ def merged(starts: np.ndarray, width: int, n_words: int) -> np.ndarray:
     return turn.reshape(-1, 2)
 
 
-def _finish(docs: pd.DataFrame, repeats: pd.DataFrame, width: int, texts: bool) -> pd.DataFrame:
-    found: dict[tuple, list[np.ndarray]] = {}
-    for own, counts, starts in zip(repeats["docs"], repeats["counts"], repeats["starts"], strict=True):
-        at = np.split(common.unpacked(starts).astype(np.int64), np.cumsum(common.unpacked(counts).astype(np.int64))[:-1])
-        for d, s in zip(np.frombuffer(own, _DOC).tolist(), at, strict=True):
-            found.setdefault(d[:3], []).append(s)
-    out = []
-    for none, doc_id, text in zip(docs["none"], docs["doc_id"], docs["text"], strict=True):
-        raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-        words = raw.split()
-        starts = found.get((bool(none), int(doc_id), xxhash.xxh3_64_intdigest(raw)))
-        gone = merged(np.concatenate(starts), width, len(words)) if starts else np.empty((0, 2), np.int64)
+def _finish(block: Block, told: dict[int, bytes], buckets: int, texts: bool) -> pd.DataFrame:
+    done = []
+    for key, words, starts in zip(block.docs, block.words, block.repeats(buckets, told), strict=True):
+        gone = merged(starts, block.width, len(words)) if len(starts) else np.empty((0, 2), np.int64)
         kept, at = [], 0
         for a, b in gone.tolist():
             kept += words[at:a]
             at = b
         kept += words[at:]
         joined = b" ".join(kept)
-        row = [None if none else int(doc_id), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), gone.reshape(-1).tolist()]
-        out.append([*row, joined.decode("utf-8", "surrogatepass")] if texts else row)
+        row = [None if key["none"] else int(key["id"]), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), gone.reshape(-1).tolist()]
+        done.append([*row, joined.decode("utf-8", "surrogatepass")] if texts else row)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed", *(["kept"] if texts else [])]
-    return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+    return pd.DataFrame([done[i] for i in block.place.reshape(-1)], columns=names).astype({"doc_id": "Int64"})
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False, block_words_chars: int = 8_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False, blocks: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed (starts and ends of the intervals, flattened) for
     every row of docs; with texts=True also the kept text.
 
     A window is removed if its words also start earlier, in a smaller doc_id or further ahead in the same
     document. Null and empty texts have no words. Rows without doc_id come after all others; documents of
-    one id are ordered by a hash of their text; rows equal in both are one document, each with its result."""
+    one id are ordered by a hash of their text; rows equal in both are one document, each with its result.
+    Ids should be spread: the rows of one id make part of one block."""
     spark = docs.sparkSession
-    buckets = homes = 4 * common.partitions(spark)
-    rows = docs.select(
-        F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text",
-        F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int").alias("home"),
-    )
+    n = blocks or 2 * common.partitions(spark)
+    placed, _ = common.ranged(docs.select("doc_id", "text"), n)
+    rows = placed.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", "home")
+    buckets = n
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = common.WordHashes()
-        names = [c.split()[0] for c in _CHUNK.split(", ")]
-        for batch in batches:
-            for pdf in common.slices(batch, "text", block_words_chars):
-                found = list(_chunks(pdf, hashes, width, buckets))
-                yield pd.DataFrame(found, columns=names).astype({"home": "Int32"})
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = list(Block(pdf, width).firsts(buckets))
+        return pd.DataFrame({"bucket": [b for b, _ in out], "home": int(pdf["home"].iloc[0]), "hashes": [x for _, x in out]})
 
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_resolve(pdf)), columns=["home", "docs", "counts", "starts"])
+    def finish(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        return _finish(Block(own, width), dict(zip(told["bucket"].tolist(), told["flags"], strict=True)), buckets, texts)
 
-    sent = rows.mapInPandas(send, _CHUNK)
-    repeats = sent.groupBy("bucket").applyInPandas(resolve, "home int, docs binary, counts binary, starts binary")
+    # both uses read one shuffle of the texts
+    sent = rows.groupBy("home").applyInPandas(send, "bucket int, home int, hashes binary")
+    told = sent.groupBy("bucket").applyInPandas(_resolve, "home int, bucket int, flags binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<long>" + (", kept string" if texts else "")
-
-    def finish(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        return _finish(own, found, width, texts)
-
-    return rows.groupBy("home").cogroup(repeats.groupBy("home")).applyInPandas(finish, schema)
+    return rows.groupBy("home").cogroup(told.groupBy("home")).applyInPandas(finish, schema)
