@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import common, components
 
 SHINGLE, PERCENT = 5, 80
-#: Frequent shingles that travel with the tasks: 16 MB at most.
-HOT_LIMIT = 2_000_000
+#: Frequent shingles that travel with the tasks: 8 MB at most.
+HOT_LIMIT = 1_000_000
 _SHORT = np.uint64(0xA24BAED4963EE407)
 #: Sets are compared by 48 bits of each hash.
 _SET_SHIFT = np.uint64(16)
@@ -63,13 +63,6 @@ def _blocks(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[pd.DataFram
         yield from common.slices(batch, "text", chars)
 
 
-def _by_bucket(h: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, places) of sorted hashes, dealt out by range."""
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    parts = np.split(np.arange(len(h)), np.flatnonzero(np.diff(bucket)) + 1)
-    return [(int(bucket[p[0]]), p) for p in parts if len(p)]
-
-
 def frequent(docs: DataFrame, bits: int, chars: int, limit: int = HOT_LIMIT) -> np.ndarray:
     """Truncated hashes, sorted, of the shingles that most documents hold: all of a document frequency of at
     least t, the least t from 3 on by which they are `limit` at most. They only order the shingles, so
@@ -82,7 +75,7 @@ def frequent(docs: DataFrame, bits: int, chars: int, limit: int = HOT_LIMIT) ->
         hashes = common.WordHashes()
         for pdf in _blocks(batches, chars):
             h, n = np.unique(shingles(list(pdf["text"]), hashes)[0], return_counts=True)
-            rows = [{"bucket": b, "h": common.packed_sorted(h[p] >> shift), "n": common.packed(n[p].astype(np.uint64))} for b, p in _by_bucket(h, buckets)]
+            rows = [{"bucket": b, "h": common.packed_sorted(h[p] >> shift), "n": common.packed(n[p].astype(np.uint64))} for b, p in common.by_bucket(h, buckets)]
             yield pd.DataFrame(rows, columns=["bucket", "h", "n"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,22 +85,34 @@ def frequent(docs: DataFrame, bits: int, chars: int, limit: int = HOT_LIMIT) ->
         h, n = h[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         h, n = h[first], np.add.reduceat(n, first)
-        return pd.DataFrame({"h": h[n >= 3].view(np.int64), "df": n[n >= 3]})
+        some = n >= 3
+        return pd.DataFrame({"h": [common.packed_sorted(h[some])], "n": [common.packed(n[some].astype(np.uint64))]})
+
+    def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            df, n = np.unique(np.concatenate([common.unpacked(x) for x in pdf["n"]]), return_counts=True)
+            yield pd.DataFrame({"df": df.astype(np.int64), "n": n})
 
-    counted = docs.select("text").mapInPandas(count, "bucket int, h binary, n binary").groupBy("bucket").applyInPandas(total, "h long, df long")
+    counted = docs.select("text").mapInPandas(count, "bucket int, h binary, n binary").groupBy("bucket").applyInPandas(total, "h binary, n binary")
     counted = common.written(counted, "shingle_counts")
-    # document frequencies fall off fast: their distinct values are few
-    levels = counted.groupBy("df").count().orderBy(F.col("df").desc()).limit(100_000).collect()
+    # most frequencies are low, so their distinct values are few; those beyond the limit can't be asked for
+    most = counted.mapInPandas(levels, "df long, n long").groupBy("df").agg(F.sum("n").alias("n")).orderBy(F.col("df").desc()).limit(100_000).collect()
     least, room = None, limit
-    for row in levels:
-        room -= row["count"]
+    for row in most:
+        room -= row["n"]
         if room < 0:
             break
         least = row["df"]
     if least is None:
         return np.empty(0, np.uint64)
-    found = counted.where(F.col("df") >= least).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for h, n in zip(pdf["h"], pdf["n"], strict=True):
+                yield pd.DataFrame({"h": [common.packed_sorted(common.unpacked_sorted(h)[common.unpacked(n) >= least])]})
+
+    found = counted.mapInPandas(chosen, "h binary").collect()
+    return np.sort(np.concatenate([common.unpacked_sorted(bytes(r["h"])) for r in found]))
 
 
 _PASS = "kind int, none boolean, doc_id long, text_hash long, n long, class string, grp long, bucket int, h binary, owners binary, groups binary, sizes binary"
@@ -159,7 +164,7 @@ def _described(pdf: pd.DataFrame, hashes: common.WordHashes, hot: np.ndarray, sh
     order = np.argsort(ph, kind="stable")
     ph, po = ph[order], po[order]
     rows = []
-    for b, p in _by_bucket(ph, buckets):
+    for b, p in common.by_bucket(ph, buckets):
         own, place = np.unique(po[p], return_inverse=True)
         rows.append({
             "bucket": b, "h": common.packed_sorted(ph[p]), "owners": common.packed(place.astype(np.uint64)),
