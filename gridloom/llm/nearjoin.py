@@ -340,7 +340,7 @@ def _resolved(docs: DataFrame, chars: int) -> tuple[DataFrame, DataFrame]:
     return nodes, common.written(rooted.select("class", "root").join(least, "root").select("class", "component_id", "first"), "components")
 
 
-def link(docs: DataFrame, chars: int = 8_000_000) -> DataFrame:
+def link(docs: DataFrame, chars: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs: its set's size, and the smallest doc_id
     that links reach from it.
 
@@ -356,7 +356,7 @@ def link(docs: DataFrame, chars: int = 8_000_000) -> DataFrame:
     return others.select(own, size, "component_id").unionByName(alone)
 
 
-def keep_first(docs: DataFrame, chars: int = 8_000_000) -> DataFrame:
+def keep_first(docs: DataFrame, chars: int = 4_000_000) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id (of several texts with that id, the
     one of the least hash). Rows with an empty set all stay. Of rows equal in doc_id and text one stays."""
     nodes, named = _resolved(docs, chars)

@@ -196,7 +196,7 @@ class _Numbers(dict):
 class Encoder:
     """Encodes texts, remembering the words that it has met."""
 
-    def __init__(self, model: Model, words: int = 250_000):
+    def __init__(self, model: Model, words: int = 160_000):
         self.m, self.limit = model, words
         self.number = _Numbers()
         self.flat, self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -347,7 +347,7 @@ def load(path: str) -> Model:
         return Model(f.read())
 
 
-def encode(docs: DataFrame, model: Model, text: str = "text", chars: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, model: Model, text: str = "text", chars: int = 2_500_000) -> DataFrame:
     """All columns of docs and piece_ids (an array of int; a column of that name is replaced).
 
     Null and empty texts have no pieces; words are encoded wherever they stand alike, so repeated rows get
@@ -378,7 +378,7 @@ def decode(encoded: DataFrame, model: Model, ids: str = "piece_ids", to: str = "
     return kept.mapInPandas(rows, schema)
 
 
-def round_trip(docs: DataFrame, model: Model, text: str = "text", chars: int = 4_000_000) -> DataFrame:
+def round_trip(docs: DataFrame, model: Model, text: str = "text", chars: int = 2_500_000) -> DataFrame:
     """All columns of docs and n_pieces, pieces_sha256 (of the ids joined by blanks), decoded_sha256 (of the
     text that the ids decode to) and exact (whether it is the text, null counting as empty); columns of
     docs with these names are replaced."""
