@@ -5,10 +5,11 @@
 2. A set's prefix is so long that two sets over the threshold share an element of their prefixes.
    Documents of one prefix and size are one group, and a prefix element lists groups, not documents.
    Documents of equal sets are one class.
-3. Group pairs of a list are filtered by size, expanded to classes and verified on the sets. First
-   every class meets one leader of its lists; then, list by list, those that the first links left in
-   different components meet each other. Pairs inside a component can add nothing and are left out,
-   so a list of many copies costs its length and not its square.
+3. Lists are expanded to classes. Those of a short list are compared pair by pair, if sizes allow.
+   Long lists that overlap make a cluster. Its classes are dealt out to parts of bounded size, and an
+   index of a part's elements finds all links inside. Then the classes that are still outside the
+   cluster's largest component, and only they, are held against every other part. So every pair that
+   could join two components is compared, and a cluster of n copies costs about n, not n squared.
 4. Links make components.
 """
 
@@ -26,6 +27,8 @@ from . import common, components
 SHINGLE, PERCENT = 5, 80
 #: Frequent shingles that travel with the tasks: 8 MB at most.
 HOT_LIMIT = 1_000_000
+#: Up to so many classes a list is compared pair by pair; a cluster of longer lists in parts of about PART.
+SHORT_LIST, PART = 8, 400
 _SHORT = np.uint64(0xA24BAED4963EE407)
 #: Sets are compared by 48 bits of each hash.
 _SET_SHIFT = np.uint64(16)
@@ -210,37 +213,9 @@ def _alike(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _leaders(lists: DataFrame) -> DataFrame:
-    """For every member of a list its leader: of the members of at most its size that it may link with, the
-    one with the least group number. (grp, n, leader, leader_n), each member's least only."""
-
-    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for groups, sizes in zip(pdf["groups"], pdf["sizes"], strict=True):
-                queue: list[int] = []  # of places, their groups rising
-                head = 0
-                for i, (g, s) in enumerate(zip(groups.tolist(), sizes.tolist(), strict=True)):
-                    while len(queue) > head and groups[queue[-1]] >= g:
-                        queue.pop()
-                    queue.append(i)
-                    while 100 * sizes[queue[head]] < PERCENT * s:
-                        head += 1
-                    j = queue[head]
-                    if j != i:
-                        out.append((g, s, int(groups[j]), int(sizes[j])))
-            yield pd.DataFrame(out, columns=["grp", "n", "leader", "leader_n"]).drop_duplicates()
-
-    found = lists.select("groups", "sizes").mapInPandas(lead, "grp long, n long, leader long, leader_n long")
-    return found.groupBy("grp", "n").agg(F.min(F.struct("leader", "leader_n")).alias("l")).select("grp", "n", F.col("l.leader").alias("leader"), F.col("l.leader_n").alias("leader_n"))
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, chars: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold. Sets are made from the text of one
-    document of each class that occurs in a pair."""
-    pairs = common.written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = common.written(classes.join(named, "class").select("class", "none", "doc_id", "text_hash"), "candidates")
+def _sets(names: DataFrame, classes: DataFrame, docs: DataFrame, chars: int) -> DataFrame:
+    """(class, set) of the named classes, made from the text of one document of each."""
+    wanted = common.written(classes.join(names.distinct(), "class").select("class", "none", "doc_id", "text_hash"), "candidates")
     if wanted.count() <= 1_000_000:  # some 80 MB at most; beyond it both sides are shuffled
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, ["none", "doc_id", "text_hash"]).select("class", "text")
@@ -254,44 +229,91 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, chars: int)
 
     own = common.written(texts.mapInPandas(sets, "class string, set binary"), "sets")
     seen = own.agg(F.count("class").alias("rows"), F.countDistinct("class").alias("classes")).first()
-    if seen["rows"] > seen["classes"]:  # rows that repeat a document give its class more than once
-        own = common.written(own.dropDuplicates(["class"]), "sets")
-    left = pairs.join(own.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(own.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    # rows that repeat a document give its class more than once
+    return common.written(own.dropDuplicates(["class"]), "sets") if seen["rows"] > seen["classes"] else own
+
+
+def _enough(shared, n, m):
+    return 100 * shared >= PERCENT * (n + m - shared)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
+    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
+    both = left.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             good = []
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
                 u, v = common.unpacked_sorted(x), common.unpacked_sorted(y)
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                good.append(100 * shared >= PERCENT * (len(u) + len(v) - shared))
+                good.append(_enough(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v)))
             yield pdf.loc[np.array(good, bool), ["a", "b"]]
 
     return common.written(both.mapInPandas(check, "a string, b string"), "verified")
 
 
+def _linked(names: list[str], packed: list[bytes], roots: list[str], asks: np.ndarray) -> list[tuple[str, str]]:
+    """Links between the sets that `asks` marks and all others, by counting what each shares with them in an
+    index of their elements. Sets of one root are linked already; of links that close a ring none is returned."""
+    parts = [common.unpacked_sorted(x) for x in packed]
+    n = np.array([len(x) for x in parts])
+    flat, place = np.unique(np.concatenate(parts), return_inverse=True)
+    owner = np.repeat(np.arange(len(n)), n)
+    by_element = owner[np.argsort(place, kind="stable")]
+    count = np.bincount(place, minlength=len(flat))
+    start = np.cumsum(count) - count
+    ends = np.cumsum(n)
+    above: dict[str, str] = {}
+
+    def top(r: str) -> str:
+        while r in above:
+            r = above[r]
+        return r
+
+    found = []
+    for i in np.flatnonzero(asks).tolist():
+        own = place[ends[i] - n[i] : ends[i]]
+        k = count[own]
+        at = np.repeat(start[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        shared = np.bincount(by_element[at], minlength=len(n))
+        for j in np.flatnonzero(_enough(shared, n[i], n)).tolist():
+            x, y = top(roots[i]), top(roots[j])
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                found.append((names[i], names[j]))
+    return found
+
+
+def _frame_of(links: list[tuple[str, str]]) -> pd.DataFrame:
+    return pd.DataFrame(links, columns=["a", "b"], dtype=object)
+
+
+def _local(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All links inside a part of a cluster, but for those that close a ring."""
+    names = pdf["class"].tolist()
+    return _frame_of(_linked(names, pdf["set"].tolist(), names, np.ones(len(pdf), bool)))
+
+
+def _outer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of the classes that ask with those of a part."""
+    return _frame_of(_linked(pdf["class"].tolist(), pdf["set"].tolist(), pdf["root"].tolist(), pdf["asks"].to_numpy(bool)))
+
+
 def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     """classes and the root of their component."""
     roots = components.components(links)
     return common.written(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
 
 
-def _crossing(lists: DataFrame, rooted: DataFrame) -> DataFrame:
-    """(list, class, n, root) of the lists whose groups lie in several components."""
-    of_groups = rooted.select("grp", "root").distinct()
-    members = lists.select("list", F.explode("groups").alias("grp"))
-    roots = members.join(of_groups, "grp").groupBy("list").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    open_lists = common.written(roots.where("least <> most").select("list"), "open_lists")
-    found = members.join(open_lists, "list").join(rooted.select("grp", "class", "n", "root"), "grp")
-    return common.written(found.select("list", "class", "n", "root"), "crossing")
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    """All pairs of a list's classes in different components whose sizes allow a link."""
-    a, b = (rows.select("list", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "root")]) for x in ("a", "b"))
-    both = a.join(b, "list").where((F.col("root_a") < F.col("root_b")) & _alike("n_a", "n_b"))
-    return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+def _clusters(members: DataFrame) -> DataFrame:
+    """(class, cluster, parts, part) of the classes in long lists: lists that share a class make a cluster, and
+    a cluster is dealt out by hash to parts of about PART classes."""
+    least = members.groupBy("list").agg(F.min("class").alias("a"))
+    roots = components.components(members.join(least, "list").select("a", F.col("class").alias("b")))
+    size = roots.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = roots.join(size, "root").select(F.col("node").alias("class"), F.col("root").alias("cluster"), "parts")
+    return common.written(dealt.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")), "clusters")
 
 
 def _key(names: tuple[str, str, str] = ("none", "doc_id", "text_hash")) -> list[Column]:
@@ -322,18 +344,36 @@ def _resolved(docs: DataFrame, chars: int) -> tuple[DataFrame, DataFrame]:
     classes = nodes.where("n > 0").groupBy("class").agg(F.min(F.struct("none", "doc_id", "text_hash")).alias("first"), F.min("grp").alias("grp"), F.min("n").alias("n"))
     classes = common.written(classes.select("class", "first.*", "grp", "n"), "classes")
 
-    heads = common.written(classes.groupBy("grp").agg(F.min("class").alias("head")), "heads")
-    inside = classes.join(heads, "grp").select(F.col("head").alias("a"), F.col("class").alias("b"))
-    leaders = _leaders(lists)
-    between = leaders.join(heads, "grp").select(F.col("head").alias("a"), F.col("leader").alias("grp")).join(heads, "grp").select("a", F.col("head").alias("b"))
-    links = _verified(inside.unionByName(between), classes, rows, chars)
+    # what a list's groups, and a group of several classes, stand for
+    listed = lists.select("list", F.explode("groups").alias("grp")).join(classes.select("grp", "class", "n"), "grp").select("list", "class", "n")
+    several = classes.groupBy("grp").count().where("count > 1").select("grp")
+    grouped = classes.join(several, "grp").select(F.concat(F.lit("g"), F.col("grp").cast("string")).alias("list"), "class", "n")
+    members = common.written(listed.unionByName(grouped), "members")
+    length = common.written(members.groupBy("list").agg((F.count("*") > SHORT_LIST).alias("long")), "lengths")
+    members = common.written(members.join(length, "list"), "members")
+
+    # short lists: every pair; at most SHORT_LIST rows a list meet
+    a, b = (members.where("not long").select("list", F.col("class").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
+    pairs = common.written(a.join(b, "list").where((F.col("a") < F.col("b")) & _alike("n_a", "n_b")).select("a", "b").distinct(), "pairs")
+    # long lists: clusters, whose parts are searched each for itself; some classes of a part also sit in the next
+    clusters = _clusters(members.where("long").select("list", "class"))
+    named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(clusters.select("class"))
+    sets = _sets(named, classes, rows, chars)
+    placed = clusters.join(sets, "class")
+    guests = placed.where((F.col("parts") > 1) & (F.pmod(F.xxhash64("class", F.lit(1)), F.lit(16)) == 0)).withColumn("part", (F.col("part") + 1) % F.col("parts"))
+    inside = placed.unionByName(guests).select("cluster", "part", "class", "set").groupBy("cluster", "part").applyInPandas(_local, "a string, b string")
+    links = common.written(_verified(pairs, sets).unionByName(inside), "links")
     rooted = _rooted(classes, links)
 
-    # groups of several classes are lists too
-    several = classes.groupBy("grp").count().where("count > 1").select(F.concat(F.lit("g"), F.col("grp").cast("string")).alias("list"), F.array("grp").alias("groups"))
-    crossing = _crossing(lists.select("list", "groups").unionByName(several), rooted)
-    more = _verified(_across(crossing), classes, rows, chars)
-    rooted = _rooted(classes, links.unionByName(more))
+    # a pair across components has a class outside the cluster's largest one; those ask in every part
+    wide = clusters.where("parts > 1").join(rooted.select("class", "root"), "class")
+    if not wide.isEmpty():
+        main = wide.groupBy("cluster", "root").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
+        told = common.written(wide.join(main, "cluster"), "told").join(sets, "class")
+        asking = told.where("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(True))
+        both = told.withColumn("asks", F.lit(False)).unionByName(asking).select("cluster", "part", "class", "root", "set", "asks")
+        outer = both.groupBy("cluster", "part").applyInPandas(_outer, "a string, b string")
+        rooted = _rooted(classes, common.written(links.unionByName(outer), "links"))
 
     node = F.struct("none", "doc_id", "text_hash")
     least = rooted.groupBy("root").agg(F.min(F.when(~F.col("none"), F.col("doc_id"))).alias("component_id"), F.min(node).alias("first"))
