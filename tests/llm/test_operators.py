@@ -266,7 +266,7 @@ def test_top_k_is_exact(spark):
         expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
     assert sorted(map(tuple, found)) == expected
     assert topk.search(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-    assert topk.search(vectors.where("vec_id in (0, 404)"), F.col("vec_id") % 50 == 0).count() == 1
+    assert topk.search(vectors.where("vec_id in (0, 404)"), F.col("vec_id") % 50 == 0).count() == 0  # of another length
 
 
 # --- 10 secrets -----------------------------------------------------------------------------------------
