@@ -46,15 +46,19 @@ def block_layout(cells: DataFrame) -> DataFrame:
     return kept.join(number, ["model_id", "sig"]).select("model_id", F.col("p").alias("size"), "br", "bc", "type", "sig")
 
 
+def types_of(layout: DataFrame) -> DataFrame:
+    """(model_id, size, type, sig, count) of a block layout."""
+    return layout.groupBy("model_id", "size", "type", "sig").agg(F.count("*").alias("count"))
+
+
 def block_types(cells: DataFrame) -> DataFrame:
     """(model_id, size, type, sig, count)."""
-    return block_layout(cells).groupBy("model_id", "size", "type", "sig").agg(F.count("*").alias("count"))
+    return types_of(block_layout(cells))
 
 
-def strip_sets(cells: DataFrame, quilts: DataFrame) -> DataFrame:
-    """(model_id, set, sequence, width, needed, per_set, sets): the distinct rows of blocks, numbered by first
-    appearance over (type, row), and how many strips cut across the fabric's width they take."""
-    types = block_types(cells)
+def strip_sets(types: DataFrame, quilts: DataFrame) -> DataFrame:
+    """(model_id, set, sequence, width, needed, per_set, sets): the distinct rows of block types, numbered by
+    first appearance over (type, row), and how many strips cut across the fabric's width they take."""
     row = F.posexplode(F.transform(F.sequence(F.lit(0), F.col("size").cast("int") - 1), lambda i: F.slice(F.split("sig", ","), i * F.col("size").cast("int") + 1, F.col("size").cast("int"))))
     rows = types.select("model_id", "type", "count", row.alias("row", "sequence"))
     sums = rows.groupBy("model_id", "sequence").agg(F.sum("count").alias("needed"), F.min(F.struct("type", "row")).alias("first"))

@@ -261,7 +261,7 @@ def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("strip_sets", _sql([MODELS_CTE, BLOCKS_CTE, SETS_CTE], "SELECT model_id, set, array_to_string(sequence, ' ') AS sequence, width, needed, per_set, sets FROM sets", "set width needed per_set sets"))
 def strip_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = grids.everything(spark)
-    return _plain(structure.strip_sets(m.cells, m.quilts).withColumn("sequence", F.array_join("sequence", " ")))
+    return _plain(structure.strip_sets(structure.block_types(m.cells), m.quilts).withColumn("sequence", F.array_join("sequence", " ")))
 
 
 _LINES = """lines AS (SELECT model_id, 'row' AS axis, r AS i, string_agg(fabric_id, ',' ORDER BY c) AS sig FROM cells GROUP BY ALL
