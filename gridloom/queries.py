@@ -120,7 +120,7 @@ def documents_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("documents_rejected", """SELECT * FROM (VALUES ('a', 'missing schema_version'), ('b', 'unsupported schema_version'), ('c', 'not a JSON object'), ('d', CAST(NULL AS VARCHAR)), ('e', CAST(NULL AS VARCHAR))) AS t(model_id, problem)""")
 def documents_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = '{"schema_version":"1","metadata":{"name":"x"},"center":{"rows":1,"cols":1,"cell_size":8,"cells":[["a"]]}}'
-    rows = [("a", '{"metadata":{}}'), ("b", '{"schema_version":"2"}'), ("c", "nothing"), ("d", good), ("e", '{"app":"QREP","model":' + good + "}")]
+    rows = [("a", '{"metadata":{}}'), ("b", '{"schema_version":"2"}'), ("c", "nothing"), ("d", good), ("e", '{"app":"editor","model":' + good + "}")]
     return documents.parse(grids.literal(spark, "model_id string, json string", rows)).select("model_id", "problem")
 
 

@@ -18,7 +18,7 @@ SCHEMA = (
 def parse(rows: DataFrame) -> DataFrame:
     """(model_id, doc, problem) from (model_id, json); a project file's model is taken out of it. doc is null and
     problem says why where the text isn't a document of version 1."""
-    inner = F.when(F.get_json_object("json", "$.app") == "QREP", F.get_json_object("json", "$.model"))
+    inner = F.when(F.get_json_object("json", "$.app").isNotNull(), F.get_json_object("json", "$.model"))
     text = F.coalesce(inner, F.col("json"))
     version = F.get_json_object(text, "$.schema_version")
     problem = (
