@@ -8,8 +8,10 @@
 3. Lists are expanded to classes. Those of a short list are compared pair by pair, if sizes allow.
    Long lists that overlap make a cluster. Its classes are dealt out to parts of bounded size, and an
    index of a part's elements finds all links inside. Then the classes that are still outside the
-   cluster's largest component, and only they, are held against every other part. So every pair that
-   could join two components is compared, and a cluster of n copies costs about n, not n squared.
+   cluster's largest component, and only they, ask for links with all others. So every pair that could
+   join two components is compared, and a cluster of n copies costs about n, not n squared. They ask
+   pair by pair within their lists, or block by block over the whole cluster, whichever is less; both
+   ways find all links, and neither holds more than two blocks of about PART classes at a time.
 4. Links make components.
 """
 
@@ -29,6 +31,8 @@ SHINGLE, PERCENT = 5, 80
 HOT_LIMIT = 1_000_000
 #: Up to so many classes a list is compared pair by pair; a cluster of longer lists in parts of about PART.
 SHORT_LIST, PART = 8, 400
+#: What a pair costs, in rows of a block.
+PAIR_COST = 2
 _SHORT = np.uint64(0xA24BAED4963EE407)
 #: Sets are compared by 48 bits of each hash.
 _SET_SHIFT = np.uint64(16)
@@ -253,15 +257,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.written(both.mapInPandas(check, "a string, b string"), "verified")
 
 
-def _linked(names: list[str], packed: list[bytes], roots: list[str], asks: np.ndarray) -> list[tuple[str, str]]:
-    """Links between the sets that `asks` marks and all others, by counting what each shares with them in an
-    index of their elements. Sets of one root are linked already; of links that close a ring none is returned."""
+def _linked(names: list[str], packed: list[bytes], roots: list[str], asks: np.ndarray, own: np.ndarray) -> list[tuple[str, str]]:
+    """Links between the sets that `asks` marks and those that `own` marks, by counting what each shares with them
+    in an index of their elements. Sets of one root are linked already; of links that close a ring none is returned."""
     parts = [common.unpacked_sorted(x) for x in packed]
     n = np.array([len(x) for x in parts])
     flat, place = np.unique(np.concatenate(parts), return_inverse=True)
     owner = np.repeat(np.arange(len(n)), n)
-    by_element = owner[np.argsort(place, kind="stable")]
-    count = np.bincount(place, minlength=len(flat))
+    indexed = own[owner]
+    by_element = owner[indexed][np.argsort(place[indexed], kind="stable")]
+    count = np.bincount(place[indexed], minlength=len(flat))
     start = np.cumsum(count) - count
     ends = np.cumsum(n)
     above: dict[str, str] = {}
@@ -273,9 +278,9 @@ def _linked(names: list[str], packed: list[bytes], roots: list[str], asks: np.nd
 
     found = []
     for i in np.flatnonzero(asks).tolist():
-        own = place[ends[i] - n[i] : ends[i]]
-        k = count[own]
-        at = np.repeat(start[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        mine = place[ends[i] - n[i] : ends[i]]
+        k = count[mine]
+        at = np.repeat(start[mine] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         shared = np.bincount(by_element[at], minlength=len(n))
         for j in np.flatnonzero(_enough(shared, n[i], n)).tolist():
             x, y = top(roots[i]), top(roots[j])
@@ -291,13 +296,15 @@ def _frame_of(links: list[tuple[str, str]]) -> pd.DataFrame:
 
 def _local(pdf: pd.DataFrame) -> pd.DataFrame:
     """All links inside a part of a cluster, but for those that close a ring."""
-    names = pdf["class"].tolist()
-    return _frame_of(_linked(names, pdf["set"].tolist(), names, np.ones(len(pdf), bool)))
+    names, every = pdf["class"].tolist(), np.ones(len(pdf), bool)
+    return _frame_of(_linked(names, pdf["set"].tolist(), names, every, every))
 
 
 def _outer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of the classes that ask with those of a part."""
-    return _frame_of(_linked(pdf["class"].tolist(), pdf["set"].tolist(), pdf["root"].tolist(), pdf["asks"].to_numpy(bool)))
+    """Links of a block that asks with another, or among its own classes if it is asked itself."""
+    asks = (pdf["block"] == pdf["ask"]).to_numpy(bool)
+    own = (pdf["block"] == pdf["part"]).to_numpy(bool)
+    return _frame_of(_linked(pdf["class"].tolist(), pdf["set"].tolist(), pdf["root"].tolist(), asks, own))
 
 
 def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -316,6 +323,58 @@ def _clusters(members: DataFrame) -> DataFrame:
     return common.written(dealt.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")), "clusters")
 
 
+def _asked(clusters: DataFrame, rooted: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links (a, b) of the classes outside the largest component of their cluster with all others of it that
+    they could be linked to; None if there are no such classes."""
+    wide = clusters.where("parts > 1").select("class", "cluster").join(rooted.select("class", "n", "root"), "class")
+    wide = common.written(wide, "wide")
+    main = wide.groupBy("cluster", "root").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
+    told = wide.join(main, "cluster").withColumn("asks", F.col("root") != F.col("main"))
+    asking = F.count(F.when(F.col("asks"), 1))
+    size = told.groupBy("cluster").agg(asking.alias("k"), F.count("*").alias("size")).where("k > 0")
+    blocks = [F.ceil(F.col("k") / PART).cast("int").alias("ask_blocks"), F.ceil((F.col("size") - F.col("k")) / PART).cast("int").alias("main_blocks")]
+    told = common.written(told.join(size.select("cluster", "k", "size", *blocks), "cluster"), "told")
+    if told.isEmpty():
+        return None
+
+    # what either way would take
+    listed = members.where("long").select("list", "class").join(told.select("class", "cluster", "n", "root", "asks"), "class")
+    length = listed.groupBy("cluster", "list").agg(asking.alias("k"), F.count("*").alias("size")).where("k > 0")
+    length = common.written(length, "asked_lists")
+    pairs = length.groupBy("cluster").agg(F.sum(F.col("k") * (F.col("size") - F.col("k") / 2)).alias("pairs"))
+    rows = F.col("k") * (F.col("ask_blocks") + F.col("main_blocks")) + (F.col("size") - F.col("k")) * F.col("ask_blocks")
+    way = told.select("cluster", rows.alias("rows")).distinct().join(pairs, "cluster")
+    way = common.written(way.select("cluster", (PAIR_COST * F.col("pairs") <= F.col("rows")).alias("paired")), "ways")
+
+    # pair by pair: a list's classes and those of them that ask are dealt out to blocks, and each two blocks meet
+    salts = [F.ceil(F.col("k") / PART).cast("int").alias("ask_salts"), F.ceil(F.col("size") / PART).cast("int").alias("salts")]
+    salted = listed.join(length.join(way.where("paired"), "cluster").select("list", *salts), "list")
+    salted = common.written(salted, "salted")
+
+    def of(salts: str) -> Column:
+        return F.pmod(F.xxhash64("class", F.lit(2)), F.col(salts)).cast("int")
+
+    def every(salts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(salts) - 1))
+
+    def named(x: str) -> list[Column]:
+        return [F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"), F.col("asks").alias(f"asks_{x}")]
+
+    a = salted.where("asks").select("list", *named("a"), of("ask_salts").alias("ask_salt"), every("salts").alias("salt"))
+    b = salted.select("list", *named("b"), of("salts").alias("salt"), every("ask_salts").alias("ask_salt"))
+    met = a.join(b, ["list", "ask_salt", "salt"]).where((F.col("root_a") != F.col("root_b")) & _alike("n_a", "n_b") & (~F.col("asks_b") | (F.col("a") < F.col("b"))))
+    paired = common.written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "asked_pairs")
+
+    # block by block: those that ask make the first blocks; each of these meets itself, and each other block once
+    block = F.when(F.col("asks"), F.pmod(F.xxhash64("class", F.lit(2)), F.col("ask_blocks"))).otherwise(F.col("ask_blocks") + F.pmod(F.xxhash64("class", F.lit(2)), F.col("main_blocks")))
+    dealt = told.join(way.where("not paired").select("cluster"), "cluster").withColumn("block", block.cast("int"))
+    others = F.when(F.col("asks"), F.col("ask_blocks") + F.col("main_blocks")).otherwise(F.col("ask_blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("ask"), F.greatest("block", "other").alias("part"), "block", "class", "root")
+    outer = dealt.join(sets, "class").groupBy("cluster", "ask", "part").applyInPandas(_outer, "a string, b string")
+    return _verified(paired, sets).unionByName(outer)
+
+
 def _key(names: tuple[str, str, str] = ("none", "doc_id", "text_hash")) -> list[Column]:
     """What tells rows apart: whether doc_id is null, doc_id or 0, and a hash of the text."""
     return [F.col("doc_id").isNull().alias(names[0]), F.coalesce("doc_id", F.lit(0)).cast("long").alias(names[1]), F.xxhash64("text").alias(names[2])]
@@ -365,15 +424,10 @@ def _resolved(docs: DataFrame, chars: int) -> tuple[DataFrame, DataFrame]:
     links = common.written(_verified(pairs, sets).unionByName(inside), "links")
     rooted = _rooted(classes, links)
 
-    # a pair across components has a class outside the cluster's largest one; those ask in every part
-    wide = clusters.where("parts > 1").join(rooted.select("class", "root"), "class")
-    if not wide.isEmpty():
-        main = wide.groupBy("cluster", "root").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
-        told = common.written(wide.join(main, "cluster"), "told").join(sets, "class")
-        asking = told.where("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(True))
-        both = told.withColumn("asks", F.lit(False)).unionByName(asking).select("cluster", "part", "class", "root", "set", "asks")
-        outer = both.groupBy("cluster", "part").applyInPandas(_outer, "a string, b string")
-        rooted = _rooted(classes, common.written(links.unionByName(outer), "links"))
+    # a pair across components has a class outside the cluster's largest one; those ask elsewhere
+    asked = _asked(clusters, rooted, members, sets)
+    if asked is not None:
+        rooted = _rooted(classes, common.written(links.unionByName(asked), "links"))
 
     node = F.struct("none", "doc_id", "text_hash")
     least = rooted.groupBy("root").agg(F.min(F.when(~F.col("none"), F.col("doc_id"))).alias("component_id"), F.min(node).alias("first"))

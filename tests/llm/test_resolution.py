@@ -52,6 +52,39 @@ def test_links_match_brute_force(spark, documents, monkeypatch, short, part, lim
     assert {tuple(r) for r in found} == plain(rows)
 
 
+def chained(n=240, pool=24):
+    """Different texts that share passages, so that all of them chain; every sixth has a near copy."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{i}w{j}" for j in range(12)) for i in range(pool)]
+    texts = []
+    for i in range(n):
+        text = " ".join([*(f"u{i}w{j}" for j in range(30)), *rng.sample(passages, 4)])
+        texts += [text, text + " and more"] if i % 6 == 0 else [text]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("cost", [0, 2, 10**9])
+def test_chained_texts_meet_in_bounded_groups(spark, documents, monkeypatch, tmp_path, cost):
+    part, original, log = 20, nearjoin._outer, str(tmp_path / "sizes")
+
+    def watched(pdf):
+        with open(log, "a") as f:
+            f.write(f"{len(pdf)}\n")
+        return original(pdf)
+
+    monkeypatch.setattr(nearjoin, "SHORT_LIST", 2)
+    monkeypatch.setattr(nearjoin, "PART", part)
+    monkeypatch.setattr(nearjoin, "PAIR_COST", cost, raising=False)
+    monkeypatch.setattr(nearjoin.frequent, "__defaults__", (0,))
+    monkeypatch.setattr(nearjoin, "_outer", watched)
+    rows = chained()
+    assert {tuple(r) for r in nearjoin.link(documents(rows)).collect()} == plain(rows)
+    sizes = [int(x) for x in open(log)] if (tmp_path / "sizes").exists() else []
+    assert max(sizes, default=0) <= 5 * part
+    assert cost == 2 or bool(sizes) == (cost > 0)
+
+
 def test_edge_rows(spark, documents):
     text = "the same words stand here in both of these texts"
     rows = [(1, text), (1, text), (None, text), (2, "other words that have nothing to do with it at all"), (None, None), (3, "")]
