@@ -1,7 +1,7 @@
 """Substring deduplication: word windows that occur earlier in the corpus are removed.
 
-Every window of a fixed number of words gets a Rabin-Karp hash. Documents are dealt out by id into blocks,
-ranges that follow each other. A block sorts its hashes and keeps the first window of each; its later ones
+Every window of a fixed number of words gets a Rabin-Karp hash. Documents are dealt out by id, and within an id
+by a hash of their text, into blocks of bounded size, ranges that follow each other. A block sorts its hashes and keeps the first window of each; its later ones
 are repeats. The hashes that are left, a few bytes each and a frequent one once per block, are dealt out by
 value; there each hash stays with its first block, and every other block is told, a bit a hash, that its
 own is a repeat. The block makes its hashes again and merges all repeats into maximal intervals. Hashes
@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WIDTH = 20
+#: Most bytes of text in a block of several documents.
+BLOCK_BYTES = 16_000_000
 
 
 class Block:
@@ -30,8 +31,8 @@ class Block:
     def __init__(self, pdf: pd.DataFrame, width: int):
         self.width = width
         raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
-        key = np.zeros(len(pdf), [("none", "?"), ("id", "<i8"), ("text", "<u8")])
-        key["none"], key["id"], key["text"] = pdf["none"], pdf["doc_id"], [xxhash.xxh3_64_intdigest(t) for t in raw]
+        key = np.zeros(len(pdf), [("none", "?"), ("id", "<i8"), ("text", "<i8")])
+        key["none"], key["id"], key["text"] = pdf["none"], pdf["doc_id"], pdf["text_hash"]
         # a row that repeats another's id and text is the same document
         self.docs, first, self.place = np.unique(key, return_index=True, return_inverse=True)
         self.words = [raw[i].split() for i in first]
@@ -106,6 +107,37 @@ def _finish(block: Block, told: dict[int, bytes], buckets: int, texts: bool) ->
     return pd.DataFrame([done[i] for i in block.place.reshape(-1)], columns=names).astype({"doc_id": "Int64"})
 
 
+def _order(none: pd.Series, ids: pd.Series, hashes: pd.Series) -> np.ndarray:
+    """Keys as byte strings in the order of documents."""
+    sign = np.uint64(1 << 63)
+    out = np.empty((len(none), 17), np.uint8)
+    out[:, 0] = none.to_numpy(bool)
+    for at, column in ((1, ids), (9, hashes)):
+        out[:, at : at + 8] = (column.to_numpy(np.int64).view(np.uint64) ^ sign).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").reshape(-1)
+
+
+def _last_keys(keys: DataFrame, n: int, most: int) -> DataFrame:
+    """The last key of each block, for keys (none, doc_id, text_hash, size): ranges of `n` about equal numbers of
+    rows, each cut where its size would go beyond `most`. Rows with equal keys stay together."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, total = None, 0
+        for pdf in batches:
+            found = []
+            for *key, size in zip(*(pdf[c].tolist() for c in ("none", "doc_id", "text_hash", "size")), strict=True):
+                if last is not None and key != last and total + size > most:
+                    found.append(last)
+                    total = 0
+                last, total = key, total + size
+            yield pd.DataFrame(found, columns=["none", "doc_id", "text_hash"])
+        if last is not None:
+            yield pd.DataFrame([last], columns=["none", "doc_id", "text_hash"])
+
+    order = ["none", "doc_id", "text_hash"]
+    return keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(cut, "none boolean, doc_id long, text_hash long")
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False, blocks: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed (starts and ends of the intervals, flattened) for
     every row of docs; with texts=True also the kept text.
@@ -113,12 +145,20 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False, blo
     A window is removed if its words also start earlier, in a smaller doc_id or further ahead in the same
     document. Null and empty texts have no words. Rows without doc_id come after all others; documents of
     one id are ordered by a hash of their text; rows equal in both are one document, each with its result.
-    Ids should be spread: the rows of one id make part of one block."""
+    A block holds BLOCK_BYTES of text at most, or a single document; there are `blocks` or more."""
     spark = docs.sparkSession
     n = blocks or 2 * common.partitions(spark)
-    placed, _ = common.ranged(docs.select("doc_id", "text"), n)
-    rows = placed.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", "home")
-    buckets = n
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", F.xxhash64(text).alias("text_hash"))
+    ends = _last_keys(rows.select("none", "doc_id", "text_hash", F.octet_length(text).alias("size")), n, BLOCK_BYTES).toPandas()
+    edges = np.sort(_order(ends["none"], ends["doc_id"], ends["text_hash"]))
+    buckets = max(n, len(edges))
+
+    @F.pandas_udf("int")
+    def home(none: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, _order(none, ids, hashes)).astype(np.int32))
+
+    rows = rows.withColumn("home", home("none", "doc_id", "text_hash"))
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         out = list(Block(pdf, width).firsts(buckets))

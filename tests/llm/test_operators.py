@@ -151,6 +151,30 @@ def test_repeated_rows_are_one_document(spark, documents):
     assert substrings.remove_repeats(documents([])).count() == 0
 
 
+def test_blocks_of_repeats_are_bounded(spark, documents, monkeypatch, tmp_path):
+    rng = random.Random(3)
+    words = [str(i) for i in range(400)]
+
+    def text(n):
+        return " ".join(x for _ in range(n) for a in [rng.randrange(390)] for x in words[a : a + rng.randrange(2, 9)])
+
+    rows = [(i, text(400 if 20 <= i < 40 else 5)) for i in range(100)] + [(None, text(30)) for _ in range(80)] + [(7, text(30)) for _ in range(80)]
+    rows += [(None, None), (None, ""), (-5, text(30)), (2**62 + 1, text(30)), (2**62, text(30))]
+    original, log = substrings.Block, str(tmp_path / "sizes")
+
+    def watched(pdf, width):
+        with open(log, "a") as f:
+            f.write(f"{pdf['text'].str.len().sum()}\n")
+        return original(pdf, width)
+
+    whole = substrings.remove_repeats(documents(rows), 5, blocks=1).collect()
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 5_000, raising=False)
+    monkeypatch.setattr(substrings, "Block", watched)
+    parts = substrings.remove_repeats(documents(rows), 5, blocks=3).collect()
+    assert sorted(map(str, parts)) == sorted(map(str, whole)) and any(r["n_removed"] for r in whole)
+    assert max(float(x) for x in open(log)) <= max(5_000, *(len(t or "") for _, t in rows))
+
+
 # --- 4 mixing -------------------------------------------------------------------------------------------
 
 
