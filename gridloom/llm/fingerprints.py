@@ -1,8 +1,8 @@
 """Document fingerprints: homomorphic multiset hashes of paragraphs.
 
 A paragraph is a line. It hashes to a wide vector: 32 lanes from the whole line, and 128 lanes summed
-from its sentences. A text's fingerprint is the sum of its paragraphs' vectors, each lane modulo
-2**16. So it does not depend on their order, and a paragraph is added or taken away without the rest.
+from its sentences. A text's fingerprint is the sum of its paragraphs' vectors, each lane of whole lines
+modulo 2**16, each lane of sentences modulo 2**32. So it does not depend on their order, and a paragraph is added or taken away without the rest.
 Sentence lanes are centred on zero, so that the inner product of two fingerprints estimates how much
 the texts share.
 """
@@ -52,8 +52,15 @@ def _lanes(digests: list[bytes], counts: list[int], wide: bool) -> np.ndarray:
     return out
 
 
+def _cut(v: np.ndarray) -> np.ndarray:
+    """Lanes modulo 2**32, those of whole lines modulo 2**16."""
+    v = v.astype(np.uint32)
+    v[..., :WHOLE] &= 0xFFFF
+    return v
+
+
 def vectors(texts: list[str]) -> np.ndarray:
-    """A row of LANES unsigned 16-bit lanes for each text."""
+    """A row of LANES unsigned lanes for each text: WHOLE below 2**16, and PARTS below 2**32."""
     whole, parts, n_whole, n_parts = [], [], [], []
     blake = hashlib.blake2b
     for t in texts:
@@ -63,25 +70,25 @@ def vectors(texts: list[str]) -> np.ndarray:
         parts += [blake(s.encode("utf-8", "surrogatepass"), digest_size=PARTS // 2).digest() for s in own]
         n_whole.append(len(lines))
         n_parts.append(len(own))
-    return np.concatenate([_lanes(whole, n_whole, False), _lanes(parts, n_parts, True)], axis=1).astype(np.uint16)
+    return _cut(np.concatenate([_lanes(whole, n_whole, False), _lanes(parts, n_parts, True)], axis=1))
 
 
 def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The fingerprint of both texts' paragraphs together."""
-    return (a + b).astype(np.uint16)
+    return _cut(a + b)
 
 
 def removed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a - b).astype(np.uint16)
+    return _cut(a - b)
 
 
 def shown(v: np.ndarray) -> str:
-    return base64.b64encode(v.astype("<u2").tobytes()).decode()
+    return base64.b64encode(v[:WHOLE].astype("<u2").tobytes() + v[WHOLE:].astype("<u4").tobytes()).decode()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """From 0 to 1 for rows of fingerprints: twice the estimated common mass over both masses; 1 for equal rows."""
-    x, y = (v[:, WHOLE:].view(np.int16).astype(float) for v in (np.ascontiguousarray(a), np.ascontiguousarray(b)))
+    x, y = (v[:, WHOLE:].view(np.int32).astype(float) for v in (np.ascontiguousarray(a), np.ascontiguousarray(b)))
     mass = (x * x).sum(1) + (y * y).sum(1)
     near = np.clip(2 * (x * y).sum(1) / np.where(mass > 0, mass, 1), 0, 1)
     return np.where((a == b).all(1), 1.0, near)

@@ -252,6 +252,15 @@ def test_fingerprints_follow_edits(spark, documents):
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1
 
 
+@pytest.mark.parametrize("n", [2000, 5000, 100_000])
+def test_many_equal_lines_stay_alike(n):
+    text = "the same line\n" * n
+    other = "".join(f"line {i}\n" for i in range(n))
+    a, b = fingerprints.vectors([text, fingerprints.edited(text, other)])
+    assert abs(fingerprints.likeness(a[None], b[None])[0] - 0.8) < 0.1
+    assert (fingerprints.removed(fingerprints.added(a, b), b) == a).all()
+
+
 # --- 8 personal data ------------------------------------------------------------------------------------
 
 PRIVATE = "Ann.Lee42@mail.example.com +1 (017) 555-7713 4845168114407329 4845-1681-1440-7329 123-45-6789 2024-02-29 31/12/1999 01.02.2003 10.20.30.255"
