@@ -39,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get texts by 1,000 rows, not 10,000, unless the session has a size of its own. So a worker
+    holds some megabytes of text at a time, and Spark's buffers for it are as small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,7 +69,7 @@ def slices(batch: pd.DataFrame, column: str, max_chars: int) -> Iterator[pd.Data
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered for at most `limit` words."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

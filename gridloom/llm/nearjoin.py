@@ -3,16 +3,18 @@
 1. Shingles are counted over the whole corpus (truncated hashes, packed and dealt out by range); the
    frequent ones, at most HOT_LIMIT, come last in the order of all shingles, the rest go by hash.
 2. A set's prefix is so long that two sets over the threshold share an element of their prefixes.
-   Documents of one prefix and size are one group, and a prefix element lists groups, not documents.
-   Documents of equal sets are one class.
-3. Lists are expanded to classes. Those of a short list are compared pair by pair, if sizes allow.
-   Long lists that overlap make a cluster. Its classes are dealt out to parts of bounded size, and an
+   Documents of one prefix and size are one group, and a prefix element lists groups, not documents,
+   with the element's place in the prefix. Documents of equal sets are one class.
+3. Within a list, two groups make a pair if their sizes and the two places leave room for the overlap that
+   the threshold asks for; a group without any possible partner leaves the list. Pairs of the lists that
+   are short then are expanded to classes and verified.
+4. Long lists that overlap make a cluster. Its classes are dealt out to parts of bounded size, and an
    index of a part's elements finds all links inside. Then the classes that are still outside the
    cluster's largest component, and only they, ask for links with all others. So every pair that could
    join two components is compared, and a cluster of n copies costs about n, not n squared. They ask
    pair by pair within their lists, or block by block over the whole cluster, whichever is less; both
    ways find all links, and neither holds more than two blocks of about PART classes at a time.
-4. Links make components.
+5. Links make components.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ PAIR_COST = 2
 _SHORT = np.uint64(0xA24BAED4963EE407)
 #: Sets are compared by 48 bits of each hash.
 _SET_SHIFT = np.uint64(16)
+#: About so many bytes of text are behind a bucket of shingles.
+BUCKET_BYTES = 4_000_000
 
 
 def shingles(texts: list[str | None], hashes: common.WordHashes, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -70,12 +74,10 @@ def _blocks(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[pd.DataFram
         yield from common.slices(batch, "text", chars)
 
 
-def frequent(docs: DataFrame, bits: int, chars: int, limit: int = HOT_LIMIT) -> np.ndarray:
+def frequent(docs: DataFrame, bits: int, buckets: int, chars: int, limit: int = HOT_LIMIT) -> np.ndarray:
     """Truncated hashes, sorted, of the shingles that most documents hold: all of a document frequency of at
     least t, the least t from 3 on by which they are `limit` at most. They only order the shingles, so
     neither truncation nor the limit changes a result."""
-    spark = docs.sparkSession
-    buckets = 2 * common.partitions(spark)
     shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +124,7 @@ def frequent(docs: DataFrame, bits: int, chars: int, limit: int = HOT_LIMIT) ->
     return np.sort(np.concatenate([common.unpacked_sorted(bytes(r["h"])) for r in found]))
 
 
-_PASS = "kind int, none boolean, doc_id long, text_hash long, n long, class string, grp long, bucket int, h binary, owners binary, groups binary, sizes binary"
+_PASS = "kind int, none boolean, doc_id long, text_hash long, n long, class string, grp long, bucket int, h binary, owners binary, places binary, groups binary, sizes binary"
 
 
 def _frame(size: int, **columns) -> pd.DataFrame:
@@ -135,18 +137,26 @@ def _signed(*parts: np.ndarray) -> list[str]:
     return [b"".join(p).hex() for p in zip(*[[x.tobytes() for x in a.astype(">u8")] for a in parts], strict=True)]
 
 
+def _sums(h: np.ndarray, n: np.ndarray) -> list[str]:
+    """The name of each set of n hashes (concatenated in h): two sums of its elements' hashes, and its size."""
+    one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        starts = (np.cumsum(n) - n)[some]
+        with np.errstate(over="ignore"):
+            one[some] = np.add.reduceat(common.mixed(h, 0x51), starts)
+            two[some] = np.add.reduceat(common.mixed(h, 0x7F4A), starts)
+    return _signed(one, two, n)
+
+
 def _described(pdf: pd.DataFrame, hashes: common.WordHashes, hot: np.ndarray, shift: np.uint64, buckets: int) -> Iterator[pd.DataFrame]:
     """For a block: a row per document with its class and group (kind 0), and the groups that each prefix
     element lists, packed by bucket (kind 1)."""
     h, owner = shingles(list(pdf["text"]), hashes)
     n = np.bincount(owner, minlength=len(pdf))
     some = np.flatnonzero(n)
-    starts = (np.cumsum(n) - n)[some]
-    one, two, group = (np.zeros(len(pdf), np.uint64) for _ in range(3))
+    group = np.zeros(len(pdf), np.uint64)
     with np.errstate(over="ignore"):
-        if len(some):
-            one[some] = np.add.reduceat(common.mixed(h, 0x51), starts)
-            two[some] = np.add.reduceat(common.mixed(h, 0x7F4A), starts)
         cut = h >> shift
         spot = np.minimum(np.searchsorted(hot, cut), max(0, len(hot) - 1))
         is_hot = hot[spot] == cut if len(hot) else np.zeros(len(h), bool)
@@ -154,11 +164,11 @@ def _described(pdf: pd.DataFrame, hashes: common.WordHashes, hot: np.ndarray, sh
         need = n - -(-PERCENT * n // 100) + 1
         rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
         in_prefix = rank < np.repeat(need, n)
-        ph, po = h[order][in_prefix], owner[order][in_prefix]
+        ph, po, place = h[order][in_prefix], owner[order][in_prefix], rank[in_prefix]
         if len(ph):
             first = np.flatnonzero(np.concatenate([[True], po[1:] != po[:-1]]))
             group[some] = common.mixed(np.add.reduceat(common.mixed(ph, 0x2D), first) + n[some].astype(np.uint64) * _SHORT)
-    names = _signed(one, two, n)
+    names = _sums(h, n)
     kinds, classes = [0] * len(pdf), [c if k else None for c, k in zip(names, n, strict=True)]
     yield _frame(len(pdf), kind=kinds, none=pdf["none"], doc_id=pdf["doc_id"], text_hash=pdf["text_hash"], n=n.tolist(), grp=group.view(np.int64).tolist(), **{"class": classes})
     if not len(ph):
@@ -167,49 +177,94 @@ def _described(pdf: pd.DataFrame, hashes: common.WordHashes, hot: np.ndarray, sh
     leader_of = np.zeros(len(pdf), bool)
     leader_of[some[np.unique(np.stack([group[some], n[some].astype(np.uint64)]), axis=1, return_index=True)[1]]] = True
     keep = leader_of[po]
-    ph, po = ph[keep], po[keep]
+    ph, po, place = ph[keep], po[keep], place[keep]
     order = np.argsort(ph, kind="stable")
-    ph, po = ph[order], po[order]
+    ph, po, place = ph[order], po[order], place[order]
     rows = []
     for b, p in common.by_bucket(ph, buckets):
-        own, place = np.unique(po[p], return_inverse=True)
+        own, which = np.unique(po[p], return_inverse=True)
         rows.append({
-            "bucket": b, "h": common.packed_sorted(ph[p]), "owners": common.packed(place.astype(np.uint64)),
-            "groups": group[own].tobytes(), "sizes": common.packed(n[own].astype(np.uint64)),
+            "bucket": b, "h": common.packed_sorted(ph[p]), "owners": common.packed(which.astype(np.uint64)),
+            "places": common.packed(place[p].astype(np.uint64)), "groups": group[own].tobytes(), "sizes": common.packed(n[own].astype(np.uint64)),
         })
     yield _frame(len(rows), kind=[1] * len(rows), **{k: [r[k] for r in rows] for k in rows[0]})
 
 
+def _room(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m elements can reach the threshold if the first they share has places i and j."""
+    overlap = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return np.minimum(n - i, m - j) >= overlap
+
+
+def _partnered(key: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which entries of lists (key), sorted by size within each, could have a partner in their list. An entry's
+    place must leave room for its own size if it is the smaller of a pair, and the larger's for 80 % of its."""
+    early = n - place >= -(-2 * PERCENT * n // (100 + PERCENT))
+    wide = np.int64(n.max()) * 2 + 2
+    at = key * wide + n
+    before = np.concatenate([[0], np.cumsum(early)])
+    least = -(-PERCENT * n // 100)
+    # as the larger: an early one of a size from `least` to its own; equal sizes come before or after it
+    lo, hi = np.searchsorted(at, key * wide + least), np.searchsorted(at, at, side="right")
+    as_larger = before[hi] - before[lo] - early > 0
+    most = 100 * n // PERCENT
+    ends = np.searchsorted(at, key * wide + most, side="right")
+    starts = np.searchsorted(at, at)
+    as_smaller = early & (ends - starts > 1)
+    return as_larger | as_smaller
+
+
 def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The distinct lists of two groups or more in a bucket, each sorted by size and group."""
+    """From a bucket's postings: the pairs (a, b) of groups that short lists leave, with list null, and the
+    different long lists, a row (list, a) for each group."""
     groups = [np.frombuffer(x, np.int64) for x in pdf["groups"]]
     offset = np.cumsum([0, *map(len, groups)])
-    every = np.stack([np.concatenate([common.unpacked(x).astype(np.int64) for x in pdf["sizes"]]), np.concatenate(groups)])
-    table, place = np.unique(every, axis=1, return_inverse=True)
-    place = place.reshape(-1)
-    owner = np.concatenate([place[o + common.unpacked(x).astype(np.int64)] for o, x in zip(offset, pdf["owners"], strict=False)])
+    groups, sizes = np.concatenate(groups), np.concatenate([common.unpacked(x).astype(np.int64) for x in pdf["sizes"]])
+    owner = np.concatenate([o + common.unpacked(x).astype(np.int64) for o, x in zip(offset, pdf["owners"], strict=False)])
+    place = np.concatenate([common.unpacked(x).astype(np.int64) for x in pdf["places"]])
     h = np.concatenate([common.unpacked_sorted(x) for x in pdf["h"]])
-    order = np.lexsort((owner, h))
-    h, owner = h[order], owner[order]
+    grp, n = groups[owner], sizes[owner]
+
+    def cut(keep: np.ndarray) -> None:
+        """Only the entries of `keep`, and of these the lists of two or more."""
+        nonlocal h, grp, n, place
+        h, grp, n, place = h[keep], grp[keep], n[keep], place[keep]
+        same = h[1:] == h[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(h) else np.zeros(0, bool)
+        h, grp, n, place = h[several], grp[several], n[several], place[several]
+
+    order = np.lexsort((grp, n, h))
+    h, grp, n, place = h[order], grp[order], n[order], place[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    n = np.diff(first, append=len(h))
-    first, n = first[n > 1], n[n > 1]
-    if not len(first):
-        return pd.DataFrame({"list": pd.Series(dtype=str), "groups": pd.Series(dtype=object), "sizes": pd.Series(dtype=object)})
-    # equal lists have equal sums of their members' hashes
-    member = common.mixed(table[1].view(np.uint64) + table[0].view(np.uint64) * _SHORT)
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    starts = np.cumsum(n) - n
-    with np.errstate(over="ignore"):
-        one = np.add.reduceat(member[owner[at]], starts)
-        two = np.add.reduceat(common.mixed(member[owner[at]], 0x33), starts)
-    keep = np.unique(np.stack([one, two]), axis=1, return_index=True)[1]
-    names = _signed(one[keep], two[keep])
-    own = [owner[first[i] : first[i] + n[i]] for i in keep]
-    return pd.DataFrame({"list": names, "groups": [table[1][o] for o in own], "sizes": [table[0][o] for o in own]})
+    new[1:] = (h[1:] != h[:-1]) | (grp[1:] != grp[:-1])
+    cut(new)
+    if len(h):
+        cut(_partnered(np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])), n, place))
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    length = np.diff(first, append=len(h))
+    pairs = [np.empty((0, 2), np.int64)]
+    for k in range(2, SHORT_LIST + 1):
+        own = first[length == k]
+        for x in range(k):
+            for y in range(x + 1, k):
+                i, j = own + x, own + y
+                good = (100 * n[i] >= PERCENT * n[j]) & _room(n[i], place[i], n[j], place[j])
+                pairs.append(np.sort(np.stack([grp[i[good]], grp[j[good]]], axis=1), axis=1))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    parts = [pd.DataFrame({"list": None, "a": pairs[:, 0], "b": pairs[:, 1]})]
+    first, length = first[length > SHORT_LIST], length[length > SHORT_LIST]
+    if len(first):
+        # equal lists have equal sums of their members' hashes
+        starts = np.cumsum(length) - length
+        at = np.repeat(first - starts, length) + np.arange(length.sum())
+        with np.errstate(over="ignore"):
+            member = common.mixed(grp[at].view(np.uint64))
+            one, two = np.add.reduceat(member, starts), np.add.reduceat(common.mixed(member, 0x33), starts)
+        keep = np.unique(np.stack([one, two]), axis=1, return_index=True)[1]
+        names = _signed(one[keep], two[keep])
+        for name, i in zip(names, keep.tolist(), strict=True):
+            parts.append(pd.DataFrame({"list": name, "a": grp[first[i] : first[i] + length[i]], "b": None}))
+    return pd.concat([p for p in parts if len(p)] or parts[:1]).astype({"a": "Int64", "b": "Int64"})
 
 
 def _alike(a: str, b: str) -> Column:
@@ -219,17 +274,18 @@ def _alike(a: str, b: str) -> Column:
 
 def _sets(names: DataFrame, classes: DataFrame, docs: DataFrame, chars: int) -> DataFrame:
     """(class, set) of the named classes, made from the text of one document of each."""
-    wanted = common.written(classes.join(names.distinct(), "class").select("class", "none", "doc_id", "text_hash"), "candidates")
-    if wanted.count() <= 1_000_000:  # some 80 MB at most; beyond it both sides are shuffled
+    wanted = common.written(classes.join(names.distinct(), "class", "left_semi").select("none", "doc_id", "text_hash"), "candidates")
+    if wanted.count() <= 1_000_000:  # three short columns, so some 50 MB at most; beyond it both sides are shuffled
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, ["none", "doc_id", "text_hash"]).select("class", "text")
+    texts = docs.join(wanted, ["none", "doc_id", "text_hash"], "left_semi").select("text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = common.WordHashes()
         for pdf in _blocks(batches, chars):
             h, owner = shingles(list(pdf["text"]), hashes)
-            parts = np.split(h >> _SET_SHIFT, np.cumsum(np.bincount(owner, minlength=len(pdf)))[:-1])
-            yield pd.DataFrame({"class": pdf["class"].to_numpy(), "set": [common.packed_sorted(x) for x in parts]})
+            n = np.bincount(owner, minlength=len(pdf))
+            parts = np.split(h >> _SET_SHIFT, np.cumsum(n)[:-1])
+            yield pd.DataFrame({"class": _sums(h, n), "set": [common.packed_sorted(x) for x in parts]})
 
     own = common.written(texts.mapInPandas(sets, "class string, set binary"), "sets")
     seen = own.agg(F.count("class").alias("rows"), F.countDistinct("class").alias("classes")).first()
@@ -313,11 +369,20 @@ def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     return common.written(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
 
 
+def _joined(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """rooted with the components that further links join made one."""
+    a = links.join(rooted.select(F.col("class").alias("a"), F.col("root").alias("x")), "a")
+    between = a.join(rooted.select(F.col("class").alias("b"), F.col("root").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components.components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return common.written(rooted.join(roots, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "joined")
+
+
 def _clusters(members: DataFrame) -> DataFrame:
     """(class, cluster, parts, part) of the classes in long lists: lists that share a class make a cluster, and
     a cluster is dealt out by hash to parts of about PART classes."""
-    least = members.groupBy("list").agg(F.min("class").alias("a"))
-    roots = components.components(members.join(least, "list").select("a", F.col("class").alias("b")))
+    # a list is a node of its own; its name has 32 signs, that of a class 48
+    roots = components.components(members.select(F.col("list").alias("a"), F.col("class").alias("b")))
+    roots = common.written(roots.join(members.select(F.col("class").alias("node")).distinct(), "node", "left_semi"), "cluster_roots")
     size = roots.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = roots.join(size, "root").select(F.col("node").alias("class"), F.col("root").alias("cluster"), "parts")
     return common.written(dealt.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")), "clusters")
@@ -338,7 +403,7 @@ def _asked(clusters: DataFrame, rooted: DataFrame, members: DataFrame, sets: Dat
         return None
 
     # what either way would take
-    listed = members.where("long").select("list", "class").join(told.select("class", "cluster", "n", "root", "asks"), "class")
+    listed = members.select("list", "class").join(told.select("class", "cluster", "n", "root", "asks"), "class")
     length = listed.groupBy("cluster", "list").agg(asking.alias("k"), F.count("*").alias("size")).where("k > 0")
     length = common.written(length, "asked_lists")
     pairs = length.groupBy("cluster").agg(F.sum(F.col("k") * (F.col("size") - F.col("k") / 2)).alias("pairs"))
@@ -384,11 +449,13 @@ def _resolved(docs: DataFrame, chars: int) -> tuple[DataFrame, DataFrame]:
     """A node for every row (none, doc_id, text_hash, n, class, grp), and for every class its component's
     smallest doc_id and first node (class, component_id, first)."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     rows = docs.select(*_key(), "text")
-    buckets = 2 * common.partitions(spark)
-    bits = int(min(64, max(40, np.ceil(np.log2(max(1, rows.count()))) + 22)))
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    buckets = max(2 * common.partitions(spark), -(-size["bytes"] // BUCKET_BYTES))
+    bits = int(min(64, max(40, np.ceil(np.log2(max(1, size["rows"]))) + 22)))
     shift = np.uint64(64 - bits)
-    hot = spark.sparkContext.broadcast(frequent(rows, bits, chars))
+    hot = spark.sparkContext.broadcast(frequent(rows, bits, buckets, chars))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = common.WordHashes()
@@ -396,45 +463,57 @@ def _resolved(docs: DataFrame, chars: int) -> tuple[DataFrame, DataFrame]:
             yield from _described(pdf, hashes, hot.value, shift, buckets)
 
     passed = common.written(rows.mapInPandas(describe, _PASS), "described")
+    hot.unpersist()
     nodes = passed.where("kind = 0").select("none", "doc_id", "text_hash", "n", "class", "grp")
-    postings = passed.where("kind = 1").select("bucket", "h", "owners", "groups", "sizes")
-    lists = postings.groupBy("bucket").applyInPandas(_lists, "list string, groups array<long>, sizes array<long>")
-    lists = common.written(lists.dropDuplicates(["list"]), "lists")
+    postings = passed.where("kind = 1").select("bucket", "h", "owners", "places", "groups", "sizes")
+    lists = common.written(postings.groupBy("bucket").applyInPandas(_lists, "list string, a long, b long").distinct(), "lists")
     classes = nodes.where("n > 0").groupBy("class").agg(F.min(F.struct("none", "doc_id", "text_hash")).alias("first"), F.min("grp").alias("grp"), F.min("n").alias("n"))
     classes = common.written(classes.select("class", "first.*", "grp", "n"), "classes")
 
-    # what a list's groups, and a group of several classes, stand for
-    listed = lists.select("list", F.explode("groups").alias("grp")).join(classes.select("grp", "class", "n"), "grp").select("list", "class", "n")
-    several = classes.groupBy("grp").count().where("count > 1").select("grp")
-    grouped = classes.join(several, "grp").select(F.concat(F.lit("g"), F.col("grp").cast("string")).alias("list"), "class", "n")
-    members = common.written(listed.unionByName(grouped), "members")
-    length = common.written(members.groupBy("list").agg((F.count("*") > SHORT_LIST).alias("long")), "lengths")
-    members = common.written(members.join(length, "list"), "members")
-
-    # short lists: every pair; at most SHORT_LIST rows a list meet
-    a, b = (members.where("not long").select("list", F.col("class").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    pairs = common.written(a.join(b, "list").where((F.col("a") < F.col("b")) & _alike("n_a", "n_b")).select("a", "b").distinct(), "pairs")
-    # long lists: clusters, whose parts are searched each for itself; some classes of a part also sit in the next
-    clusters = _clusters(members.where("long").select("list", "class"))
-    named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(clusters.select("class"))
+    # pairs of groups, those of a group of several classes with itself, and groups too large for pairs
+    several = common.written(classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    pairs = lists.where("list is null").select("a", "b").unionByName(several.where(F.col("k") <= SHORT_LIST).select(F.col("grp").alias("a"), F.col("grp").alias("b")))
+    listed = lists.where("list is not null").select("list", F.col("a").alias("grp"))
+    large = several.where(F.col("k") > SHORT_LIST).select("grp")
+    if not large.isEmpty():
+        met = pairs.join(large.select(F.col("grp").alias("a"), F.lit(True).alias("la")), "a", "left").join(large.select(F.col("grp").alias("b"), F.lit(True).alias("lb")), "b", "left")
+        met = common.written(met, "met")
+        name = F.md5(F.concat_ws(":", "a", "b"))
+        both = met.where("la or lb").select(name.alias("list"), F.explode(F.array("a", "b")).alias("grp"))
+        listed = listed.unionByName(both).unionByName(large.select(F.md5(F.col("grp").cast("string")).alias("list"), "grp"))
+        pairs = met.where("la is null and lb is null").select("a", "b")
+    members = common.written(listed.join(classes.select("grp", "class", "n"), "grp").select("list", "class", "n"), "members")
+
+    # the classes of two groups that could be alike, pair by pair
+    sides = [classes.select(F.col("grp").alias(x), F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b")]
+    met = pairs.join(sides[0], "a").join(sides[1], "b").where(_alike("n_a", "n_b") & (F.col("class_a") != F.col("class_b")) & ((F.col("a") != F.col("b")) | (F.col("class_a") < F.col("class_b"))))
+    pairs = common.written(met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    dense = not members.isEmpty()
+    if dense:
+        # clusters, whose parts are searched each for itself; some classes of a part also sit in the next
+        clusters = _clusters(members)
+        named = named.unionByName(clusters.select("class"))
     sets = _sets(named, classes, rows, chars)
-    placed = clusters.join(sets, "class")
-    guests = placed.where((F.col("parts") > 1) & (F.pmod(F.xxhash64("class", F.lit(1)), F.lit(16)) == 0)).withColumn("part", (F.col("part") + 1) % F.col("parts"))
-    inside = placed.unionByName(guests).select("cluster", "part", "class", "set").groupBy("cluster", "part").applyInPandas(_local, "a string, b string")
-    links = common.written(_verified(pairs, sets).unionByName(inside), "links")
+    links = _verified(pairs, sets)
+    if dense:
+        placed = clusters.join(sets, "class")
+        guests = placed.where((F.col("parts") > 1) & (F.pmod(F.xxhash64("class", F.lit(1)), F.lit(16)) == 0)).withColumn("part", (F.col("part") + 1) % F.col("parts"))
+        inside = placed.unionByName(guests).select("cluster", "part", "class", "set").groupBy("cluster", "part").applyInPandas(_local, "a string, b string")
+        links = links.unionByName(common.written(inside, "inside"))
     rooted = _rooted(classes, links)
-
-    # a pair across components has a class outside the cluster's largest one; those ask elsewhere
-    asked = _asked(clusters, rooted, members, sets)
-    if asked is not None:
-        rooted = _rooted(classes, common.written(links.unionByName(asked), "links"))
+    if dense:
+        # a pair across components has a class outside the cluster's largest one; those ask elsewhere
+        asked = _asked(clusters, rooted, members, sets)
+        if asked is not None:
+            rooted = _joined(rooted, common.written(asked, "asked"))
 
     node = F.struct("none", "doc_id", "text_hash")
     least = rooted.groupBy("root").agg(F.min(F.when(~F.col("none"), F.col("doc_id"))).alias("component_id"), F.min(node).alias("first"))
     return nodes, common.written(rooted.select("class", "root").join(least, "root").select("class", "component_id", "first"), "components")
 
 
-def link(docs: DataFrame, chars: int = 4_000_000) -> DataFrame:
+def link(docs: DataFrame, chars: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs: its set's size, and the smallest doc_id
     that links reach from it.
 
@@ -450,7 +529,7 @@ def link(docs: DataFrame, chars: int = 4_000_000) -> DataFrame:
     return others.select(own, size, "component_id").unionByName(alone)
 
 
-def keep_first(docs: DataFrame, chars: int = 4_000_000) -> DataFrame:
+def keep_first(docs: DataFrame, chars: int = 1_000_000) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id (of several texts with that id, the
     one of the least hash). Rows with an empty set all stay. Of rows equal in doc_id and text one stays."""
     nodes, named = _resolved(docs, chars)
