@@ -83,23 +83,22 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: An odd base, so that it has an inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
+#: Odd bases, so that they have an inverse modulo 2**64.
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """Rabin-Karp hashes modulo 2**64 of all windows of `width` hashed words."""
     n = len(words)
     if n < width:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        down = np.full(n, _INVERSE, np.uint64)
+        down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
         down[0] = 1
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(words * np.multiply.accumulate(down), out=prefix[1:], dtype=np.uint64)
-        up = np.full(n - width + 1, BASE, np.uint64)
-        up[0] = pow(BASE, width, 1 << 64)
+        up = np.full(n - width + 1, base, np.uint64)
+        up[0] = pow(base, width, 1 << 64)
         return (prefix[width:] - prefix[: n - width + 1]) * np.multiply.accumulate(up)
 
 

@@ -166,4 +166,5 @@ def compare_next(docs: DataFrame, chars: int = 2_000_000) -> DataFrame:
                 "near_next": likeness(own[:-1], own[1:]),
             })
 
+    common.small_batches(docs.sparkSession)
     return with_next(docs).mapInPandas(rows, schema)

@@ -13,8 +13,11 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import common
+
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 UNDECIDED = "und"
 
@@ -46,29 +49,27 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageFilter:
-    """Masks by slot; languages[i] owns bit i."""
+    """Masks by slot, one plane for 64 languages each; languages[64 * p + i] owns bit i of plane p."""
 
     def __init__(self, languages: list[str], members: list[np.ndarray], bits: int = 20, hashes: int = 2):
-        if len(languages) > 64:
-            raise ValueError("a mask has room for 64 languages")
         self.languages, self.bits, self.hashes = languages, bits, hashes
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.iinfo(k).bits)
-        self.masks = np.zeros(1 << bits, kind)
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= np.iinfo(k).bits), np.uint64)
+        self.planes = np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), kind)
         for i, keys in enumerate(members):
             for slot in self._slots(keys):
-                self.masks[slot] |= kind(1 << i)
-        filled = np.array([np.count_nonzero(self.masks >> kind(i) & kind(1)) for i in range(len(languages))], float)
+                self.planes[i // 64, slot] |= kind(1 << i % 64)
+        filled = np.array([np.count_nonzero(self.planes[i // 64] >> kind(i % 64) & kind(1)) for i in range(len(languages))], float)
         self.false_rate = (filled / (1 << bits)) ** hashes
 
     def _slots(self, keys: np.ndarray) -> list[np.ndarray]:
         return [((keys * np.uint64(m)) >> np.uint64(64 - self.bits)).astype(np.int64) for m in _MULTIPLIERS[: self.hashes]]
 
     def holders(self, keys: np.ndarray) -> np.ndarray:
-        """A mask of the languages that hold each n-gram."""
+        """A row for each plane: masks of the languages that hold each n-gram."""
         slots = self._slots(keys)
-        found = self.masks[slots[0]]
+        found = self.planes[:, slots[0]]
         for s in slots[1:]:
-            found &= self.masks[s]
+            found &= self.planes[:, s]
         return found
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -81,9 +82,9 @@ class LanguageFilter:
             return [UNDECIDED] * len(texts), np.zeros(len(texts))
         masks = self.holders(keys)
         hits = np.empty((len(self.languages), len(texts)))
-        one = self.masks.dtype.type(1)
+        kind = self.planes.dtype.type
         for i in range(len(self.languages)):
-            run = np.concatenate([[0], np.cumsum(masks >> self.masks.dtype.type(i) & one, dtype=np.int64)])
+            run = np.concatenate([[0], np.cumsum(masks[i // 64] >> kind(i % 64) & kind(1), dtype=np.int64)])
             hits[i] = run[ends] - run[starts]
         f = self.false_rate[:, None]
         hits = np.clip((hits - n * f) / (1 - f), 0, None)
@@ -97,16 +98,19 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = 6_000, max_grams: int = 60_000, least: int = 3, ratio: float = 0.25) -> LanguageFilter:
-    """Learns the languages of labelled rows from about train_rows documents of each (all, if fewer),
+    """Learns the languages of labelled rows from about train_rows different texts of each (all, if fewer),
     chosen by a hash of the text. An n-gram joins a language's filter when seen `least` times and with
     at least `ratio` of its highest relative frequency in any language; of these the max_grams most
-    frequent join. Rows without text or label teach nothing; without any, all texts are undecided."""
+    frequent join. Rows without text or label teach nothing; without any, all texts are undecided; repeated
+    rows teach once. The driver gets the languages' names and sizes, and max_grams numbers a language."""
+    spark = labelled.sparkSession
+    common.small_batches(spark)
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    share = F.lit(0)
-    for name, n in sorted(sizes.items()):
-        share = F.when(F.col("l") == name, int(1e6 * min(1, train_rows / n))).otherwise(share)
-    part = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share)
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t"), 0.02).alias("n")).collect()}
+    if not sizes:
+        return LanguageFilter([], [])
+    shares = F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, int(1e6 * min(1, train_rows / max(1, n))))])
+    part = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.element_at(shares, F.col("l"))).dropDuplicates(["l", "t"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -115,21 +119,24 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", train_rows:
                 yield pd.DataFrame({"l": name, "g": keys.view(np.int64), "n": n.astype(np.int64)})
 
     counts = part.mapInPandas(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # bounded: train_rows documents a language
-    seen = counts.toPandas()
-    if not len(seen):
+    counts = common.written(counts, "language_grams")
+    totals = {r["l"]: r["n"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
         return LanguageFilter([], [])
-    seen["p"] = seen["n"] / seen.groupby("l")["n"].transform("sum")
-    seen = seen[seen["p"] >= ratio * seen.groupby("g")["p"].transform("max")]
-    seen = seen.sort_values(["l", "n", "g"], ascending=[True, False, True]).groupby("l").head(max_grams)
+    total = F.element_at(F.create_map(*[F.lit(x) for name, n in sorted(totals.items()) for x in (name, float(n))]), F.col("l"))
+    shared = counts.withColumn("p", F.col("n") / total)
+    most = shared.groupBy("g").agg(F.max("p").alias("most"))
+    place = F.row_number().over(W.partitionBy("l").orderBy(F.col("n").desc(), "g"))
+    seen = shared.join(most, "g").where(F.col("p") >= F.lit(ratio) * F.col("most")).withColumn("place", place).where(F.col("place") <= max_grams).select("l", "g").toPandas()
     names = sorted(seen["l"].unique())
-    return LanguageFilter(names, [seen.loc[seen["l"] == x, "g"].to_numpy(np.int64).view(np.uint64) for x in names])
+    return LanguageFilter(names, [np.sort(seen.loc[seen["l"] == x, "g"].to_numpy(np.int64)).view(np.uint64) for x in names])
 
 
-def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", chars: int = 1_000_000) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", chars: int = 200_000) -> DataFrame:
     """All columns of docs and lang_pred, score (columns of docs with these names are replaced). Null and
     texts without a letter are `und` with score 0; between equal counts the first language in order wins."""
-    kept = docs.drop(*[c for c in docs.columns if c in ("lang_pred", "score")])
+    common.small_batches(docs.sparkSession)
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
     schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), "lang_pred string, score double"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,6 +20,8 @@ SHARE, CAP = 1.5, 2
 SEED = "mix-1"
 #: Virtual time is cut into 2**22 steps, 2**11 of which make a coarse one.
 _FINE, _COARSE = 22, 11
+#: Rows equal in doc_id and text are numbered in so many parts.
+_SALTS = 64
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -49,31 +51,33 @@ def _finish(copy: int) -> Column:
 
 
 def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """Adds source_size, target and taken to rows (doc_id, source, size and any other columns).
+    """Adds source_size, target and taken to rows (doc_id, source, size and any other columns, whatever their names).
 
     taken is size times the copies in the mix, 0 to 2 of them. A null source is a source of its own, the
-    last in order; a null doc_id shuffles like any other; documents of size 0 take nothing; among equal
-    rows it is left open which is taken last. An empty table stays empty."""
+    last in order; a null doc_id shuffles like any other; documents of size 0 take nothing; rows of
+    one doc_id are ordered by text_hash (a hash of all their columns, if there is none), and among equal rows it is left open which is taken last. An empty table stays empty."""
     spark = sized.sparkSession
-    own = [c for c in sized.columns if c not in ("source_size", "target", "taken")]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    items = common.written(sized.select(*own).withColumn("_key", key), "mix_items")
+    own = [F.col(f"`{c}`") for c in sized.columns if c.lower() not in ("source_size", "target", "taken")]
+    tie = F.col("text_hash") if "text_hash" in sized.columns else F.xxhash64(*own)
+    # rows without an id have a key each, so that they don't meet in one bucket
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), tie.cast("string")))).cast("binary"))
+    items = common.written(sized.select(F.struct(*own).alias("own"), "doc_id", "source", "size", tie.alias("tie"), key.alias("_key")), "mix_items")
     sources = common.written(targets(items.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "mix_sources")
     budget = sources.agg(F.sum("target")).first()[0]
     if budget is None:
-        return sized.select(*own, F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken")).limit(0)
+        return items.select("own.*", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken")).limit(0)
     budget = sources.agg(F.sum("source_size") * F.lit(float(share))).first()[0]
 
     n = 4 * common.partitions(spark)
     bucketed = items.withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)).cast("int"))
     sums = bucketed.groupBy("source", "_bucket").agg(F.sum("size").alias("s"))
     before = sums.withColumn("_before", F.sum("s").over(W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("s")).drop("s")
-    within = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
     run = bucketed.withColumn("_run", F.sum("size").over(within))
     run = run.alias("r").join(before.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r._bucket") == F.col("b._bucket")), "left")
     run = run.select("r.*", (F.col("_before") + F.col("_run")).alias("cum"))
     timed = run.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    timed = timed.select(*[F.col(f"r.`{c}`") for c in (*own, "_key", "cum")], "s.source_size", "s.rank", "s.target")
+    timed = timed.select(*[F.col(f"r.{c}") for c in ("own", "doc_id", "size", "tie", "_key", "cum")], "s.source_size", "s.rank", "s.target")
     timed = common.written(timed.select("*", _finish(0).alias("_f0"), _finish(1).alias("_f1")), "mix_times")
 
     def step(f: str, bits: int) -> Column:
@@ -82,7 +86,7 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
 
     def copies(rows: DataFrame) -> DataFrame:
         both = [F.struct(F.lit(i).alias("copy"), F.col(f"_f{i}").alias("finish"), step(f"_f{i}", _FINE).alias("fine")) for i in (0, 1)]
-        return rows.where("size > 0").select("rank", "_key", "doc_id", "size", F.explode(F.array(*both)).alias("c")).select("rank", "_key", "doc_id", "size", "c.*")
+        return rows.where("size > 0").select("rank", "_key", "doc_id", "size", "tie", F.explode(F.array(*both)).alias("c")).select("rank", "_key", "doc_id", "size", "tie", "c.*")
 
     def cut(rows: DataFrame, by: Column, spent: int) -> tuple[int | None, int]:
         """The step in which the budget runs out, and what the steps before it take."""
@@ -95,12 +99,12 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
     shift = 1 << (_FINE - _COARSE)
     coarse, spent = cut(every, F.floor(F.col("fine") / shift), 0)
     if coarse is None:  # the budget takes both copies of every document
-        return timed.select(*own, "source_size", "target", (F.col("size") * 2).alias("taken"))
+        return timed.select("own.*", "source_size", "target", (F.col("size") * 2).alias("taken"))
     inside = every.where(F.floor(F.col("fine") / shift) == coarse)
     fine, spent = cut(inside, F.col("fine"), spent)
-    order = W.orderBy("finish", "rank", "copy", "_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    order = W.orderBy("finish", "rank", "copy", "_key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
     last = inside.where(F.col("fine") == fine).withColumn("e", F.sum("size").over(order) + F.lit(spent)).where(F.col("e") <= F.lit(budget))
-    edge = last.orderBy(*[F.col(c).desc() for c in ("finish", "rank", "copy", "_key", "doc_id", "size")]).select("finish", "rank", "copy", "_key").first()
+    edge = last.orderBy(*[F.col(c).desc() for c in ("finish", "rank", "copy", "_key", "doc_id", "size", "tie")]).select("finish", "rank", "copy", "_key").first()
 
     def taken(copy: int) -> Column:
         f = step(f"_f{copy}", _FINE)
@@ -110,27 +114,41 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
         end = F.struct(F.lit(edge["finish"]), F.lit(edge["rank"]).cast("int"), F.lit(edge["copy"]), F.lit(edge["_key"]))
         return ((f < fine) | ((f == fine) & (at <= end))).cast("long")
 
-    return timed.select(*own, "source_size", "target", (F.col("size") * (taken(0) + taken(1))).alias("taken"))
+    return timed.select("own.*", "source_size", "target", (F.col("size") * (taken(0) + taken(1))).alias("taken"))
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select("doc_id", "source", common.word_count(F.col(text)).alias("size"))
+    """doc_id, source, size (words; null and empty texts have none) and text_hash of every row."""
+    return docs.select("doc_id", "source", common.word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("text_hash"))
 
 
 def apply(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies there, 0 to 2. Among rows equal in
-    doc_id, source and text the copies are dealt out one by one."""
+    """docs as the mix takes them: each row as often as it has copies there, 0 to 2; in no order. Among rows equal
+    in doc_id, source and text the copies are dealt out one by one. Null and empty texts are not taken; an empty
+    table stays empty; the names of other columns don't matter."""
     key = (F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.xxhash64("doc_id", "source", text).alias("_hash"))
-    items = docs.select("doc_id", "source", common.word_count(F.col(text)).alias("size"), *key).where("size > 0")
+    items = docs.select("doc_id", "source", common.word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("text_hash"), *key).where("size > 0")
     taken = plan(items, **options).groupBy("_id", "_hash").agg(F.count("*").alias("_rows"), F.sum((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
     taken = common.written(taken.where("_copies > 0"), "mix_copies")
     bounded = taken.count() <= 1_000_000  # some 60 MB at most; beyond it both sides are shuffled
-    joined = docs.select("*", *key).join(F.broadcast(taken) if bounded else taken, ["_id", "_hash"])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    once = joined.where("_rows = 1").select(*names, F.col("_copies").alias("_n"))
-    place = F.row_number().over(W.partitionBy("_id", "_hash").orderBy("_hash"))
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *key).join(F.broadcast(taken) if bounded else taken, ["_id", "_hash"])
+    once = joined.where("_rows = 1").select("own", F.col("_copies").cast("int").alias("n"))
+    if taken.where("_rows > 1").isEmpty():
+        return _repeated(once)
+    # equal rows are dealt out to salts first, so that no task numbers more than a share of them; as a written
+    # table they keep their salts
+    salted = common.written(joined.where("_rows > 1").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_SALTS))), "mix_salted")
+    own = W.partitionBy("_id", "_hash", "salt")
+    numbered = salted.withColumn("place", F.row_number().over(own.orderBy("_hash")))
+    sizes = common.written(salted.groupBy("_id", "_hash", "salt").agg(F.count("*").alias("k")), "mix_equal")
+    before = sizes.withColumn("before", F.sum("k").over(W.partitionBy("_id", "_hash").orderBy("salt").rowsBetween(W.unboundedPreceding, 0)) - F.col("k")).drop("k")
+    numbered = numbered.join(before, ["_id", "_hash", "salt"])
+    place = F.col("before") + F.col("place")
     # the r-th of n equal rows gets the r-th share of their copies
     share = F.floor(place * F.col("_copies") / F.col("_rows")) - F.floor((place - 1) * F.col("_copies") / F.col("_rows"))
-    repeated = joined.where("_rows > 1").select(*names, share.cast("int").alias("_n"))
-    both = once.select(*names, F.col("_n").cast("int").alias("_n")).unionByName(repeated)
-    return both.where("_n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
+    return _repeated(once.unionByName(numbered.select("own", share.cast("int").alias("n"))))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row `own` n times."""
+    return rows.where("n > 0").select("own", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("own.*")

@@ -36,8 +36,6 @@ SHORT_LIST, PART = 8, 400
 #: What a pair costs, in rows of a block.
 PAIR_COST = 2
 _SHORT = np.uint64(0xA24BAED4963EE407)
-#: Sets are compared by 48 bits of each hash.
-_SET_SHIFT = np.uint64(16)
 #: About so many bytes of text are behind a bucket of shingles.
 BUCKET_BYTES = 4_000_000
 
@@ -284,7 +282,7 @@ def _sets(names: DataFrame, classes: DataFrame, docs: DataFrame, chars: int) ->
         for pdf in _blocks(batches, chars):
             h, owner = shingles(list(pdf["text"]), hashes)
             n = np.bincount(owner, minlength=len(pdf))
-            parts = np.split(h >> _SET_SHIFT, np.cumsum(n)[:-1])
+            parts = np.split(h, np.cumsum(n)[:-1])
             yield pd.DataFrame({"class": _sums(h, n), "set": [common.packed_sorted(x) for x in parts]})
 
     own = common.written(texts.mapInPandas(sets, "class string, set binary"), "sets")
@@ -537,8 +535,8 @@ def keep_first(docs: DataFrame, chars: int = 1_000_000) -> DataFrame:
     key = F.struct("none", "doc_id", "text_hash")
     gone = common.written(judged.where(key != F.col("first")).select("none", "doc_id", "text_hash").distinct(), "gone")
     twice = common.written(judged.where(key == F.col("first")).groupBy("none", "doc_id", "text_hash").count().where("count > 1").drop("count"), "twice")
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
-    keyed = docs.select("*", *_key(("_none", "_id", "_hash"))).alias("d")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    keyed = docs.select(own, *_key(("_none", "_id", "_hash"))).alias("d")
 
     def match(other: DataFrame):
         return other.alias("o"), (F.col("_none") == F.col("o.none")) & (F.col("_id") == F.col("o.doc_id")) & (F.col("_hash") == F.col("o.text_hash"))
@@ -546,7 +544,7 @@ def keep_first(docs: DataFrame, chars: int = 1_000_000) -> DataFrame:
     bounded = gone.count() <= 1_000_000  # some 60 MB at most; beyond it both sides are shuffled
     left = keyed.join(*match(F.broadcast(gone) if bounded else gone), "left_anti")
     if twice.isEmpty():
-        return left.select(*names)
-    once = left.join(*match(twice), "left_anti").select(*names)
-    again = left.join(*match(twice), "left_semi").dropDuplicates(["_none", "_id", "_hash"]).select(*names)
+        return left.select("own.*")
+    once = left.join(*match(twice), "left_anti").select("own.*")
+    again = left.join(*match(twice), "left_semi").dropDuplicates(["_none", "_id", "_hash"]).select("own.*")
     return once.unionByName(again)

@@ -343,15 +343,17 @@ class Decoder:
 
 
 def load(path: str) -> Model:
+    """The model of a file that the driver reads; an empty or broken file raises ValueError or an index error."""
     with open(path, "rb") as f:
         return Model(f.read())
 
 
-def encode(docs: DataFrame, model: Model, text: str = "text", chars: int = 2_500_000) -> DataFrame:
+def encode(docs: DataFrame, model: Model, text: str = "text", chars: int = 1_000_000) -> DataFrame:
     """All columns of docs and piece_ids (an array of int; a column of that name is replaced).
 
     Null and empty texts have no pieces; words are encoded wherever they stand alike, so repeated rows get
     equal ids. The model is a file of fixed size and travels with the tasks."""
+    common.small_batches(docs.sparkSession)
     kept = docs.drop("piece_ids")
     schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), "piece_ids array<int>"])
 
@@ -378,12 +380,13 @@ def decode(encoded: DataFrame, model: Model, ids: str = "piece_ids", to: str = "
     return kept.mapInPandas(rows, schema)
 
 
-def round_trip(docs: DataFrame, model: Model, text: str = "text", chars: int = 2_500_000) -> DataFrame:
+def round_trip(docs: DataFrame, model: Model, text: str = "text", chars: int = 1_000_000) -> DataFrame:
     """All columns of docs and n_pieces, pieces_sha256 (of the ids joined by blanks), decoded_sha256 (of the
     text that the ids decode to) and exact (whether it is the text, null counting as empty); columns of
     docs with these names are replaced."""
     names = ("n_pieces", "pieces_sha256", "decoded_sha256", "exact")
-    kept = docs.drop(*[c for c in docs.columns if c in names])
+    common.small_batches(docs.sparkSession)
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in names])
     schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), "n_pieces long, pieces_sha256 string, decoded_sha256 string, exact boolean"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

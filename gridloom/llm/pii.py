@@ -26,6 +26,8 @@ KINDS = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
 #: What a text must hold for any pattern to match.
 MAY = r"@|[0-9][0-9 ()./-]{5,}"
+#: The country codes of one and of two digits; all others have three.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Days of the 400 years from 1800 on: 189 * 773 = 146,097.
 _DAY_SPLIT, _FIRST_DAY = (189, 773), "1800-01-01"
 
@@ -147,9 +149,14 @@ def _email(m: Column, key: str, back: bool) -> Column:
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, _refilled(rest, "0-9", permuted_string(_only(rest, "0-9"), DIGITS, key, F.lit("phone"), back)))
+    """The country code stays, whatever separators follow it; all other digits are permuted as one string."""
+
+    def changed(digits: Column) -> Column:
+        code = F.regexp_extract(digits, COUNTRY, 0)
+        rest = F.substring(digits, F.length(code) + 1, F.length(digits))
+        return _refilled(m, "0-9", F.concat(code, permuted_string(rest, DIGITS, key, F.lit("phone"), back)))
+
+    return _let(_only(m, "0-9"), changed)
 
 
 def _card(m: Column, key: str, back: bool) -> Column:
@@ -175,21 +182,39 @@ def _ssn(m: Column, key: str, back: bool) -> Column:
 
 
 def _date(m: Column, key: str, back: bool) -> Column:
-    def moved(iso: Column, tweak: str) -> Column:
-        day = F.datediff(iso.try_cast("date"), F.lit(_FIRST_DAY).cast("date"))
-        new = F.date_add(F.lit(_FIRST_DAY).cast("date"), permuted_number(day, *_DAY_SPLIT, key, tweak, back).cast("int"))
-        return F.when((day >= 0) & (day < _DAY_SPLIT[0] * _DAY_SPLIT[1]), F.date_format(new, "yyyy-MM-dd"))
+    """A date written day first, or year first, becomes any date. One that can only be read month first
+    becomes another such: its permutation is walked on until the day is above 12 again."""
+    first = F.lit(_FIRST_DAY).cast("date")
+
+    def stepped(day: Column, tweak: str) -> Column:
+        return permuted_number(day, *_DAY_SPLIT, key, tweak, back)
+
+    def shown(day: Column) -> Column:
+        return F.date_format(F.date_add(first, day.cast("int")), "yyyy-MM-dd")
+
+    def moved(iso: Column, tweak: str, walk: bool = False) -> Column:
+        def changed(day: Column) -> Column:
+            new = stepped(day, tweak)
+            if walk:
+                # three of five days are above 12, so that so many steps don't suffice once in 10**25 cases
+                ends = lambda x: F.dayofmonth(F.date_add(first, x.cast("int"))) > 12
+                new = F.aggregate(F.sequence(F.lit(1), F.lit(64)), new, lambda x, _: F.when(ends(x), x).otherwise(stepped(x, tweak)))
+            return F.when((day >= 0) & (day < _DAY_SPLIT[0] * _DAY_SPLIT[1]), shown(new))
+
+        return _let(F.datediff(iso.try_cast("date"), first), changed)
 
-    def placed(iso: Column, sep: str, month_first: bool) -> Column:
+    def placed(iso: Column, sep: Column, month_first: bool) -> Column:
         y, mo, d = (F.substring(iso, a, n) for a, n in ((1, 4), (6, 2), (9, 2)))
-        return F.concat_ws(sep, *((mo, d) if month_first else (d, mo)), y)
+        parts = (mo, d) if month_first else (d, mo)
+        return F.when(iso.isNotNull(), F.concat(parts[0], sep, parts[1], sep, y))
 
     a, b, y = (F.substring(m, i, n) for i, n in ((1, 2), (4, 2), (7, 4)))
-    dmy, mdy = moved(F.concat_ws("-", y, b, a), "date"), moved(F.concat_ws("-", y, a, b), "month first")
+    day_first = _let(moved(F.concat_ws("-", y, b, a), "date"), lambda x: placed(x, F.substring(m, 3, 1), False))
+    month_first = _let(moved(F.concat_ws("-", y, a, b), "month first", True), lambda x: placed(x, F.lit("/"), True))
     return (
         F.when(F.substring(m, 5, 1) == "-", moved(m, "date"))
-        .when(F.substring(m, 3, 1) == ".", F.when(dmy.isNotNull(), placed(dmy, ".", False)))
-        .otherwise(F.coalesce(F.when(dmy.isNotNull(), placed(dmy, "/", False)), F.when(mdy.isNotNull(), placed(mdy, "/", True))))
+        .when((F.substring(m, 3, 1) == "/") & (b > "12"), month_first)
+        .otherwise(day_first)
     )
 
 
@@ -224,12 +249,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = Fal
     """All columns of docs, the text's personal data replaced, and an array `pii_kinds` of what was
     replaced, in order (a column of docs with that name is replaced). A null text stays null and an
     empty one empty, with no kinds; rows are independent, so repeated rows get equal results. With
-    back=True the same key restores the originals, except dates written month first: their pseudonym
-    may read as day first. A date outside 1800 to 2199 and a letter outside ASCII stay."""
+    back=True the same key restores the originals. A date outside 1800 to 2199 and a letter outside ASCII stay."""
     raw = F.col(f"`{text}`")
     matches = F.regexp_extract_all(raw, F.lit(ANY), F.lit(0))
     items = F.when(raw.rlike(MAY), F.transform(matches, lambda m: _replaced(m, key, back)))
-    kept = docs.drop(*[c for c in docs.columns if c in ("pii_kinds", "_pii", "_between")])
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in ("pii_kinds", "_pii", "_between")])
     found = kept.withColumn("_pii", items)
     between = F.split(raw, ANY, -1)
     some = F.coalesce(F.size("_pii") > 0, F.lit(False))

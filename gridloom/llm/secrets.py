@@ -56,7 +56,7 @@ def symbols(value: str) -> str:
 class Automaton:
     """A probabilistic automaton over symbols, learned by merging the states of a prefix tree."""
 
-    def __init__(self, values: Counter, alpha: float = 0.05, depth: int = 48):
+    def __init__(self, values: Counter, alpha: float = 0.05, depth: int = 128):
         self.counts: list[Counter] = [Counter()]
         self.next: list[dict[str, int]] = [{}]
         for value, n in values.items():
@@ -200,7 +200,8 @@ def scan(docs: DataFrame, grammar: Grammar | None, text: str = "text") -> DataFr
     name is replaced). Null is scanned as the empty text, which has no spans; repeated rows are each
     scanned. Offsets are code points, the end exclusive. The grammar is a small fitted model."""
     names = ["n_assign", "n_access", "n_hex", "base_spans", "spans"]
-    kept = docs.drop(*[c for c in docs.columns if c in names])
+    common.small_batches(docs.sparkSession)
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in names])
     schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), "n_assign long, n_access long, n_hex long, base_spans string, spans string"])
     order = {k: i for i, k in enumerate((*KINDS, "grammar"))}
 
@@ -219,6 +220,7 @@ def scan(docs: DataFrame, grammar: Grammar | None, text: str = "text") -> DataFr
 
 
 def digest(scanned: DataFrame) -> DataFrame:
+    """The query's columns of scanned rows, a row each; a text without spans has the hash of the empty string."""
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 

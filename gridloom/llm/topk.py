@@ -32,12 +32,15 @@ def usable(embedding: Column) -> Column:
 
 def _packed(pdf: pd.DataFrame) -> dict:
     matrix = np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1)
-    return {"ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "body": np.ascontiguousarray(matrix.T).tobytes()}
+    most = int(np.abs(matrix).max(initial=0))
+    kind = next(k for k in (np.int16, np.int32, np.int64) if most <= np.iinfo(k).max)
+    return {"ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "body": np.ascontiguousarray(matrix.T.astype(kind)).tobytes()}
 
 
-def _matrix(ids: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(ids: bytes, body: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and the vectors as columns; the bytes a component takes follow from the number of both."""
     names = np.frombuffer(ids, np.int64)
-    return names, np.frombuffer(body, np.int64).reshape(-1, len(names))
+    return names, np.frombuffer(body, f"<i{len(body) // max(1, len(names) * dim)}").astype(np.int64).reshape(dim, len(names))
 
 
 def _remaining(x: np.ndarray) -> np.ndarray:
@@ -70,18 +73,20 @@ def best(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rest: np.ndarr
     return sorted(merged, key=lambda t: (-t[0], t[1]))[:k]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 4096, queries_a_block: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 4096, queries_a_block: int = 1024, blocks_a_salt: int = 8) -> DataFrame:
     """(query_id, rank, vec_id, score): for each distinct query id its k highest integer inner products.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows without a
     vec_id. Rows that repeat a query's id are one query (the least vector) and no candidates of it;
     other repeated rows are candidates each. Only vectors of the query's length are compared. Every
-    query meets every candidate block; a block pair is the unit of work."""
+    query meets every candidate block; candidates are dealt out by salts, about blocks_a_salt blocks each, and
+    query blocks are copied to all salts, so that tasks grow in number with the candidates."""
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", quantised(F.col("embedding")).alias("v"), is_query.alias("q"))
     rows = rows.withColumn("dim", F.size("v"))
     queries = rows.where("q").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     n_blocks = max(1, -(-queries.count() // queries_a_block))
+    salts = max(1, -(-rows.count() // (block * blocks_a_salt)))
 
     def pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"qb": pdf["qb"].iloc[0], "dim": pdf["dim"].iloc[0], **{f"q_{a}": b for a, b in _packed(pdf).items()}}])
@@ -98,14 +103,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 4096,
                 yield pd.DataFrame([{"dim": dim, **_packed(b)} for b in blocks])
 
     candidates = rows.select("vec_id", "v", "dim").mapInPandas(pack, "dim int, ids binary, body binary")
-    candidates = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    salt = F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")
+    candidates = candidates.withColumn("salt", salt).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    packed_queries = packed_queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, list[tuple[int, int]]] = {}
         for pdf in batches:
-            for q_ids, q_body, ids, body in zip(pdf["q_ids"], pdf["q_body"], pdf["ids"], pdf["body"], strict=True):
-                names, q = _matrix(q_ids, q_body)
-                own, x = _matrix(ids, body)
+            for dim, q_ids, q_body, ids, body in zip(*(pdf[c] for c in ("dim", "q_ids", "q_body", "ids", "body")), strict=True):
+                names, q = _matrix(q_ids, q_body, dim)
+                own, x = _matrix(ids, body, dim)
                 if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, len(q)) >= 2**62:
                     raise ValueError("components too large for 64-bit scores")
                 rest = _remaining(x)
@@ -114,7 +121,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 4096,
         out = [(name, v, s) for name, top in found.items() for s, v in top]
         yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    pairs = candidates.join(packed_queries, ["qb", "dim"]).select("q_ids", "q_body", "ids", "body")
+    pairs = candidates.join(packed_queries, ["qb", "dim", "salt"]).select("dim", "q_ids", "q_body", "ids", "body")
     some = pairs.mapInPandas(score, "query_id long, vec_id long, score long")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return some.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 """The corpus operators against plain versions, on nulls, empty and long texts, ties, repeats and empty tables."""
 
+import datetime
 import hashlib
 import io
 import random
@@ -8,10 +9,11 @@ import zipfile
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import fingerprints, langid, mixing, pieces, pii, queries, secrets, substrings, topk, warc
+from gridloom.llm import fingerprints, langid, mixing, nearjoin, pieces, pii, queries, secrets, substrings, topk, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "long words follow here " * 4000
@@ -162,10 +164,10 @@ def test_blocks_of_repeats_are_bounded(spark, documents, monkeypatch, tmp_path):
     rows += [(None, None), (None, ""), (-5, text(30)), (2**62 + 1, text(30)), (2**62, text(30))]
     original, log = substrings.Block, str(tmp_path / "sizes")
 
-    def watched(pdf, width):
+    def watched(pdf, *more):
         with open(log, "a") as f:
             f.write(f"{pdf['text'].str.len().sum()}\n")
-        return original(pdf, width)
+        return original(pdf, *more)
 
     whole = substrings.remove_repeats(documents(rows), 5, blocks=1).collect()
     monkeypatch.setattr(substrings, "BLOCK_BYTES", 5_000, raising=False)
@@ -175,6 +177,29 @@ def test_blocks_of_repeats_are_bounded(spark, documents, monkeypatch, tmp_path):
     assert max(float(x) for x in open(log)) <= max(5_000, *(len(t or "") for _, t in rows))
 
 
+def test_equal_first_hashes_are_told_apart(spark, documents, monkeypatch):
+    """With a first hash that is the same for many windows, the second one decides."""
+    original = substrings.common.window_hashes
+
+    def weak(words, width, base=substrings.common.BASE):
+        h = original(words, width, base)
+        return h % np.uint64(3) if base == substrings.common.BASE else h
+
+    monkeypatch.setattr(substrings.common, "window_hashes", weak)
+    rng = random.Random(2)
+    rows = [(i, " ".join(str(rng.randrange(9)) for _ in range(30))) for i in range(30)]
+    blocks = [pd.DataFrame({"doc_id": [i], "none": [False], "text_hash": [0], "text": [t], "home": [i]}) for i, t in rows]
+    sent = []
+    for home, b in enumerate(blocks):
+        sent += [{"bucket": k, "home": home, "hashes": h, "more": m} for k, h, m in substrings.Block(b, 3, 8).firsts(1)]
+    told = substrings._resolve(pd.DataFrame(sent))
+    found = []
+    for home, b in enumerate(blocks):
+        own = told[told["home"] == home]
+        found.append(substrings._finish(substrings.Block(b, 3, 8), dict(zip(own["bucket"], own["flags"], strict=True)), 1, False).iloc[0])
+    assert [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found] == plain_removal(rows, 3)
+
+
 # --- 4 mixing -------------------------------------------------------------------------------------------
 
 
@@ -221,7 +246,7 @@ def test_language_of_odd_rows(spark, documents):
     model = langid.fit(labelled)
     assert model.languages == ["en", "fr"]
     keys, _ = langid.grams(["the dog"])
-    assert set(model.holders(keys).tolist()) == {1}  # a mask: English alone
+    assert set(model.holders(keys)[0].tolist()) == {1}  # a mask: English alone
     docs = documents([*ODD, (7, "123 !?"), (8, "chien chat le")]).withColumn("score", F.lit("clash"))
     found = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()}
     assert found[1, None] == found[2, ""] == found[7, "123 !?"] == ("und", 0.0) and found[8, "chien chat le"][0] == "fr"
@@ -230,6 +255,40 @@ def test_language_of_odd_rows(spark, documents):
     assert langid.identify(documents([]), model).count() == 0
 
 
+def test_language_against_plain_sets(spark, documents):
+    """A filter of exact sets decides alike, and more languages than a mask has bits do no harm."""
+    rng = random.Random(5)
+    alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöüéèñç", 7)) for _ in range(70)]
+    word = lambda k: "".join(rng.choice(alphabets[k]) for _ in range(rng.randrange(2, 7)))
+    text = lambda k, n: " ".join(word(k) for _ in range(n))
+    labelled = [(100 * k + i, text(k, 40), f"l{k:02}") for k in range(70) for i in range(4)]
+    model = langid.fit(documents(labelled), ratio=0.0)
+    assert model.languages == sorted({x[2] for x in labelled})
+
+    def plain(t):
+        t = f"  {t}  "
+        fold = "".join(c.lower()[0] if c.isalpha() else " " for c in t)
+        at = [i for i, c in enumerate(fold) if c != " "]
+        return [(fold[i - 2] if fold[i - 1] != " " else " ") + fold[i - 1 : i + 2] for i in at]
+
+    counts = {}
+    for _, t, name in labelled:
+        counts.setdefault(name, Counter()).update(plain(t))
+    held = {name: {g for g, n in c.items() if n >= 3} for name, c in counts.items()}
+    tests = [(k, text(k, 60)) for k in range(70)]
+    names, scores = model.decide([t for _, t in tests])
+    for (k, t), name, score in zip(tests, names, scores, strict=True):
+        share = {x: sum(g in own for g in plain(t)) / len(plain(t)) for x, own in held.items()}
+        assert name == max(sorted(share), key=share.get) == f"l{k:02}" and abs(score - share[name]) < 0.05
+
+
+def test_language_learns_from_different_texts(spark, documents):
+    rows = [(i, "the cat and the dog are here", "en") for i in range(300)] + [(400 + i, f"le chat et le chien sont la {'a' * i}", "fr") for i in range(5)]
+    rows += [(500 + i, f"a house stands in the garden {'b' * i}", "en") for i in range(5)]
+    model = langid.fit(documents(rows), train_rows=100)
+    assert model.decide(["house in the garden", "le chat et le chien"])[0] == ["en", "fr"]
+
+
 # --- 6 fingerprints -------------------------------------------------------------------------------------
 
 
@@ -283,6 +342,55 @@ def test_pseudonyms_keep_their_form_and_come_back(spark, documents):
     assert other != found[1]["text"]
 
 
+def plain_feistel(s, key, tweak, alphabet="0123456789"):
+    left, right = s[: len(s) // 2], s[len(s) // 2 :]
+    for i in range(pii.ROUNDS):
+        h = hashlib.sha512("|".join([key, str(i), tweak, right]).encode()).digest()
+        left, right = right, "".join(alphabet[(alphabet.index(c) + h[j % 64]) % len(alphabet)] for j, c in enumerate(left))
+    return left + right
+
+
+def plain_number(x, p, q, key, tweak):
+    a, b = divmod(x, q)
+    for i in range(pii.ROUNDS):
+        n = lambda other: int(hashlib.sha512("|".join([key, str(i), tweak, str(other)]).encode()).hexdigest()[:12], 16)  # noqa: B023, E731
+        a, b = ((a + n(b)) % p, b) if i % 2 == 0 else (a, (b + n(a)) % q)
+    return a * q + b
+
+
+def test_pseudonyms_against_a_plain_network(spark, documents):
+    rng = random.Random(8)
+    phones = ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+49 30 123 4567", "+4930 1234567", "+358 40 123 4567"]
+    dates = [f"{rng.randrange(1800, 2200)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}" for _ in range(40)]
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(40)]
+    rows = list(enumerate(phones + dates + ips))
+    found = {r["doc_id"]: r["text"] for r in pii.pseudonymise(documents(rows), "k").collect()}
+    for i, t in rows:
+        digits = re.sub("[^0-9]", "", t)
+        if t[0] == "+":
+            code = {"1": 1, "4": 2, "3": 3}[t[1]]
+            new = iter(digits[:code] + plain_feistel(digits[code:], "k", "phone"))
+            assert found[i] == "".join(next(new) if c.isdigit() else c for c in t)
+        elif "-" in t:
+            day = datetime.date(1800, 1, 1)
+            moved = plain_number((datetime.date.fromisoformat(t) - day).days, 189, 773, "k", "date")
+            assert found[i] == str(day + datetime.timedelta(moved))
+        else:
+            x = plain_number(int.from_bytes(bytes(map(int, t.split("."))), "big"), 65536, 65536, "k", "ip")
+            assert found[i] == ".".join(map(str, x.to_bytes(4, "big")))
+    assert len({re.sub("[^0-9]", "", found[i]) for i in range(3)}) == 1 and len({re.sub("[^0-9]", "", found[i]) for i in (3, 4)}) == 1
+
+
+def test_different_dates_stay_different(spark):
+    """All slash dates of eight years, in both orders, and back."""
+    days = spark.sql("SELECT explode(sequence(date'1996-01-01', date'2003-12-31')) d")
+    dates = days.select(F.date_format("d", "dd/MM/yyyy").alias("text")).union(days.where("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy").alias("text")))
+    done = pii.pseudonymise(dates.withColumn("old", F.col("text")), "k").drop("pii_kinds").cache()
+    row = done.agg(F.count("*").alias("n"), F.countDistinct("text").alias("m"), F.countDistinct("old").alias("k")).first()
+    assert row["n"] == row["m"] == row["k"]
+    assert pii.pseudonymise(done, "k", back=True).where("text <> old").isEmpty()
+
+
 # --- 9 top-k --------------------------------------------------------------------------------------------
 
 
@@ -291,7 +399,7 @@ def test_top_k_is_exact(spark):
     rows = [(i, [float(x) for x in np.round(rng.normal(size=20) * 0.2, 2)]) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(40)] + [(400, None), (401, [None] * 20), (402, [float("nan")] * 20), (403, [float("inf")] + [0.0] * 19), (404, [1.0]), (None, rows[3][1]), (0, rows[0][1])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = topk.search(vectors, F.col("vec_id") % 50 == 0, block=64, queries_a_block=2).collect()
+    found = topk.search(vectors, F.col("vec_id") % 50 == 0, block=64, queries_a_block=2, blocks_a_salt=1).collect()
     usable = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     expected = []
     for q, x in sorted({i: v for i, v in reversed(usable) if i % 50 == 0}.items()):
@@ -302,6 +410,12 @@ def test_top_k_is_exact(spark):
     assert topk.search(vectors.where("vec_id in (0, 404)"), F.col("vec_id") % 50 == 0).count() == 0  # of another length
 
 
+def test_large_components_take_wider_bytes(spark):
+    rows = [(i, [float(i), 1e4 * i]) for i in range(60)]
+    found = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 3, k=2).collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(59, 256 * 256 * (3 * 59 + 3 * 59 * 10**8)), (58, 256 * 256 * (3 * 58 + 3 * 58 * 10**8))]
+
+
 # --- 10 secrets -----------------------------------------------------------------------------------------
 
 
@@ -334,3 +448,61 @@ def test_automata_add_likely_credentials(spark, documents):
     assert "grammar:0:20" in spans and "incomprehensib" not in [text[int(a) : int(b)] for a, b in re.findall(r"grammar:(\d+):(\d+)", spans)]
     empty = secrets.fit(documents([]))
     assert empty.automata == {} and empty.spans(text, []) == []
+
+
+# --- names that clash, and the registered queries --------------------------------------------------------
+
+
+def test_names_that_clash(spark, documents):
+    names = ["Score", "LANG_PRED", "SPANS", "Piece_Ids", "Exact", "rank", "cum", "_key", "own", "size", "_id", "_Hash", "_copies", "_none", "n", "class", "Pii_Kinds", "removed", "word", "bucket"]
+    docs = documents([(1, "token = abcdef1 and a house in the garden", "en", "s"), (1, "token = abcdef1 and a house in the garden", "en", "s"), (2, None, None, None)])
+    docs = docs.select("*", *[F.lit("clash").alias(x) for x in names])
+    model = langid.fit(docs)
+    assert langid.identify(docs, model).count() == 3
+    assert secrets.scan(docs, secrets.fit(docs)).count() == 3
+    assert pii.pseudonymise(docs, "k").count() == 3
+    assert mixing.apply(docs).columns == docs.columns
+    assert mixing.plan(docs.drop("size").withColumn("size", F.lit(3).cast("long"))).count() == 3
+    assert [nearjoin.keep_first(docs).count(), nearjoin.keep_first(docs).columns] == [2, docs.columns]
+    assert nearjoin.link(docs).count() == substrings.remove_repeats(docs).count() == fingerprints.compare_next(docs).count() == 3
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", 1, 2)], "page_id long, url string, html string, start long, Path long")
+    assert warc.round_trip(pages).count() == 1
+    vectors = spark.createDataFrame([(0, [1.0], 1), (1, [0.5], 2)], "vec_id long, embedding array<double>, Rank int")
+    assert topk.search(vectors, F.col("vec_id") == 0).count() == 1
+
+
+#: The columns each query returns at least.
+COLUMNS = {
+    "op1_sentencepiece": {"doc_id", "n_pieces"}, "op2_warc_round_trip": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+    "op3_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"}, "op4_mix_sources": {"doc_id", "size", "source_size", "target", "taken"},
+    "op5_language_id": {"doc_id", "held_out", "lang_pred", "score"}, "op7_jaccard_join": {"doc_id", "n_shingles", "component_id"},
+    "op6_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
+    "op8_pii_pseudonyms": {"doc_id", "text", *(f"n_{k}" for k in pii.KINDS)}, "op9_exact_top_k": {"query_id", "rank", "vec_id", "score"},
+    "op10_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_registered_queries(spark, sf_dir, name):
+    path = sf_dir([(1, "token = abcdef1 wrote ann@mail.example.com", "en", "s"), (2, None, None, None), (3, "a b c d e f g " * 9, "en", "t"), (4, "a b c d e f g " * 9, "en", "s")])
+    spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, "u", None)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(0, [0.5, 1.0]), (1, [1.0, 0.25]), (50, None)], "vec_id long, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
+    found = queries.QUERIES[name](spark, path)
+    rows = {r[0]: r for r in found.collect()}
+    assert COLUMNS[name] <= set(found.columns)
+    if name == "op2_warc_round_trip":
+        assert rows[2]["refers_to"] == 1 and rows[3]["payload_bytes"] == 0
+    elif name == "op3_substring_dedup":
+        assert (rows[3]["n_removed"], rows[4]["n_removed"], rows[4]["kept_sha256"]) == (56, 63, hashlib.sha256(b"").hexdigest())
+    elif name == "op4_mix_sources":
+        assert rows[2]["taken"] == 0 and rows[3]["size"] == 63
+    elif name == "op7_jaccard_join":
+        assert (rows[3]["n_shingles"], rows[4]["component_id"], rows[2]["component_id"]) == (7, 3, 2)
+    elif name == "op8_pii_pseudonyms":
+        assert rows[1]["n_email"] == 1 and rows[2]["text"] is None
+    elif name == "op9_exact_top_k":
+        assert [tuple(r) for r in found.collect()] == [(0, 1, 1, 128 * 256 + 256 * 64)]
+    elif name == "op10_secret_scan":
+        assert rows[1]["base_sha256"] == hashlib.sha256(b"assign:0:15").hexdigest() and rows[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    else:
+        assert len(rows) == 4
