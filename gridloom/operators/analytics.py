@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.lengths import int_div
+from gridloom.functions.lengths import QUARTER_YARD, ceil_div, int_div
+from gridloom.operators import sizing
 from gridloom.operators.structure import dims
 from gridloom.sources.grids import Models
 
@@ -131,3 +132,14 @@ def verdict(grid: Column, periodicity: Column, coherence: Column, repeat: Column
     rescued = lattice & F.coalesce(lock & (mean_cell >= T5), F.lit(False))
     textured = lattice & F.coalesce(block > T3, F.lit(False))
     return F.when((grid >= T1) | rescued, rest).when(textured, "non_square_repeat").otherwise("no_grid")
+
+
+def summary(models: Models) -> DataFrame:
+    """A row a model: sides, number of fabrics, finished and batting size, and the batting's quarter yards."""
+    n = models.fabrics.groupBy("model_id").agg(F.count("*").alias("fabric_count"))
+    size = sizing.finished_columns(models.quilts, models.borders)
+    q = models.quilts.select("model_id", "rows", "cols").join(size, "model_id").join(n, "model_id", "left")
+    return q.select(
+        "model_id", "rows", "cols", F.coalesce("fabric_count", F.lit(0)).alias("fabric_count"), "finished_width", "finished_height", "batting_width", "batting_height",
+        ceil_div(F.col("batting_height"), QUARTER_YARD).alias("batting_quarters"),
+    )

@@ -209,7 +209,10 @@ def event_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.from_events(table(spark, sf_dir, "events")).groupBy("model_id", "fabric_id").agg(F.count("*").alias("cells"))
 
 
-@register("violations", "SELECT 'small' AS model_id, 'unknown fabric' AS rule, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'tiny', 'dimensions', 1")
+@register("violations", _sql([MODELS_CTE, "kept AS (SELECT * FROM cells WHERE NOT (model_id = 'tiny' AND r = 1 AND c = 1))", "known AS (SELECT * FROM fabrics WHERE NOT (model_id = 'small' AND fabric_id = 'w'))"], """
+ SELECT model_id, 'dimensions' AS rule, count(*) AS n FROM quilts q WHERE rows * cols <> (SELECT count(*) FROM kept k WHERE k.model_id = q.model_id) GROUP BY model_id
+ UNION ALL SELECT model_id, 'unknown fabric', count(*) FROM (SELECT model_id, fabric_id FROM kept UNION SELECT model_id, fabric_id FROM borders UNION SELECT model_id, binding_fabric_id FROM quilts) u WHERE (model_id, fabric_id) NOT IN (SELECT (model_id, fabric_id) FROM known) GROUP BY model_id
+ UNION ALL SELECT model_id, 'positive size', count(*) FROM quilts WHERE cell_size <= 0 GROUP BY model_id UNION ALL SELECT model_id, 'positive band', count(*) FROM borders WHERE width <= 0 GROUP BY model_id""", "n"))
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models are broken on purpose."""
     m = grids.everything(spark)
@@ -352,12 +355,26 @@ def purchase_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(construction.purchase(_plan(spark, "strip")))
 
 
-@register("metrics_historical")
+_SHAPES = """
+shape AS (SELECT q.model_id, q.rows, q.cols, l.size, l.down, l.across, (SELECT count(*) FROM borders b WHERE b.model_id = q.model_id) AS bands, CAST(ceil((perimeter + 80) / 336.0) AS BIGINT) AS strips,
+ finished_width * finished_height / 9216.0 AS sqft FROM quilts q JOIN finished USING (model_id) LEFT JOIN (SELECT model_id, size, max(br) + 1 AS down, max(bc) + 1 AS across FROM layout GROUP BY ALL) l USING (model_id)),
+ends AS (SELECT model_id, CASE WHEN size IS NOT NULL THEN down * (across - 1) + down - 1 ELSE rows - 1 END + 4 * bands + strips AS finishing FROM shape),
+bought AS (SELECT model_id, sum(area) AS area, sum(ceil(ceil(area / 336.0) / 72.0) * 72 * 336) AS bought FROM fabric_area GROUP BY model_id)"""
+_METRICS = """SELECT model_id, strategy, piece_count, cut_count, seam_count, strip_set_count, (bought - area) / bought AS waste, round_even(log10(piece_count) + seam_count / sqft, 0) AS difficulty,
+ round_even(piece_count * 1.5 + strip_set_count * 10, 0) AS time_minutes, 0.0 AS bias_percent, 'rough heuristic' AS heuristic_label FROM ({}) JOIN shape USING (model_id) JOIN bought USING (model_id)"""
+_ALL_AREAS = "fabric_area AS (SELECT model_id, fabric_id, sum(area) AS area FROM (SELECT model_id, fabric_id, area FROM edge UNION ALL SELECT model_id, fabric_id, area FROM {}) GROUP BY ALL)"
+_COUNTS = "piece_count cut_count seam_count strip_set_count difficulty time_minutes"
+
+
+@register("metrics_historical", _sql([MODELS_CTE, SIZE_CTE, BLOCKS_CTE, _AREAS, _ALL_AREAS.format("squares"), _SHAPES], _METRICS.format("""SELECT model_id, 'historical' AS strategy, rows * cols + 4 * bands AS piece_count, rows * cols + 4 * bands + strips AS cut_count,
+ CASE WHEN size IS NOT NULL THEN down * across * (size * size - 1) ELSE rows * (cols - 1) END + finishing AS seam_count, 0 AS strip_set_count FROM shape JOIN ends USING (model_id)"""), _COUNTS, "waste bias_percent"))
 def metrics_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return construction.metrics(_plan(spark, "historical"))
 
 
-@register("metrics_strip")
+@register("metrics_strip", _sql([MODELS_CTE, SIZE_CTE, BLOCKS_CTE, SETS_CTE, _AREAS, "used AS (SELECT model_id, unnest(sequence) AS fabric_id, width * 336 * sets AS area FROM sets)", _ALL_AREAS.format("used"), _SHAPES],
+ _METRICS.format("""SELECT model_id, 'strip' AS strategy, rows * cols + 4 * bands AS piece_count, set_cuts + 4 * bands + strips AS cut_count, sewn + down * across * (size - 1) + finishing AS seam_count, n_sets AS strip_set_count
+ FROM shape JOIN ends USING (model_id) JOIN (SELECT model_id, sum(sets) AS n_sets, sum(sets * len(sequence) + needed) AS set_cuts, sum((len(sequence) - 1) * sets) AS sewn FROM sets GROUP BY model_id) USING (model_id)"""), _COUNTS, "waste bias_percent"))
 def metrics_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return construction.metrics(_plan(spark, "strip"))
 
@@ -367,9 +384,25 @@ def metrics_modern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return construction.metrics(_plan(spark, "modern"))
 
 
-@register("assembly_steps", "SELECT 'benchmark' AS model_id, CAST(23 AS BIGINT) AS steps")
+@register("assembly_steps", _sql([MODELS_CTE, BLOCKS_CTE, SETS_CTE], """SELECT model_id, (SELECT count(*) FROM sets s WHERE s.model_id = q.model_id) + 1 + (SELECT count(*) FROM types t WHERE t.model_id = q.model_id)
+ + (SELECT max(br) + 2 FROM layout l WHERE l.model_id = q.model_id) + (SELECT count(*) FROM borders b WHERE b.model_id = q.model_id) + 2 AS steps FROM quilts q WHERE model_id = 'benchmark'""", "steps"))
 def assembly_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return construction.assembly_steps(construction.plan(grids.benchmark(spark), "strip"))
+    """How many steps the strip plan takes."""
+    return construction.assembly_steps(construction.plan(grids.benchmark(spark), "strip")).groupBy("model_id").agg(F.count("*").alias("steps"))
+
+
+@register("assembly_strip", _sql([MODELS_CTE, SIZE_CTE, BLOCKS_CTE, SETS_CTE, """
+across AS (SELECT model_id, br, count(*) AS across, string_agg(chr(CAST(65 + type AS INTEGER)), ' ' ORDER BY bc) AS letters FROM layout GROUP BY ALL), down AS (SELECT model_id, count(*) AS down FROM across GROUP BY ALL)"""], f"""SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY phase, ord) AS number, title, detail FROM (
+ SELECT model_id, 0 AS phase, set AS ord, 'Sew strip set SS' || set || ' (make ' || sets || ')' AS title, len(sequence) || ' WOF strips cut ' || {_inch('width')} || ', sewn lengthwise in order: ' || array_to_string(sequence, ' ') || '.' AS detail FROM sets
+ UNION ALL SELECT model_id, 1, 0, 'Crosscut the strip sets', 'Crosscut every set at ' || {_inch('(cell_size + 4)')} || '.' FROM quilts
+ UNION ALL SELECT model_id, 2, type, 'Assemble Block ' || chr(CAST(65 + type AS INTEGER)) || ' (make ' || n || ')', 'Stack segments top to bottom: ' || string_agg('SS' || set, ' ' ORDER BY row) || '.' FROM block_rows JOIN sets USING (model_id, sequence) GROUP BY model_id, type, n
+ UNION ALL SELECT model_id, 3, br, 'Join block row ' || (br + 1) || ' of ' || down, 'Sew the ' || across || ' blocks left to right: ' || letters || '.' FROM across JOIN down USING (model_id)
+ UNION ALL SELECT model_id, 4, 0, 'Join the block rows', 'Sew the ' || down || ' rows together top to bottom.' FROM down
+ UNION ALL SELECT model_id, 5, ord, 'Attach border ' || (ord + 1), {_inch('width')} || ' finished band, all four sides.' FROM borders
+ UNION ALL SELECT model_id, 6, 0, 'Prepare the binding', 'Join ' || CAST(ceil((perimeter + 80) / 336.0) AS BIGINT) || ' WOF strips of ' || {_inch('20')} || ' end to end; press in half lengthwise.' FROM finished
+ UNION ALL SELECT model_id, 7, 0, 'Bind the quilt', 'Attach the binding to the quilt edge; miter the corners.' FROM quilts) WHERE model_id IN (SELECT model_id FROM sized)""", "number"))
+def assembly_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return construction.assembly_steps(construction.plan(grids.everything(spark), "strip"))
 
 
 @register("rectangle_cover")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.sources.grids import Models
@@ -11,10 +11,33 @@ SCHEMA = (
     "struct<schema_version: string, metadata: struct<name: string, notes: string>, palette: struct<fabrics: array<struct<id: string, name: string, color: string>>>, "
     "center: struct<kind: string, rows: int, cols: int, cell_size: int, cells: array<array<string>>, cell_confidence: array<array<double>>>, "
     "borders: array<struct<fabric_id: string, width: int>>, binding: struct<fabric_id: string, strip_width: int>, "
-    "settings: struct<seam_allowance: int, wof: int, binding_extra: int, backing_margin: int>>"
+    "quilting: struct<motifs: array<struct<name: string, x: int, y: int, width: int, height: int>>, density: double>, "
+    "settings: struct<seam_allowance: int, wof: int, binding_strip_width: int, binding_extra: int, backing_margin: int>, "
+    "provenance: struct<source: string, stage_confidence: map<string, double>>>"
 )
 
 
+#: Columns of quilts that only documents have, and what they are where they are missing.
+_OPTIONAL = {
+    "notes": F.lit(""), "binding_strip_width": F.lit(20), "density": F.lit(None).cast("double"),
+    "motifs": F.array().cast("array<struct<name: string, x: int, y: int, width: int, height: int>>"),
+    "source": F.lit("authored"), "stage_confidence": F.create_map().cast("map<string, double>"),
+}
+
+
+_PLACES = (("metadata", "notes"), ("settings", "binding_strip_width"), ("quilting", "motifs"), ("quilting", "density"), ("provenance", "source"), ("provenance", "stage_confidence"))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """(model_id, json) of the document files below a folder that `save` wrote, a file each."""
+    return spark.read.text(path, wholetext=True).select(F.col("model_id").cast("string").alias("model_id"), F.col("value").alias("json"))
+
+
+def save(models: Models, path: str) -> None:
+    """A folder a model with its document."""
+    to_json(models).withColumnRenamed("json", "value").repartition("model_id").write.partitionBy("model_id").text(path)
+
+
 def parse(rows: DataFrame) -> DataFrame:
     """(model_id, doc, problem) from (model_id, json); a project file's model is taken out of it. doc is null and
     problem says why where the text isn't a document of version 1."""
@@ -44,6 +67,7 @@ def quilts_of(parsed: DataFrame) -> DataFrame:
         "model_id", F.col("doc.metadata.name").alias("name"), *[F.col(f"doc.center.{c}").alias(c) for c in ("rows", "cols", "cell_size")],
         F.col("doc.binding.fabric_id").alias("binding_fabric_id"), F.coalesce("doc.binding.strip_width", F.lit(20)).alias("binding_width"),
         *[F.coalesce(f"doc.settings.{k}", F.lit(v)).alias(k) for k, v in usual.items()],
+        *[F.coalesce(f"doc.{at}.{k}", _OPTIONAL[k]).alias(k) for at, k in _PLACES],
     )
 
 
@@ -72,11 +96,14 @@ def to_json(models: Models) -> DataFrame:
     fabrics = models.fabrics.groupBy("model_id").agg(F.transform(_ordered(F.struct(F.col("fabric_id").alias("id"), "name", "color"), "ord"), lambda x: x["v"]).alias("fabrics"))
     bands = models.borders.groupBy("model_id").agg(F.transform(_ordered(F.struct("fabric_id", "width"), "ord"), lambda x: x["v"]).alias("borders"))
     q = models.quilts.join(grid, "model_id").join(fabrics, "model_id", "left").join(bands, "model_id", "left")
+    q = q.withColumns({k: v for k, v in _OPTIONAL.items() if k not in q.columns})
     doc = F.struct(
-        F.lit("1").alias("schema_version"), F.struct("name", F.lit("").alias("notes")).alias("metadata"), F.struct("fabrics").alias("palette"),
+        F.lit("1").alias("schema_version"), F.struct("name", "notes").alias("metadata"), F.struct("fabrics").alias("palette"),
         F.struct(F.lit("grid").alias("kind"), "rows", "cols", "cell_size", "cells", "cell_confidence").alias("center"),
         F.coalesce("borders", F.array().cast("array<struct<fabric_id: string, width: int>>")).alias("borders"),
         F.struct(F.col("binding_fabric_id").alias("fabric_id"), F.col("binding_width").alias("strip_width")).alias("binding"),
-        F.struct("seam_allowance", "wof", "binding_extra", "backing_margin").alias("settings"),
+        F.struct("motifs", "density").alias("quilting"),
+        F.struct("seam_allowance", "wof", "binding_strip_width", "binding_extra", "backing_margin").alias("settings"),
+        F.struct("source", "stage_confidence").alias("provenance"),
     )
-    return q.select("model_id", F.to_json(doc).alias("json"))
+    return q.select("model_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))

@@ -69,7 +69,7 @@ def _tables(spark: SparkSession, models: list[tuple]) -> tuple[DataFrame, DataFr
 def benchmark(spark: SparkSession, across: int = 9, down: int = 11, cell_size: int = 12, band: int = 30) -> Models:
     """Two 5x5 blocks in checkerboard order, the first on all four corners."""
     if across % 2 == 0 or down % 2 == 0:
-        raise ValueError("both block counts must be odd, so that the first block is on all corners")
+        raise ValueError(f"{across} x {down} blocks: an even count puts the second block on a corner")
     rows, cols = down * 5, across * 5
     r, c = int_div(F.col("id"), cols), F.col("id") % cols
     which = F.when((int_div(r, 5) + int_div(c, 5)) % 2 == 0, F.lit(BLOCKS[0])).otherwise(F.lit(BLOCKS[1]))
