@@ -271,11 +271,13 @@ def _alike(a: str, b: str) -> Column:
 
 
 def _sets(names: DataFrame, classes: DataFrame, docs: DataFrame, chars: int) -> DataFrame:
-    """(class, set) of the named classes, made from the text of one document of each."""
-    wanted = common.written(classes.join(names.distinct(), "class", "left_semi").select("none", "doc_id", "text_hash"), "candidates")
-    if wanted.count() <= 1_000_000:  # three short columns, so some 50 MB at most; beyond it both sides are shuffled
+    """(class, paired, clustered, set) of the named classes (class, paired, clustered), made from the text of one
+    document of each. What they are wanted for goes along, so that no join moves sets that it doesn't need."""
+    use = names.groupBy("class").agg(F.max("paired").alias("paired"), F.max("clustered").alias("clustered"))
+    wanted = common.written(classes.join(use, "class").select("none", "doc_id", "text_hash", "paired", "clustered"), "candidates")
+    if wanted.count() <= 1_000_000:  # five short columns, so some 60 MB at most; beyond it both sides are shuffled
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, ["none", "doc_id", "text_hash"], "left_semi").select("text")
+    texts = docs.join(wanted, ["none", "doc_id", "text_hash"]).select("text", "paired", "clustered")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = common.WordHashes()
@@ -283,22 +285,29 @@ def _sets(names: DataFrame, classes: DataFrame, docs: DataFrame, chars: int) ->
             h, owner = shingles(list(pdf["text"]), hashes)
             n = np.bincount(owner, minlength=len(pdf))
             parts = np.split(h, np.cumsum(n)[:-1])
-            yield pd.DataFrame({"class": _sums(h, n), "set": [common.packed_sorted(x) for x in parts]})
+            yield pd.DataFrame({"class": _sums(h, n), "paired": pdf["paired"].to_numpy(), "clustered": pdf["clustered"].to_numpy(), "set": [common.packed_sorted(x) for x in parts]})
 
-    own = common.written(texts.mapInPandas(sets, "class string, set binary"), "sets")
+    own = common.written(texts.mapInPandas(sets, "class string, paired boolean, clustered boolean, set binary"), "sets")
     seen = own.agg(F.count("class").alias("rows"), F.countDistinct("class").alias("classes")).first()
     # rows that repeat a document give its class more than once
     return common.written(own.dropDuplicates(["class"]), "sets") if seen["rows"] > seen["classes"] else own
 
 
+def _of(names: DataFrame, sets: DataFrame, most: int = 200_000) -> DataFrame:
+    """The sets of the named classes, where they are few enough to be sent everywhere (some 20 MB); else all sets."""
+    names = common.written(names.select("class").distinct(), "needed")
+    return sets.join(F.broadcast(names), "class", "left_semi") if names.count() <= most else sets
+
+
 def _enough(shared, n, m):
     return 100 * shared >= PERCENT * (n + m - shared)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    sets = [_of(pairs.select(F.col(x).alias("class")), sets) for x in ("a", "b")]
+    left = pairs.join(sets[0].select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
+    both = left.join(sets[1].select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -434,7 +443,7 @@ def _asked(clusters: DataFrame, rooted: DataFrame, members: DataFrame, sets: Dat
     others = F.when(F.col("asks"), F.col("ask_blocks") + F.col("main_blocks")).otherwise(F.col("ask_blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("ask"), F.greatest("block", "other").alias("part"), "block", "class", "root")
-    outer = dealt.join(sets, "class").groupBy("cluster", "ask", "part").applyInPandas(_outer, "a string, b string")
+    outer = dealt.join(_of(dealt, sets).select("class", "set"), "class").groupBy("cluster", "ask", "part").applyInPandas(_outer, "a string, b string")
     return _verified(paired, sets).unionByName(outer)
 
 
@@ -486,14 +495,15 @@ def _resolved(docs: DataFrame, chars: int) -> tuple[DataFrame, DataFrame]:
     sides = [classes.select(F.col("grp").alias(x), F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b")]
     met = pairs.join(sides[0], "a").join(sides[1], "b").where(_alike("n_a", "n_b") & (F.col("class_a") != F.col("class_b")) & ((F.col("a") != F.col("b")) | (F.col("class_a") < F.col("class_b"))))
     pairs = common.written(met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("class"), F.lit(True).alias("paired"), F.lit(False).alias("clustered"))
     dense = not members.isEmpty()
     if dense:
         # clusters, whose parts are searched each for itself; some classes of a part also sit in the next
         clusters = _clusters(members)
-        named = named.unionByName(clusters.select("class"))
+        named = named.unionByName(clusters.select("class", F.lit(False).alias("paired"), F.lit(True).alias("clustered")))
     sets = _sets(named, classes, rows, chars)
-    links = _verified(pairs, sets)
+    links = _verified(pairs, sets.where("paired"))
+    sets = sets.where("clustered").select("class", "set")
     if dense:
         placed = clusters.join(sets, "class")
         guests = placed.where((F.col("parts") > 1) & (F.pmod(F.xxhash64("class", F.lit(1)), F.lit(16)) == 0)).withColumn("part", (F.col("part") + 1) % F.col("parts"))
