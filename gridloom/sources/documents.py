@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.sources.grids import Models
@@ -17,12 +17,13 @@ SCHEMA = (
 )
 
 
-#: Columns of quilts that only documents have, and what they are where they are missing.
-_OPTIONAL = {
-    "notes": F.lit(""), "binding_strip_width": F.lit(20), "density": F.lit(None).cast("double"),
-    "motifs": F.array().cast("array<struct<name: string, x: int, y: int, width: int, height: int>>"),
-    "source": F.lit("authored"), "stage_confidence": F.create_map().cast("map<string, double>"),
-}
+def _optional() -> dict[str, Column]:
+    """Columns of quilts that only documents have, and what they are where they are missing."""
+    return {
+        "notes": F.lit(""), "binding_strip_width": F.lit(20), "density": F.lit(None).cast("double"),
+        "motifs": F.array().cast("array<struct<name: string, x: int, y: int, width: int, height: int>>"),
+        "source": F.lit("authored"), "stage_confidence": F.create_map().cast("map<string, double>"),
+    }
 
 
 _PLACES = (("metadata", "notes"), ("settings", "binding_strip_width"), ("quilting", "motifs"), ("quilting", "density"), ("provenance", "source"), ("provenance", "stage_confidence"))
@@ -67,7 +68,7 @@ def quilts_of(parsed: DataFrame) -> DataFrame:
         "model_id", F.col("doc.metadata.name").alias("name"), *[F.col(f"doc.center.{c}").alias(c) for c in ("rows", "cols", "cell_size")],
         F.col("doc.binding.fabric_id").alias("binding_fabric_id"), F.coalesce("doc.binding.strip_width", F.lit(20)).alias("binding_width"),
         *[F.coalesce(f"doc.settings.{k}", F.lit(v)).alias(k) for k, v in usual.items()],
-        *[F.coalesce(f"doc.{at}.{k}", _OPTIONAL[k]).alias(k) for at, k in _PLACES],
+        *[F.coalesce(f"doc.{at}.{k}", _optional()[k]).alias(k) for at, k in _PLACES],
     )
 
 
@@ -96,7 +97,7 @@ def to_json(models: Models) -> DataFrame:
     fabrics = models.fabrics.groupBy("model_id").agg(F.transform(_ordered(F.struct(F.col("fabric_id").alias("id"), "name", "color"), "ord"), lambda x: x["v"]).alias("fabrics"))
     bands = models.borders.groupBy("model_id").agg(F.transform(_ordered(F.struct("fabric_id", "width"), "ord"), lambda x: x["v"]).alias("borders"))
     q = models.quilts.join(grid, "model_id").join(fabrics, "model_id", "left").join(bands, "model_id", "left")
-    q = q.withColumns({k: v for k, v in _OPTIONAL.items() if k not in q.columns})
+    q = q.withColumns({k: v for k, v in _optional().items() if k not in q.columns})
     doc = F.struct(
         F.lit("1").alias("schema_version"), F.struct("name", "notes").alias("metadata"), F.struct("fabrics").alias("palette"),
         F.struct(F.lit("grid").alias("kind"), "rows", "cols", "cell_size", "cells", "cell_confidence").alias("center"),
