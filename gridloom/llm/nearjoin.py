@@ -304,10 +304,14 @@ def _enough(shared, n, m):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    sets = [_of(pairs.select(F.col(x).alias("class")), sets) for x in ("a", "b")]
-    left = pairs.join(sets[0].select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets[1].select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    """The pairs (a, b) whose sets reach the threshold. Few pairs (of 96 signs, so some 30 MB at most) are sent to the
+    sets, which then move once, by b; else both joins read the same exchange of all sets."""
+    others = sets
+    if pairs.count() <= 200_000:
+        others = _of(pairs.select(F.col("b").alias("class")), sets)
+        pairs = F.broadcast(pairs)
+    left = sets.select(F.col("class").alias("a"), F.col("set").alias("x")).join(pairs, "a")
+    both = left.join(others.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
