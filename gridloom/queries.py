@@ -549,10 +549,38 @@ def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(profiles.spikes(_profile(spark, sf_dir)))
 
 
-@register("pitch_and_phase", "SELECT 's' AS series_id, CAST(8 AS BIGINT) AS pitch, CAST(3.0 AS DOUBLE) AS offset_px")
+_COMBS = (("eight", 160, 8, (3,)), ("turns", 610, 30, (4, 18)), ("halves", 400, 15, (2, 9)))
+_PITCHES = [
+    "profile AS (SELECT event_type AS series_id, user_id % 97 AS pos, sum(CAST(event_id % 7 AS BIGINT)) AS value FROM events GROUP BY ALL "
+    + " ".join(f"UNION ALL SELECT '{name}', i, CASE WHEN i % {period} IN ({', '.join(map(str, at))}) THEN 10 ELSE 0 END FROM range({n}) AS t(i)" for name, n, period, at in _COMBS) + ")",
+    "x AS (SELECT *, avg(value) OVER w + stddev_pop(value) OVER w AS bar, lag(value) OVER o AS b, lead(value) OVER o AS a FROM profile WINDOW w AS (PARTITION BY series_id), o AS (PARTITION BY series_id ORDER BY pos))",
+    "tops AS (SELECT series_id, pos, coalesce(CAST(value > bar AND value >= b AND value >= a AS INTEGER), 0) AS p FROM x)",
+    "spike AS (SELECT series_id, pos, greatest(p, coalesce(lag(p) OVER o, 0), coalesce(lead(p) OVER o, 0)) AS spike FROM tops WINDOW o AS (PARTITION BY series_id ORDER BY pos))",
+    "m AS (SELECT series_id, pos, spike - avg(spike) OVER w AS x, max(pos) OVER w AS final FROM spike WINDOW w AS (PARTITION BY series_id))",
+    "z AS (SELECT series_id, sum(x * x) AS z FROM m GROUP BY series_id)",
+    "c AS (SELECT a.series_id, a.final, b.pos - a.pos AS d, round(CASE WHEN z > 0 THEN sum(a.x * b.x) / z ELSE 0 END, 9) AS corr FROM m a JOIN m b ON a.series_id = b.series_id AND b.pos >= a.pos JOIN z ON z.series_id = a.series_id GROUP BY a.series_id, a.final, b.pos - a.pos, z)",
+    "sided AS (SELECT *, lag(corr) OVER o AS b, lead(corr) OVER o AS a FROM c WHERE d >= 5 AND d < least(40, final) WINDOW o AS (PARTITION BY series_id ORDER BY d))",
+    "peaks AS (SELECT *, max(corr) OVER (PARTITION BY series_id) AS top FROM sided WHERE corr >= b AND corr >= a AND corr > 0)",
+    "base AS (SELECT series_id, final, min(d) AS base FROM peaks WHERE corr >= 0.5 * top GROUP BY series_id, final)",
+    "fit AS (SELECT i.series_id, base, h.corr AS height, base + CASE WHEN abs(b.corr - 2 * h.corr + a.corr) > 1e-9 THEN greatest(-0.5, least(0.5, 0.5 * (b.corr - a.corr) / (b.corr - 2 * h.corr + a.corr))) ELSE 0 END AS p FROM base i "
+    "JOIN c h ON h.series_id = i.series_id AND h.d = base JOIN c b ON b.series_id = i.series_id AND b.d = base - 1 JOIN c a ON a.series_id = i.series_id AND a.d = base + 1)",
+    "near AS (SELECT i.series_id, k, d, corr, row_number() OVER (PARTITION BY i.series_id, k ORDER BY corr DESC, d) AS place FROM base i, range(2, 7) AS t(k), c WHERE c.series_id = i.series_id AND abs(d - k * base) <= 2 AND k * base + 2 <= i.final)",
+    "means AS (SELECT series_id, avg(d / k) AS mean FROM near WHERE place = 1 AND corr > 0 GROUP BY series_id)",
+    "pitches AS (SELECT fit.series_id, base, least(1, height) AS prominence, round(CASE WHEN abs(mean - p) / mean > 0.01 THEN mean ELSE p END, 9) AS pitch FROM fit LEFT JOIN means USING (series_id))",
+    "tries AS (SELECT p.series_id, pitch, final + 1 AS n, k * 0.25 AS offset_px FROM pitches p JOIN base USING (series_id), range(0, 160) AS t(k) WHERE k < ceil(pitch / 0.25))",
+    "lines AS (SELECT series_id, offset_px, greatest(0, least(n - 1, CAST(round_even(offset_px + i * pitch, 0) AS BIGINT))) AS pos FROM tries, range(0, 200) AS t(i) WHERE i < greatest(1, ceil((n - offset_px) / pitch)))",
+    "scores AS (SELECT series_id, offset_px, sum(value) AS score FROM lines JOIN profile USING (series_id, pos) GROUP BY series_id, offset_px)",
+    "best AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, offset_px) AS place FROM scores)",
+]
+
+
+@register("pitch_and_phase", _sql(_PITCHES, "SELECT series_id, base AS lag, pitch, prominence, offset_px, score FROM pitches JOIN best USING (series_id) WHERE place = 1", "lag", "pitch prominence offset_px score"))
 def pitch_and_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A profile with an edge every 8 positions from 3 on."""
-    p = spark.range(0, 160).select(F.lit("s").alias("series_id"), F.col("id").alias("pos"), F.when(F.col("id") % 8 == 3, 10.0).otherwise(0.0).alias("value"))
+    """Pitch and phase of the events' series, and of three combs: one regular, and two whose spacings take turns."""
+    p = _profile(spark, sf_dir)
+    for name, n, period, at in _COMBS:
+        value = F.when((F.col("id") % period).isin(*at), 10.0).otherwise(0.0)
+        p = p.unionByName(spark.range(0, n).select(F.lit(name).alias("series_id"), F.col("id").alias("pos"), value.alias("value")))
     pitches = profiles.pitch(p, 40)
     found = pitches.join(profiles.phase(p, pitches), "series_id")
-    return found.select("series_id", F.col("pitch").cast("long").alias("pitch"), F.round("offset").alias("offset_px"))
+    return _plain(found.select("series_id", "lag", "pitch", "prominence", F.col("offset").alias("offset_px"), "score"))
