@@ -59,7 +59,7 @@ STAGES = [
     ("SentencePiece encoding", encode_pieces),
 ]
 
-#: Several stages can't be expressed in SQL; tests hold each operator against a plain version, and the stages to what they keep.
+#: Several stages can't be expressed in SQL; tests hold all five against plain versions.
 ORACLE_SQL = None
 
 
