@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, nearjoin, pieces, pii, secrets, substrings, topk, warc
+from . import codebooks, fingerprints, infill, langid, mixing, nearjoin, pieces, pii, secrets, substrings, suffixes, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,3 +149,79 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.link(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty; rows without doc_id come last; rows equal in both are one document."""
+    found = suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty and stay plain; a row without doc_id draws as "null"."""
+    return infill.digest(infill.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+ORACLE_SQL["op12_fill_in_middle"] = r"""
+WITH tokens AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(t) AS n, CAST('0x' || substr(h, 1, 8) AS UBIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS UBIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS UBIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS UBIGINT) AS h4 FROM tokens
+), placed AS (
+  SELECT *, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), cut AS (
+  SELECT *, array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:b], '') AS middle, array_to_string(t[b + 1:], '') AS suffix FROM placed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null, hold null or non-finite components or differ in length take no part."""
+    return codebooks.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other, each an assignment and its new entries."""
+
+    def assigned(book: str) -> str:
+        return f"""(SELECT p.vec_id, p.label, p.part, p.x, min({{'d': list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'entry': c.entry}}) AS m
+  FROM p JOIN {book} c USING (part) GROUP BY ALL)"""
+
+    steps = [
+        f"""a{i} AS MATERIALIZED {assigned(f"c{i}")}, n{i} AS (
+  SELECT part, entry, list(mean ORDER BY place) AS x FROM (
+    SELECT part, m.entry AS entry, place, CAST(floor(CAST(sum(x[place]) AS DOUBLE) / count(*)) AS BIGINT) AS mean
+    FROM a{i}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS place) GROUP BY ALL) GROUP BY ALL
+), c{i + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN n{i} n USING (part, entry))"""
+        for i in range(rounds)
+    ]
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, label, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS part)
+), c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < {entries}
+), {", ".join(steps)}, z AS (
+  SELECT vec_id, label, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM {assigned(f"c{rounds}")} GROUP BY ALL
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM z
+"""
+
+
+ORACLE_SQL["op13_vector_codes"] = _codes_sql()
