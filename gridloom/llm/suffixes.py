@@ -200,7 +200,8 @@ def anchored(raw: np.ndarray, ends: np.ndarray, width: int, frequent: np.ndarray
             new = np.ones(len(start), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
             marks = np.flatnonzero(new)
-            found.append((start[marks] + low, np.diff(np.append(marks, len(start))), h[anchor[marks]], anchor[marks] + low))
+            # the hash of an anchor is the least of many, so it is mixed before ranges of it are dealt out
+            found.append((start[marks] + low, np.diff(np.append(marks, len(start))), common.mixed(h[anchor[marks]]), anchor[marks] + low))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     first, n, h, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
