@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ WIDTH, ANCHOR = 100, 32
 BLOCK_BYTES, SORTED_BYTES = 16_000_000, 3_000_000
 #: Anchors are counted in so many bins; those with so many times the mean are frequent.
 BINS, FREQUENT = 1 << 20, 8
+#: Tasks whose counts are added up as arrays, each in so many shares.
+MERGED, _SHARES = 64, 16
 _CHUNK = 1 << 17
 _BITS, _PER_KEY = 9, 7
 
@@ -214,23 +217,34 @@ def anchored(raw: np.ndarray, ends: np.ndarray, width: int, frequent: np.ndarray
 
 def frequent_bins(docs: DataFrame) -> np.ndarray | None:
     """Which of BINS bins of run hashes hold FREQUENT times the mean or more: at most a share of 1 / FREQUENT of
-    them, whatever the corpus. They only put anchors into an order, so the bins that a task leaves out, those with
-    less than half of that in its own rows, change no result."""
+    them, whatever the corpus. Tasks add up their counts as arrays, MERGED tasks at a time, before these become a
+    row a bin. The bins only put anchors into an order; so those that are left out on the way, with less than half
+    of that share or 16 runs in MERGED tasks, change no result, nor do runs that cross from one text to the next."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, total = np.zeros(BINS, np.int64), 0
+        seen = np.zeros(BINS, np.int64)
         for pdf in batches:
-            for text in pdf["text"]:
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if isinstance(text, str) else b""
-                for low in range(0, len(raw) - ANCHOR + 1, _CHUNK):
-                    found = _bin(_run_hashes(raw[low : low + _CHUNK + ANCHOR - 1]))
-                    total += len(found)
-                    np.add.at(seen, found, 1) if len(found) < 4096 else np.add(seen, np.bincount(found, minlength=BINS), out=seen)
-        keep = np.flatnonzero(seen >= max(2, total * FREQUENT / BINS / 2))
-        yield pd.DataFrame({"bin": np.append(keep, -1).astype(np.int32), "n": np.append(seen[keep], total)})
-
-    counted = docs.select("text").mapInPandas(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    total = F.broadcast(counted.where("bin < 0").select(F.greatest(F.lit(2 * FREQUENT), F.col("n") * FREQUENT / BINS).alias("least")))
+            for own in common.slices(pdf, "text", 8 * _CHUNK):
+                raw = np.frombuffer(b"".join([t.encode("utf-8", "surrogatepass") for t in own["text"] if isinstance(t, str)]), np.uint8)
+                for low in range(0, len(raw) - ANCHOR + 1, 8 * _CHUNK):
+                    seen += np.bincount(_bin(_run_hashes(raw[low : low + 8 * _CHUNK + ANCHOR - 1])), minlength=BINS)
+        keep = np.flatnonzero(seen > 1)
+        shares = [keep[keep % _SHARES == i] for i in range(_SHARES)]
+        task = TaskContext.get().partitionId() // MERGED
+        out = [(task, i, int(seen.sum()), x.astype(np.int32).tobytes(), seen[x].tobytes()) for i, x in enumerate(shares)]
+        yield pd.DataFrame(out, columns=["tasks", "share", "total", "bins", "n"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, total = np.zeros(BINS, np.int64), int(pdf["total"].sum())
+        for bins, n in zip(pdf["bins"], pdf["n"], strict=True):
+            seen[np.frombuffer(bins, np.int32)] += np.frombuffer(n, np.int64)
+        keep = np.flatnonzero(seen >= max(16, total * FREQUENT / BINS / 2))
+        mark = [-1] if pdf["share"].iloc[0] == 0 else []
+        return pd.DataFrame({"bin": np.append(keep, mark).astype(np.int32), "n": np.append(seen[keep], [total] * len(mark)).astype(np.int64)})
+
+    tasks = docs.select("text").mapInPandas(count, "tasks int, share int, total long, bins binary, n binary")
+    counted = tasks.groupBy("tasks", "share").applyInPandas(merge, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    total = F.broadcast(counted.where("bin < 0").select(F.greatest(F.lit(16), F.col("n") * FREQUENT / BINS).alias("least")))
     found = counted.where("bin >= 0").join(total, F.col("n") >= F.col("least")).select("bin").toPandas()["bin"]
     if not len(found):
         return None
