@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def map_exactly(rows: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], added: str) -> DataFrame:
+    """mapInPandas of a function that keeps all columns and adds others. Long columns travel as decimal strings:
+    beside a null, pandas would hold them as doubles, which change numbers beyond 2**53."""
+    longs = [n for n, t in rows.dtypes if t == "bigint"]
+    sent = rows.select(*[F.col(f"`{n}`").cast("string").alias(n) if n in longs else F.col(f"`{n}`") for n in rows.columns])
+    out = sent.mapInPandas(function, ", ".join([*(f"`{n}` {t}" for n, t in sent.dtypes), added]))
+    return out.select(*[F.col(f"`{n}`").cast("long").alias(n) if n in longs else F.col(f"`{n}`") for n in out.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

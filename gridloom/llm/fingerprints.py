@@ -148,7 +148,7 @@ def compare_next(docs: DataFrame, chars: int = 2_000_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
     Null texts count as empty; an empty text has the zero fingerprint; rows with one doc_id are ordered by
     text; a single row is its own successor; further columns of docs are left out."""
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _runs(batches, chars):
@@ -157,7 +157,7 @@ def compare_next(docs: DataFrame, chars: int = 2_000_000) -> DataFrame:
             changed = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
             own, new = vectors(texts), vectors(changed)
             yield pd.DataFrame({
-                "doc_id": pd.array(ids, dtype="Int64"),
+                "doc_id": ids,
                 "n_chars": [len(t) for t in texts[:-1]],
                 "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
                 "fingerprint": [shown(v) for v in own[:-1]],
@@ -167,4 +167,6 @@ def compare_next(docs: DataFrame, chars: int = 2_000_000) -> DataFrame:
             })
 
     common.small_batches(docs.sparkSession)
-    return with_next(docs).mapInPandas(rows, schema)
+    # beside a null, pandas would hold ids as doubles
+    found = with_next(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(rows, schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -137,7 +137,6 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", chars:
     texts without a letter are `und` with score 0; between equal counts the first language in order wins."""
     common.small_batches(docs.sparkSession)
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), "lang_pred string, score double"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -154,4 +153,4 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", chars:
                     size += len(t)
             yield pdf.assign(lang_pred=names, score=np.concatenate(scores) if scores else [])
 
-    return kept.mapInPandas(rows, schema)
+    return common.map_exactly(kept, rows, "lang_pred string, score double")

@@ -355,7 +355,6 @@ def encode(docs: DataFrame, model: Model, text: str = "text", chars: int = 1_000
     equal ids. The model is a file of fixed size and travels with the tasks."""
     common.small_batches(docs.sparkSession)
     kept = docs.drop("piece_ids")
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), "piece_ids array<int>"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(model)
@@ -364,20 +363,19 @@ def encode(docs: DataFrame, model: Model, text: str = "text", chars: int = 1_000
                 ids = encoder.encode([t if isinstance(t, str) else "" for t in pdf[text]])
                 yield pdf.assign(piece_ids=[x.astype(np.int32) for x in ids])
 
-    return kept.mapInPandas(rows, schema)
+    return common.map_exactly(kept, rows, "piece_ids array<int>")
 
 
 def decode(encoded: DataFrame, model: Model, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
     """All columns and the text of the pieces; null ids give null."""
     kept = encoded.drop(to)
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), f"`{to}` string"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(model)
         for pdf in batches:
             yield pdf.assign(**{to: [None if x is None else decoder.decode(np.asarray(x)) for x in pdf[ids]]})
 
-    return kept.mapInPandas(rows, schema)
+    return common.map_exactly(kept, rows, f"`{to}` string")
 
 
 def round_trip(docs: DataFrame, model: Model, text: str = "text", chars: int = 1_000_000) -> DataFrame:
@@ -387,7 +385,6 @@ def round_trip(docs: DataFrame, model: Model, text: str = "text", chars: int = 1
     names = ("n_pieces", "pieces_sha256", "decoded_sha256", "exact")
     common.small_batches(docs.sparkSession)
     kept = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), "n_pieces long, pieces_sha256 string, decoded_sha256 string, exact boolean"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, decoder = Encoder(model), Decoder(model)
@@ -404,4 +401,4 @@ def round_trip(docs: DataFrame, model: Model, text: str = "text", chars: int = 1
                     exact=[a == b for a, b in zip(again, texts, strict=True)],
                 )
 
-    return kept.mapInPandas(rows, schema)
+    return common.map_exactly(kept, rows, "n_pieces long, pieces_sha256 string, decoded_sha256 string, exact boolean")

@@ -202,7 +202,6 @@ def scan(docs: DataFrame, grammar: Grammar | None, text: str = "text") -> DataFr
     names = ["n_assign", "n_access", "n_hex", "base_spans", "spans"]
     common.small_batches(docs.sparkSession)
     kept = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), "n_assign long, n_access long, n_hex long, base_spans string, spans string"])
     order = {k: i for i, k in enumerate((*KINDS, "grammar"))}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +215,7 @@ def scan(docs: DataFrame, grammar: Grammar | None, text: str = "text") -> DataFr
                 out.append((*(n[k] for k in KINDS), _joined(base), _joined(sorted(base + more, key=lambda x: (x[0], order[x[2]])))))
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    return kept.mapInPandas(rows, schema)
+    return common.map_exactly(kept, rows, "n_assign long, n_access long, n_hex long, base_spans string, spans string")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -30,16 +30,23 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & F.coalesce(F.forall(embedding, finite), F.lit(False))
 
 
+def _most(x: np.ndarray) -> int:
+    """The largest magnitude, exact for the least 64-bit integer too."""
+    return max(-int(x.min(initial=0)), int(x.max(initial=0)))
+
+
 def _packed(pdf: pd.DataFrame) -> dict:
-    matrix = np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1)
-    most = int(np.abs(matrix).max(initial=0))
-    kind = next(k for k in (np.int16, np.int32, np.int64) if most <= np.iinfo(k).max)
+    matrix = np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), len(pdf["v"].iloc[0]))
+    most = _most(matrix)
+    kind = next((k for k in (np.int16, np.int32) if most <= np.iinfo(k).max), np.int64)
     return {"ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "body": np.ascontiguousarray(matrix.T.astype(kind)).tobytes()}
 
 
 def _matrix(ids: bytes, body: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids, and the vectors as columns; the bytes a component takes follow from the number of both."""
     names = np.frombuffer(ids, np.int64)
+    if not dim:
+        return names, np.zeros((0, len(names)), np.int64)
     return names, np.frombuffer(body, f"<i{len(body) // max(1, len(names) * dim)}").astype(np.int64).reshape(dim, len(names))
 
 
@@ -78,7 +85,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 4096,
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows without a
     vec_id. Rows that repeat a query's id are one query (the least vector) and no candidates of it;
-    other repeated rows are candidates each. Only vectors of the query's length are compared. Every
+    other repeated rows are candidates each. Only vectors of the query's length are compared; empty ones score 0.
+    If a score might not fit 64 bits, a ValueError says so. Every
     query meets every candidate block; candidates are dealt out by salts, about blocks_a_salt blocks each, and
     query blocks are copied to all salts, so that tasks grow in number with the candidates."""
     spark = vectors.sparkSession
@@ -113,7 +121,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 4096,
             for dim, q_ids, q_body, ids, body in zip(*(pdf[c] for c in ("dim", "q_ids", "q_body", "ids", "body")), strict=True):
                 names, q = _matrix(q_ids, q_body, dim)
                 own, x = _matrix(ids, body, dim)
-                if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, len(q)) >= 2**62:
+                if _most(q) * _most(x) * max(1, len(q)) >= 2**62:
                     raise ValueError("components too large for 64-bit scores")
                 rest = _remaining(x)
                 for i, name in enumerate(names.tolist()):

@@ -256,8 +256,8 @@ def read(spans: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
                         if not payloads:
                             r.pop("payload")
                         found.append(r)
-                out = pd.DataFrame(found)
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                ids = {c: pd.array([r.pop(c) for r in found], dtype="Int64") for c in ("page_id", "refers_to")}
+                yield pd.DataFrame(found).assign(**ids)
 
     return spans.mapInPandas(rows, RECORDS + (", payload binary" if payloads else ""))
 

@@ -220,3 +220,32 @@ def test_codes_of_odd_tables(spark):
 def test_the_queries_are_registered():
     for name in ("op11_suffix_dedup", "op12_fill_in_middle", "op13_vector_codes"):
         assert name in queries.QUERIES
+
+
+# --- ids beyond 2**53 beside nulls, odd vectors -----------------------------------------------------------
+
+
+def test_ids_stay_exact_beside_nulls(spark, documents):
+    from gridloom.llm import fingerprints, langid, pieces, secrets, warc
+
+    rows = [(FAR, "one text of words", "en"), (FAR + 2, "another text of words", "en"), (None, "no id at all", "en")]
+    docs = documents(rows).withColumn("other", F.lit(FAR))
+    model = pieces.load(queries.PIECE_MODEL)
+    frames = [
+        pieces.encode(docs, model), pieces.decode(pieces.encode(docs, model), model), pieces.round_trip(docs, model), langid.identify(docs, langid.fit(docs)),
+        secrets.scan(docs, None), fingerprints.compare_next(docs), suffixes.remove_repeats(docs), infill.transform(docs),
+    ]
+    for found in frames:
+        assert {r["doc_id"] for r in found.collect()} == {FAR, FAR + 2, None}, found.columns
+    pages = spark.createDataFrame([(FAR, "u", "x"), (FAR + 2, "u", "x"), (None, "u", "y")], "page_id long, url string, html string")
+    assert {(r["page_id"], r["refers_to"]) for r in warc.round_trip(pages).collect()} == {(FAR, None), (FAR + 2, FAR), (None, None)}
+
+
+def test_empty_and_huge_vectors(spark):
+    from gridloom.llm import topk
+
+    table = spark.createDataFrame([(0, []), (1, []), (2, []), (50, [1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.search(table, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(0, 1, 1, 0), (0, 2, 2, 0)]
+    huge = spark.createDataFrame([(0, [1.0, 1.0]), (1, [-1e300, 0.5])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.search(huge, F.col("vec_id") % 50 == 0).collect()
