@@ -52,7 +52,7 @@ def _matrix(ids: bytes, body: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _remaining(x: np.ndarray) -> np.ndarray:
     """Norms of what is left from each block of dimensions on, a row per block."""
-    squares = (x.astype(float) ** 2).reshape(len(x), -1)
+    squares = x.astype(float) ** 2
     starts = range(0, len(x), STEP)
     return np.sqrt(np.stack([squares[s:].sum(0) for s in starts])) if len(x) else np.zeros((1, x.shape[1]))
 
