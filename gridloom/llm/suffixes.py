@@ -32,6 +32,8 @@ from .substrings import _last_keys, _order
 WIDTH, ANCHOR = 100, 32
 #: Most bytes of text in a block of several documents, and of segments that are sorted at once.
 BLOCK_BYTES, SORTED_BYTES = 16_000_000, 3_000_000
+#: Least and most bytes of text whose segments share a bucket.
+BUCKET_BYTES = 4_000_000, 128_000_000
 #: Anchors are counted in so many bins; those with so many times the mean are frequent.
 BINS, FREQUENT = 1 << 20, 8
 #: Tasks whose counts are added up as arrays, each in so many shares.
@@ -417,7 +419,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False, blo
     ends = _last_keys(rows.select("none", "doc_id", "text_hash", F.octet_length(text).alias("size")), n, BLOCK_BYTES).toPandas()
     edges = spark.sparkContext.broadcast(np.sort(_order(ends["none"], ends["doc_id"], ends["text_hash"])))
     frequent = spark.sparkContext.broadcast(frequent_bins(docs))
-    buckets = max(n, len(ends))
+    # each block sends a row to each bucket, so there are no more buckets than their size or the tasks ask for
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES[1]), min(common.partitions(spark), -(-size // BUCKET_BYTES[0])), blocks or 0)
 
     @F.pandas_udf("int")
     def home(none: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
