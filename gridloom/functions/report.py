@@ -17,7 +17,7 @@ REASONS = {
     "anisotropic_pitch": "The rows and columns disagree - the photo may show the quilt at a steep angle.",
     "implausible_dims": "The grid we found is not a plausible quilt.",
     "weak_periodicity": "The square pattern is too faint to read confidently.",
-    "non_square_content": "The blocks repeat, but the shapes inside are not squares - QREP can only recover square patchwork, not curves or triangles yet.",
+    "non_square_content": "The blocks repeat, but the shapes inside are not squares - only square patchwork can be recovered, not curves or triangles yet.",
 }
 NO_REASON = "The pattern did not read as a grid of squares."
 MODES = {"no_grid": "failure", "non_square_repeat": "nonsquare"}

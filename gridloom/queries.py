@@ -1,7 +1,7 @@
 """Registered queries of the grid operators, each with its DuckDB equivalent where SQL has one.
 
-Most run on the benchmark grid and the small authored models, which both sides build from the same literals.
-The grid-analytics queries also run on grids cut from the events table, so their size follows the data.
+Models are made from the suppliers, grids are cut from the events; both sides build them by the same rules, and
+their number follows the tables.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[one(*x) for x in df.dtypes])
 
 
+def _models(spark: SparkSession, sf_dir: str) -> grids.Models:
+    return grids.from_suppliers(table(spark, sf_dir, "supplier"))
+
+
 def _values(rows: list[tuple]) -> str:
     def shown(v) -> str:
         return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
@@ -33,18 +37,16 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(shown(v) for v in r) + ")" for r in rows)
 
 
-_SPECS = [(grids.BENCHMARK, 55, 45, 12, (("c", 30),), "b", grids.CHAIN)] + [(m, len(a[0]), len(a[0][0]), *a[1:]) for m, a in grids.AUTHORED.items()]
-MODELS_CTE = f"""
-quilts(model_id, rows, cols, cell_size, binding_fabric_id) AS (VALUES {_values([(m, r, c, s, b) for m, r, c, s, _, b, _ in _SPECS])}),
-fabrics(model_id, ord, fabric_id, name, color) AS (VALUES {_values([(x[0], i, *f) for x in _SPECS for i, f in enumerate(x[6])])}),
-borders(model_id, ord, fabric_id, width) AS (VALUES {_values([(x[0], i, *b) for x in _SPECS for i, b in enumerate(x[4])])}),
-authored(model_id, cols, content) AS (VALUES {_values([(m, len(a[0][0]), "".join(a[0])) for m, a in grids.AUTHORED.items()])}),
+MODELS_CTE = """
+seeds AS (SELECT 's' || s_suppkey AS model_id, s_suppkey AS k, CAST(coalesce(s_nationkey, 0) AS BIGINT) AS n, s_suppkey % 4 + 2 AS p, s_suppkey % 3 + 2 AS across,
+ (s_suppkey // 3) % 4 + 2 AS down, (s_suppkey // 2) % 4 + 2 AS nf FROM supplier WHERE s_suppkey IS NOT NULL),
+quilts AS (SELECT model_id, 'Quilt ' || k AS name, p * down + CAST(k % 7 = 0 AS BIGINT) AS rows, p * across AS cols, n % 9 * 2 + 8 AS cell_size, 'f' || n % nf AS binding_fabric_id FROM seeds),
+fabrics AS (SELECT model_id, i AS ord, 'f' || i AS fabric_id, 'Fabric ' || (i + 1) AS name, printf('#%02x%02x%02x', i * 50 + 40 + k % 13, i * 45 + 50 + n, 220 - i * 50 + k % 29) AS color FROM seeds, range(5) AS t(i) WHERE i < nf),
+borders AS (SELECT model_id, i AS ord, 'f' || i % nf AS fabric_id, (k + i * 5) % 12 * 2 + 8 AS width FROM seeds, range(2) AS t(i) WHERE i < k % 3),
 cells AS (
-  SELECT '{grids.BENCHMARK}' AS model_id, i // 45 AS r, i % 45 AS c, 1.0 AS confidence,
-         substr(CASE WHEN ((i // 45) // 5 + (i % 45) // 5) % 2 = 0 THEN '{grids.BLOCKS[0]}' ELSE '{grids.BLOCKS[1]}' END, ((i // 45) % 5) * 5 + i % 5 + 1, 1) AS fabric_id
-  FROM range(2475) AS t(i)
-  UNION ALL
-  SELECT model_id, i // cols, i % cols, 1.0, substr(content, i + 1, 1) FROM authored, range(length(content)) AS t(i)
+  SELECT model_id, y AS r, x AS c, ((k * 31 + y * 17 + x * 7) % 100) / 100.0 AS confidence,
+         'f' || ((y % p) * (k % 3 + 1) + (x % p) * 2 + (y // p + x // p) % 2 * (n % 2 + 1) + (y % p) * (x % p) % 3) % nf AS fabric_id
+  FROM seeds JOIN quilts USING (model_id), range(26) AS a(y), range(20) AS b(x) WHERE y < rows AND x < cols
 ),
 dims AS (SELECT model_id, max(r) + 1 AS rows, max(c) + 1 AS cols FROM cells GROUP BY model_id)"""
 EVENTS_CTE = """
@@ -97,12 +99,15 @@ def _sql(ctes: str | list[str], body: str, longs: str = "", doubles: str = "") -
 
 @register("grid_generate", _sql(MODELS_CTE, "SELECT model_id, r, c, fabric_id FROM cells", "r c"))
 def grid_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(grids.everything(spark).cells.select("model_id", "r", "c", "fabric_id"))
+    return _plain(_models(spark, sf_dir).cells.select("model_id", "r", "c", "fabric_id"))
 
 
-@register("grid_blank", _sql("", "SELECT 'blank' AS model_id, i // 18 AS r, i % 18 AS c, 'bg' AS fabric_id FROM range(432) AS t(i)", "r c"))
+@register("grid_blank", _sql(MODELS_CTE, "SELECT model_id, i // 18 AS r, i % 18 AS c, CASE WHEN k % 100 >= 80 AND nf BETWEEN 2 AND 6 THEN 'f0' ELSE 'bg' END AS fabric_id FROM seeds, range(432) AS t(i)", "r c"))
 def grid_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(grids.blank(spark).cells.select("model_id", "r", "c", "fabric_id"))
+    """A blank grid a model, of the recovered palette's first fabric where that palette is trusted."""
+    m = _models(spark, sf_dir)
+    trust = m.quilts.select("model_id", (F.regexp_extract("model_id", "[0-9]+", 0).cast("long") % 100 / F.lit(100.0)).alias("confidence"))
+    return _plain(grids.blanks(trust, m.fabrics).cells.select("model_id", "r", "c", "fabric_id"))
 
 
 @register("grid_from_events", _sql(EVENTS_CTE, "SELECT model_id, r, c, fabric_id, confidence FROM cells", "r c", "confidence"))
@@ -113,23 +118,31 @@ def grid_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("documents_round_trip", _sql(MODELS_CTE, "SELECT model_id, r, c, fabric_id FROM cells", "r c"))
 def documents_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models are written as JSON documents and read again."""
-    models = grids.everything(spark)
+    models = _models(spark, sf_dir)
     return _plain(documents.cells_of(documents.parse(documents.to_json(models))).select("model_id", "r", "c", "fabric_id"))
 
 
-@register("documents_rejected", """SELECT * FROM (VALUES ('a', 'missing schema_version'), ('b', 'unsupported schema_version'), ('c', 'not a JSON object'), ('d', CAST(NULL AS VARCHAR)), ('e', CAST(NULL AS VARCHAR))) AS t(model_id, problem)""")
+_DEFECTS = "CASE k % 5 WHEN 0 THEN 'missing schema_version' WHEN 1 THEN 'unsupported schema_version' WHEN 2 THEN 'not a JSON object' END"
+
+
+@register("documents_rejected", _sql(MODELS_CTE, f"SELECT model_id, {_DEFECTS} AS problem FROM seeds"))
 def documents_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = '{"schema_version":"1","metadata":{"name":"x"},"center":{"rows":1,"cols":1,"cell_size":8,"cells":[["a"]]}}'
-    rows = [("a", '{"metadata":{}}'), ("b", '{"schema_version":"2"}'), ("c", "nothing"), ("d", good), ("e", '{"app":"editor","model":' + good + "}")]
-    return documents.parse(grids.literal(spark, "model_id string, json string", rows)).select("model_id", "problem")
+    """Documents of the models, three of five spoilt, one of five wrapped by an application."""
+    made = documents.to_json(_models(spark, sf_dir))
+    defect = F.regexp_extract("model_id", "[0-9]+", 0).cast("long") % 5
+    version = '"schema_version":"[^"]*",?'
+    spoilt = F.when(defect == 0, F.regexp_replace("json", version, "")).when(defect == 1, F.regexp_replace("json", version, '"schema_version":"2",'))
+    spoilt = spoilt.when(defect == 2, F.substring("json", 2, 20)).when(defect == 3, F.concat(F.lit('{"app":"editor","model":'), "json", F.lit("}"))).otherwise(F.col("json"))
+    return documents.parse(made.select("model_id", spoilt.alias("json"))).select("model_id", "problem")
 
 
 # --- scalar functions -----------------------------------------------------------------------------------
 
 
-@register("length_shown", _sql("", f"SELECT i AS eighths, {_inch('i')} AS shown FROM range(-100, 1201) AS t(i)", "eighths"))
+@register("length_shown", _sql("", f"SELECT o_orderkey, CAST(o_custkey AS BIGINT) - 100 AS eighths, {_inch('(CAST(o_custkey AS BIGINT) - 100)')} AS shown FROM orders", "o_orderkey eighths"))
 def length_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(-100, 1201).select(F.col("id").alias("eighths"), lengths.shown(F.col("id")).alias("shown"))
+    x = (F.col("o_custkey") - 100).alias("eighths")
+    return table(spark, sf_dir, "orders").select("o_orderkey", x, lengths.shown(F.col("o_custkey") - 100).alias("shown"))
 
 
 @register("part_size_shown", _sql("", f"SELECT p_partkey, {_inch('p_size')} AS shown, CASE WHEN p_size // 4 = 0 THEN '' ELSE CAST(p_size // 4 AS VARCHAR) END AS whole FROM part", "p_partkey"))
@@ -139,44 +152,60 @@ def part_size_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", lengths.shown(F.col("p_size")).alias("shown"), F.when(whole == 0, "").otherwise(whole.cast("string")).alias("whole"))
 
 
-_INPUTS = [("75", 600), ("75.5", 604), ("1½", 12), ("½", 4), ("1 1/2", 12), ("3/4", 6), ("2 3/8\"", 19), ("10 in", 80), ("4 inches", 32), ("⅞", 7), ("75.3", None), ("1 2/3", None), ("abc", None), ("", None), ("-3", None), ("3/0", None), ("1.125", 9), ("5 ¼", 42)]
+#: Ways to write a length of w inches and n fractions, the text and what it means in eighths (null: no length).
+_WRITTEN = [
+    ("w", "w * 8"), ("w || '.5'", "w * 8 + 4"), ("w || '½'", "w * 8 + 4"), ("w || ' 1/2'", "w * 8 + 4"), ("'3/4'", "6"), ("w || ' ' || n || '/8\"'", "w * 8 + n"), ("w || ' in'", "w * 8"), ("w || ' inches'", "w * 8"),
+    ("'⅞'", "7"), ("w || '.3'", None), ("w || ' 2/3'", None), ("'abc'", None), ("''", None), ("'-' || w", None), ("n || '/0'", None), ("w || '.125'", "w * 8 + 1"), ("w || ' ¼'", "w * 8 + 2"),
+]
+_ROUNDED = [("w || '.3'", "w * 8 + 2"), ("w || ' 2/3'", "w * 8 + 5"), ("w || '.05'", "w * 8"), ("w || '.0625'", "w * 8 + 1"), ("w", "w * 8"), ("'x'", None), ("n || '/3 in'", "floor(n * 8 / 3.0 + 0.5)")]
 
 
-@register("length_parsed", f"SELECT txt, CAST(eighths AS BIGINT) AS eighths FROM (VALUES {_values(_INPUTS)}) AS t(txt, eighths)")
-def length_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grids.literal(spark, "txt string", [(t,) for t, _ in _INPUTS])
-    return rows.select("txt", lengths.parsed(F.col("txt")).alias("eighths"))
+def _written_sql(ways: list[tuple[str, str | None]]) -> str:
+    def chosen(i: int, kind: str) -> str:
+        return f"CASE p_partkey % {len(ways)} " + " ".join(f"WHEN {k} THEN CAST({x[i]} AS {kind})" for k, x in enumerate(ways) if x[i] is not None) + " END"
 
+    return f"SELECT p_partkey, {chosen(0, 'VARCHAR')} AS txt, {chosen(1, 'BIGINT')} AS eighths FROM (SELECT p_partkey, p_size AS w, p_partkey % 7 + 1 AS n FROM part)"
 
-_ROUNDED = [("75.3", 602), ("1 2/3", 13), ("0.05", 0), ("0.0625", 1), ("12", 96), ("x", None), ("7/3 in", 19)]
 
+def _written(spark: SparkSession, sf_dir: str, ways: list[tuple[str, str | None]]) -> DataFrame:
+    """Each part's size as a length, written in turn in each of these ways."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("w"), (F.col("p_partkey") % 7 + 1).alias("n"))
+    texts = F.array(*[F.expr(f"cast({text} as string)") for text, _ in ways])
+    return p.select("p_partkey", F.get(texts, (F.col("p_partkey") % len(ways)).cast("int")).alias("txt"))
 
-@register("length_parsed_rounded", f"SELECT txt, CAST(eighths AS BIGINT) AS eighths FROM (VALUES {_values(_ROUNDED)}) AS t(txt, eighths)")
+
+@register("length_parsed", _written_sql(_WRITTEN))
+def length_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_written(spark, sf_dir, _WRITTEN).select("p_partkey", "txt", lengths.parsed(F.col("txt")).alias("eighths")))
+
+
+@register("length_parsed_rounded", _written_sql(_ROUNDED))
 def length_parsed_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.literal(spark, "txt string", [(t,) for t, _ in _ROUNDED]).select("txt", lengths.parsed_rounded(F.col("txt")).alias("eighths"))
+    return _plain(_written(spark, sf_dir, _ROUNDED).select("p_partkey", "txt", lengths.parsed_rounded(F.col("txt")).alias("eighths")))
 
 
-@register("integer_arithmetic", _sql("", "SELECT i AS x, (i + 3) // 7 AS half_up, (i + 6) // 7 AS ceiling, greatest(160, least(1120, ((i + 1) // 2) * 2)) AS quarter, CAST(floor(i * 8 / 2.54 + 0.5) AS BIGINT) AS cm FROM range(0, 1500) AS t(i)", "x half_up ceiling quarter cm"))
+@register("integer_arithmetic", _sql("", "SELECT o_orderkey, i AS x, (i + 3) // 7 AS half_up, (i + 6) // 7 AS ceiling, greatest(160, least(1120, ((i + 1) // 2) * 2)) AS quarter, CAST(floor(i * 8 / 2.54 + 0.5) AS BIGINT) AS cm FROM (SELECT o_orderkey, o_custkey AS i FROM orders)", "x half_up ceiling quarter cm"))
 def integer_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("id")
-    return _plain(spark.range(0, 1500).select(x.alias("x"), lengths.half_up_div(x, 7).alias("half_up"), lengths.ceil_div(x, 7).alias("ceiling"), lengths.quarter_inch(x).alias("quarter"), lengths.from_cm(x).alias("cm")))
+    x = F.col("o_custkey")
+    return _plain(table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"), lengths.half_up_div(x, 7).alias("half_up"), lengths.ceil_div(x, 7).alias("ceiling"), lengths.quarter_inch(x).alias("quarter"), lengths.from_cm(x).alias("cm")))
 
 
-@register("yards_shown", """SELECT i AS quarters, CASE WHEN i // 4 = 0 AND i % 4 > 0 THEN list_extract(['1/4','1/2','3/4'], i % 4) WHEN i % 4 > 0 THEN (i // 4) || ' ' || list_extract(['1/4','1/2','3/4'], i % 4) ELSE CAST(i // 4 AS VARCHAR) END || ' yd' AS shown FROM range(0, 90) AS t(i)""")
+@register("yards_shown", """SELECT p_partkey, i AS quarters, CASE WHEN i // 4 = 0 AND i % 4 > 0 THEN list_extract(['1/4','1/2','3/4'], i % 4) WHEN i % 4 > 0 THEN (i // 4) || ' ' || list_extract(['1/4','1/2','3/4'], i % 4) ELSE CAST(i // 4 AS VARCHAR) END || ' yd' AS shown FROM (SELECT p_partkey, p_partkey % 90 AS i FROM part)""")
 def yards_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 90).select(F.col("id").alias("quarters"), lengths.yards_shown(F.col("id")).alias("shown"))
+    quarters = F.col("p_partkey") % 90
+    return table(spark, sf_dir, "part").select("p_partkey", quarters.alias("quarters"), lengths.yards_shown(quarters).alias("shown"))
 
 
 @register("color_rgb", _sql(MODELS_CTE, "SELECT model_id, fabric_id, CAST('0x' || substr(color, 2, 2) AS INTEGER) AS red, CAST('0x' || substr(color, 4, 2) AS INTEGER) AS green, CAST('0x' || substr(color, 6, 2) AS INTEGER) AS blue FROM fabrics", "red green blue"))
 def color_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     rgb = colors.rgb(F.col("color"))
-    return _plain(grids.everything(spark).fabrics.select("model_id", "fabric_id", *[x.alias(n) for n, x in zip(("red", "green", "blue"), rgb, strict=True)]))
+    return _plain(_models(spark, sf_dir).fabrics.select("model_id", "fabric_id", *[x.alias(n) for n, x in zip(("red", "green", "blue"), rgb, strict=True)]))
 
 
 @register("color_lab")
 def color_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = colors.lab(F.col("color"))
-    return grids.everything(spark).fabrics.select("model_id", "fabric_id", *[x.alias(n) for n, x in zip(("light", "a", "b"), lab, strict=True)])
+    return _models(spark, sf_dir).fabrics.select("model_id", "fabric_id", *[x.alias(n) for n, x in zip(("light", "a", "b"), lab, strict=True)])
 
 
 @register("slugs", "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
@@ -184,16 +213,17 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", screen.slug(F.col("p_name")).alias("slug"))
 
 
-@register("downscaled", _sql("", """SELECT i AS wide, 3000 AS high, CASE WHEN greatest(i, 3000) <= 2000 THEN i ELSE CAST(floor(i * 2000.0 / greatest(i, 3000) + 0.5) AS BIGINT) END AS new_wide, CAST(floor(3000 * 2000.0 / greatest(i, 3000) + 0.5) AS BIGINT) AS new_high FROM range(100, 9000, 50) AS t(i)""", "wide high new_wide new_high"))
+@register("downscaled", _sql("", """SELECT o_orderkey, i AS wide, 3000 AS high, CASE WHEN greatest(i, 3000) <= 2000 THEN i ELSE CAST(floor(i * 2000.0 / greatest(i, 3000) + 0.5) AS BIGINT) END AS new_wide, CAST(floor(3000 * 2000.0 / greatest(i, 3000) + 0.5) AS BIGINT) AS new_high FROM (SELECT o_orderkey, o_orderkey * 53 % 8900 + 100 AS i FROM orders)""", "wide high new_wide new_high"))
 def downscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, h = screen.downscaled(F.col("id"), F.lit(3000), 2000)
-    return _plain(spark.range(100, 9000, 50).select(F.col("id").alias("wide"), F.lit(3000).alias("high"), w.alias("new_wide"), h.alias("new_high")))
+    wide = F.col("o_orderkey") * 53 % 8900 + 100
+    w, h = screen.downscaled(wide, F.lit(3000), 2000)
+    return _plain(table(spark, sf_dir, "orders").select("o_orderkey", wide.alias("wide"), F.lit(3000).alias("high"), w.alias("new_wide"), h.alias("new_high")))
 
 
-@register("pixels", _sql("", "SELECT i AS eighths, CAST(floor(i * 10 / 8.0 + 0.5) AS BIGINT) AS px, CAST(floor(i / 12.0) AS BIGINT) AS cell, CAST(greatest(0, least(44, floor(i / 12.0))) AS BIGINT) AS clamped FROM range(-30, 700) AS t(i)", "eighths px cell clamped"))
+@register("pixels", _sql("", "SELECT o_orderkey, i AS eighths, CAST(floor(i * 10 / 8.0 + 0.5) AS BIGINT) AS px, CAST(floor(i / 12.0) AS BIGINT) AS cell, CAST(greatest(0, least(44, floor(i / 12.0))) AS BIGINT) AS clamped FROM (SELECT o_orderkey, o_orderkey % 730 - 30 AS i FROM orders)", "eighths px cell clamped"))
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("id")
-    return _plain(spark.range(-30, 700).select(x.alias("eighths"), screen.pixel(x, 10).alias("px"), screen.cell_at(x, 12).alias("cell"), screen.cell_at(x, 12, 45).alias("clamped")))
+    x = F.col("o_orderkey") % 730 - 30
+    return _plain(table(spark, sf_dir, "orders").select("o_orderkey", x.alias("eighths"), screen.pixel(x, 10).alias("px"), screen.cell_at(x, 12).alias("cell"), screen.cell_at(x, 12, 45).alias("clamped")))
 
 
 # --- validation and census -----------------------------------------------------------------------------
@@ -201,7 +231,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("census", _sql(MODELS_CTE, "SELECT f.model_id, f.ord, f.fabric_id, f.name, count(c.r) AS cells FROM fabrics f LEFT JOIN cells c USING (model_id, fabric_id) GROUP BY ALL", "ord cells"))
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(analytics.census(grids.everything(spark)))
+    return _plain(analytics.census(_models(spark, sf_dir)))
 
 
 @register("event_census", _sql(EVENTS_CTE, "SELECT model_id, fabric_id, count(*) AS cells FROM cells GROUP BY ALL", "cells"))
@@ -209,15 +239,16 @@ def event_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.from_events(table(spark, sf_dir, "events")).groupBy("model_id", "fabric_id").agg(F.count("*").alias("cells"))
 
 
-@register("violations", _sql([MODELS_CTE, "kept AS (SELECT * FROM cells WHERE NOT (model_id = 'tiny' AND r = 1 AND c = 1))", "known AS (SELECT * FROM fabrics WHERE NOT (model_id = 'small' AND fabric_id = 'w'))"], """
+@register("violations", _sql([MODELS_CTE, "kept AS (SELECT c.* FROM cells c JOIN seeds USING (model_id) WHERE NOT (k % 11 = 1 AND r = 1 AND c = 1))", "known AS (SELECT f.* FROM fabrics f JOIN seeds USING (model_id) WHERE NOT (k % 11 = 2 AND ord = 1))"], """
  SELECT model_id, 'dimensions' AS rule, count(*) AS n FROM quilts q WHERE rows * cols <> (SELECT count(*) FROM kept k WHERE k.model_id = q.model_id) GROUP BY model_id
  UNION ALL SELECT model_id, 'unknown fabric', count(*) FROM (SELECT model_id, fabric_id FROM kept UNION SELECT model_id, fabric_id FROM borders UNION SELECT model_id, binding_fabric_id FROM quilts) u WHERE (model_id, fabric_id) NOT IN (SELECT (model_id, fabric_id) FROM known) GROUP BY model_id
  UNION ALL SELECT model_id, 'positive size', count(*) FROM quilts WHERE cell_size <= 0 GROUP BY model_id UNION ALL SELECT model_id, 'positive band', count(*) FROM borders WHERE width <= 0 GROUP BY model_id""", "n"))
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two models are broken on purpose."""
-    m = grids.everything(spark)
-    cells = m.cells.where("not (model_id = 'tiny' and r = 1 and c = 1)")
-    fabrics = m.fabrics.where("not (model_id = 'small' and fabric_id = 'w')")
+    """Two of eleven models are broken on purpose."""
+    m = _models(spark, sf_dir)
+    k = F.regexp_extract("model_id", "[0-9]+", 0).cast("int") % 11
+    cells = m.cells.where(~((k == 1) & (F.col("r") == 1) & (F.col("c") == 1)))
+    fabrics = m.fabrics.where(~((k == 2) & (F.col("ord") == 1)))
     return analytics.violations(grids.Models(m.quilts, cells, fabrics, m.borders))
 
 
@@ -226,10 +257,10 @@ def uncertain_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(analytics.uncertain(grids.from_events(table(spark, sf_dir, "events"))))
 
 
-@register("plausible_counts", "SELECT i AS extent, j AS n, j >= 2 AND j <= i // 5 AS plausible FROM range(0, 60) AS t(i), range(0, 14) AS u(j)")
+@register("plausible_counts", "SELECT p_partkey, i AS extent, j AS n, j >= 2 AND j <= i // 5 AS plausible FROM (SELECT p_partkey, p_partkey % 60 AS i, CAST(p_size AS BIGINT) % 14 AS j FROM part)")
 def plausible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(0, 60).select(F.col("id").alias("extent"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(13).cast("long"))).alias("n"))
-    return rows.select("extent", "n", analytics.plausible(F.col("extent"), F.col("n")).alias("plausible"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 60).alias("extent"), (F.col("p_size").cast("long") % 14).alias("n"))
+    return rows.select("p_partkey", "extent", "n", analytics.plausible(F.col("extent"), F.col("n")).alias("plausible"))
 
 
 _TREE = """CASE WHEN g < 0.6 AND NOT coalesce(s >= 1.5 AND l AND m >= 0.7, false) THEN CASE WHEN coalesce(s >= 1.5 AND k > 1.05, false) THEN 'non_square_repeat' ELSE 'no_grid' END
@@ -253,17 +284,17 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("block_layout", _sql([MODELS_CTE, BLOCKS_CTE], "SELECT model_id, size, br, bc, type, sig FROM layout", "size br bc type"))
 def block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(structure.block_layout(grids.everything(spark).cells))
+    return _plain(structure.block_layout(_models(spark, sf_dir).cells))
 
 
 @register("block_types", _sql([MODELS_CTE, BLOCKS_CTE], "SELECT model_id, size, type, sig, n AS count FROM types", "size type count"))
 def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(structure.block_types(grids.everything(spark).cells))
+    return _plain(structure.block_types(_models(spark, sf_dir).cells))
 
 
 @register("strip_sets", _sql([MODELS_CTE, BLOCKS_CTE, SETS_CTE], "SELECT model_id, set, array_to_string(sequence, ' ') AS sequence, width, needed, per_set, sets FROM sets", "set width needed per_set sets"))
 def strip_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = grids.everything(spark)
+    m = _models(spark, sf_dir)
     return _plain(structure.strip_sets(structure.block_types(m.cells), m.quilts).withColumn("sequence", F.array_join("sequence", " ")))
 
 
@@ -275,7 +306,7 @@ _LINES = """lines AS (SELECT model_id, 'row' AS axis, r AS i, string_agg(fabric_
  (SELECT 1 FROM lines a JOIN lines b ON a.model_id = b.model_id AND a.axis = b.axis AND a.i = b.i + p WHERE a.model_id = x.model_id AND a.axis = x.axis AND a.sig <> b.sig)), n) AS period
  FROM (SELECT model_id, axis, count(*) AS n FROM lines GROUP BY ALL) x""", "n period"))
 def least_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(structure.least_periods(grids.everything(spark).cells))
+    return _plain(structure.least_periods(_models(spark, sf_dir).cells))
 
 
 _SHIFTS = """shifts AS (
@@ -291,7 +322,7 @@ _REPEATS = "SELECT model_id, coalesce(max(period) FILTER (WHERE axis = 'r'), 0)
 
 @register("repeats", _sql([MODELS_CTE, _SHIFTS], _REPEATS, "period_rows period_cols", "confidence"))
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(structure.repeats(grids.everything(spark).cells))
+    return _plain(structure.repeats(_models(spark, sf_dir).cells))
 
 
 @register("event_repeats", _sql([EVENTS_CTE, _SHIFTS], _REPEATS, "period_rows period_cols", "confidence"))
@@ -299,37 +330,47 @@ def event_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(structure.repeats(grids.from_events(table(spark, sf_dir, "events"))))
 
 
-@register("regridded", _sql(MODELS_CTE, """SELECT t.model_id, r2 AS r, c2 AS c, fabric_id, CASE WHEN r2 < 55 AND c2 < 45 THEN 1.0 ELSE 1.0 END AS confidence
- FROM (VALUES ('benchmark', 60, 48)) AS t(model_id, nr, nc), range(60) AS a(r2), range(48) AS b(c2), cells
- WHERE cells.model_id = t.model_id AND cells.r = CASE WHEN r2 < 55 THEN r2 ELSE r2 % 10 END AND cells.c = CASE WHEN c2 < 45 THEN c2 ELSE c2 % 10 END""", "r c", "confidence"))
+@register("regridded", _sql([MODELS_CTE, _LINES, """axes AS (SELECT model_id, axis, n, coalesce((SELECT min(p) FROM range(1, 60) AS t(p) WHERE p < n AND NOT EXISTS
+ (SELECT 1 FROM lines a JOIN lines b ON a.model_id = b.model_id AND a.axis = b.axis AND a.i = b.i + p WHERE a.model_id = x.model_id AND a.axis = x.axis AND a.sig <> b.sig)), n) AS period
+ FROM (SELECT model_id, axis, count(*) AS n FROM lines GROUP BY ALL) x),
+t AS (SELECT s.model_id, d.rows, d.cols, d.rows + s.k % 9 - 3 AS nr, d.cols + s.k % 5 - 1 AS nc, v.period AS pr, h.period AS pc FROM seeds s JOIN dims d USING (model_id)
+ JOIN axes v ON v.model_id = s.model_id AND v.axis = 'row' JOIN axes h ON h.model_id = s.model_id AND h.axis = 'col')"""], """SELECT t.model_id, r2 AS r, c2 AS c, fabric_id, CASE WHEN r2 < rows AND c2 < cols THEN confidence ELSE 1.0 END AS confidence
+ FROM t, range(40) AS a(r2), range(40) AS b(c2), cells
+ WHERE r2 < nr AND c2 < nc AND cells.model_id = t.model_id AND cells.r = CASE WHEN r2 < rows THEN r2 ELSE r2 % pr END AND cells.c = CASE WHEN c2 < cols THEN c2 ELSE c2 % pc END""", "r c", "confidence"))
 def regridded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = grids.literal(spark, "model_id string, new_rows int, new_cols int", [("benchmark", 60, 48)])
-    return _plain(structure.regridded(grids.benchmark(spark).cells, target))
+    """Each model some rows smaller or larger, and some columns."""
+    m = _models(spark, sf_dir)
+    k = F.regexp_extract("model_id", "[0-9]+", 0).cast("int")
+    target = m.quilts.select("model_id", (F.col("rows") + k % 9 - 3).alias("new_rows"), (F.col("cols") + k % 5 - 1).alias("new_cols"))
+    return _plain(structure.regridded(m.cells, target))
 
 
 # --- plans ----------------------------------------------------------------------------------------------
 
 
-def _plan(spark: SparkSession, strategy: str) -> construction.Plan:
-    return construction.plan(grids.everything(spark), strategy)
+def _plan(spark: SparkSession, sf_dir: str, strategy: str) -> construction.Plan:
+    return construction.plan(_models(spark, sf_dir), strategy)
 
 
-_BENCH = "model_id = 'benchmark'"
-_STRIP_LINES = f"""
-SELECT 'benchmark' AS model_id, 1 AS line, 'b' AS fabric_id, 'center' AS component, 'strip_set' AS source, count(*) AS quantity, 16 AS cut_width_eighths, 16 AS cut_height_eighths, 12 AS finished_width_eighths, 12 AS finished_height_eighths FROM cells WHERE {_BENCH} AND fabric_id = 'b'
-UNION ALL SELECT 'benchmark', 2, 'c', 'center', 'strip_set', count(*), 16, 16, 12, 12 FROM cells WHERE {_BENCH} AND fabric_id = 'c'
-UNION ALL SELECT 'benchmark', 3, 'c', 'border', 'rotary', 2, 30 + 4, rows * cell_size + 4, 30, rows * cell_size FROM quilts WHERE {_BENCH}
-UNION ALL SELECT 'benchmark', 4, 'c', 'border', 'rotary', 2, cols * cell_size + 60 + 4, 30 + 4, cols * cell_size + 60, 30 FROM quilts WHERE {_BENCH}
-UNION ALL SELECT 'benchmark', 5, 'b', 'binding', 'rotary', CAST(ceil((perimeter + 80) / 336.0) AS BIGINT), 20, 336, 20, 336 FROM finished WHERE {_BENCH}"""
+_STRIP_LINES = """
+edges_of AS (SELECT *, rows * cell_size + 2 * before AS high, cols * cell_size + 2 * before + 2 * width AS wide
+ FROM (SELECT *, coalesce(sum(width) OVER (PARTITION BY model_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM borders) JOIN quilts USING (model_id)),
+listed AS (
+ SELECT model_id, 1 AS grp, f.ord, fabric_id, 'center' AS component, 'strip_set' AS source, count(*) AS quantity, cell_size + 4 AS cw, cell_size + 4 AS ch, cell_size AS fw, cell_size AS fh
+ FROM cells JOIN quilts USING (model_id) JOIN fabrics f USING (model_id, fabric_id) GROUP BY ALL
+ UNION ALL SELECT model_id, 2, 2 * ord, fabric_id, 'border', 'rotary', 2, width + 4, high + 4, width, high FROM edges_of
+ UNION ALL SELECT model_id, 2, 2 * ord + 1, fabric_id, 'border', 'rotary', 2, wide + 4, width + 4, wide, width FROM edges_of
+ UNION ALL SELECT model_id, 3, 0, binding_fabric_id, 'binding', 'rotary', CAST(ceil((perimeter + 80) / 336.0) AS BIGINT), 20, 336, 20, 336 FROM finished JOIN quilts USING (model_id)),
+plan_lines AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY grp, ord) AS line FROM listed WHERE model_id IN (SELECT model_id FROM sized))"""
 _LABEL = f"""CASE component WHEN 'center' THEN {_inch('fw')} || ' square, cut ' || {_inch('cw')} || ' x ' || {_inch('ch')}
- WHEN 'binding' THEN 'binding strip, ' || {_inch('cw')} || ' x WOF' ELSE 'border 1 ' || CASE line WHEN 3 THEN 'side' ELSE 'top/bottom' END || ', ' || {_inch('fw')} || ' x ' || {_inch('fh')} || ' finished' END"""
+ WHEN 'binding' THEN 'binding strip, ' || {_inch('cw')} || ' x WOF' ELSE 'border ' || (p.ord // 2 + 1) || CASE p.ord % 2 WHEN 0 THEN ' side' ELSE ' top/bottom' END || ', ' || {_inch('fw')} || ' x ' || {_inch('fh')} || ' finished' END"""
 
 
-@register("cutlist_strip", _sql([MODELS_CTE, SIZE_CTE, f"plan_lines AS ({_STRIP_LINES})"], f"""SELECT p.model_id, line, p.fabric_id, f.name AS fabric_name, component, source, {_LABEL} AS label, quantity, cw AS cut_width_eighths, ch AS cut_height_eighths, fw AS finished_width_eighths, fh AS finished_height_eighths,
+@register("cutlist_strip", _sql([MODELS_CTE, SIZE_CTE, BLOCKS_CTE, _STRIP_LINES], f"""SELECT p.model_id, line, p.fabric_id, f.name AS fabric_name, component, source, {_LABEL} AS label, quantity, cw AS cut_width_eighths, ch AS cut_height_eighths, fw AS finished_width_eighths, fh AS finished_height_eighths,
  {_inch('cw')} || ' x ' || {_inch('ch')} AS cut_size, {_inch('fw')} || ' x ' || {_inch('fh')} AS finished_size
- FROM (SELECT *, cut_width_eighths AS cw, cut_height_eighths AS ch, finished_width_eighths AS fw, finished_height_eighths AS fh FROM plan_lines) p JOIN fabrics f USING (model_id, fabric_id)""", "line quantity cut_width_eighths cut_height_eighths finished_width_eighths finished_height_eighths"))
+ FROM plan_lines p JOIN fabrics f USING (model_id, fabric_id)""", "line quantity cut_width_eighths cut_height_eighths finished_width_eighths finished_height_eighths"))
 def cutlist_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(construction.cut_list(construction.plan(grids.benchmark(spark), "strip")))
+    return _plain(construction.cut_list(construction.plan(_models(spark, sf_dir), "strip")))
 
 
 _AREAS = """
@@ -344,7 +385,7 @@ _YARD = "SELECT model_id, grp, ord, fabric_id, name, purpose, len AS length_need
 
 @register("yardage_historical", _sql([MODELS_CTE, SIZE_CTE, _AREAS], f"""{_YARD} (SELECT f.model_id, 1 AS grp, f.ord, f.fabric_id, f.name, 'fabric' AS purpose, ceil(coalesce((SELECT sum(area) FROM (SELECT model_id, fabric_id, area FROM edge UNION ALL SELECT * FROM squares) x WHERE x.model_id = f.model_id AND x.fabric_id = f.fabric_id), 0) / 336.0) AS len FROM fabrics f UNION ALL {_BACKING})""", "grp ord length_needed quarter_yards"))
 def yardage_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(construction.yardage(_plan(spark, "historical")))
+    return _plain(construction.yardage(_plan(spark, sf_dir, "historical")))
 
 
 @register("purchase_strip", _sql([MODELS_CTE, SIZE_CTE, BLOCKS_CTE, SETS_CTE, _AREAS, "used AS (SELECT model_id, unnest(sequence) AS fabric_id, width * 336 * sets AS area FROM sets)"], f"""{_YARD} (
@@ -352,7 +393,7 @@ def yardage_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT f.model_id, 2, f.ord, f.fabric_id, 'Binding - ' || f.name, 'binding', ceil(area / 336.0) FROM fabrics f JOIN edge USING (model_id, fabric_id) WHERE component = 'binding'
  UNION ALL {_BACKING}) WHERE model_id IN (SELECT model_id FROM sized)""", "grp ord length_needed quarter_yards"))
 def purchase_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(construction.purchase(_plan(spark, "strip")))
+    return _plain(construction.purchase(_plan(spark, sf_dir, "strip")))
 
 
 _SHAPES = """
@@ -369,26 +410,26 @@ _COUNTS = "piece_count cut_count seam_count strip_set_count difficulty time_minu
 @register("metrics_historical", _sql([MODELS_CTE, SIZE_CTE, BLOCKS_CTE, _AREAS, _ALL_AREAS.format("squares"), _SHAPES], _METRICS.format("""SELECT model_id, 'historical' AS strategy, rows * cols + 4 * bands AS piece_count, rows * cols + 4 * bands + strips AS cut_count,
  CASE WHEN size IS NOT NULL THEN down * across * (size * size - 1) ELSE rows * (cols - 1) END + finishing AS seam_count, 0 AS strip_set_count FROM shape JOIN ends USING (model_id)"""), _COUNTS, "waste bias_percent"))
 def metrics_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return construction.metrics(_plan(spark, "historical"))
+    return construction.metrics(_plan(spark, sf_dir, "historical"))
 
 
 @register("metrics_strip", _sql([MODELS_CTE, SIZE_CTE, BLOCKS_CTE, SETS_CTE, _AREAS, "used AS (SELECT model_id, unnest(sequence) AS fabric_id, width * 336 * sets AS area FROM sets)", _ALL_AREAS.format("used"), _SHAPES],
  _METRICS.format("""SELECT model_id, 'strip' AS strategy, rows * cols + 4 * bands AS piece_count, set_cuts + 4 * bands + strips AS cut_count, sewn + down * across * (size - 1) + finishing AS seam_count, n_sets AS strip_set_count
  FROM shape JOIN ends USING (model_id) JOIN (SELECT model_id, sum(sets) AS n_sets, sum(sets * len(sequence) + needed) AS set_cuts, sum((len(sequence) - 1) * sets) AS sewn FROM sets GROUP BY model_id) USING (model_id)"""), _COUNTS, "waste bias_percent"))
 def metrics_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return construction.metrics(_plan(spark, "strip"))
+    return construction.metrics(_plan(spark, sf_dir, "strip"))
 
 
 @register("metrics_modern")
 def metrics_modern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return construction.metrics(_plan(spark, "modern"))
+    return construction.metrics(_plan(spark, sf_dir, "modern"))
 
 
 @register("assembly_steps", _sql([MODELS_CTE, BLOCKS_CTE, SETS_CTE], """SELECT model_id, (SELECT count(*) FROM sets s WHERE s.model_id = q.model_id) + 1 + (SELECT count(*) FROM types t WHERE t.model_id = q.model_id)
- + (SELECT max(br) + 2 FROM layout l WHERE l.model_id = q.model_id) + (SELECT count(*) FROM borders b WHERE b.model_id = q.model_id) + 2 AS steps FROM quilts q WHERE model_id = 'benchmark'""", "steps"))
+ + (SELECT max(br) + 2 FROM layout l WHERE l.model_id = q.model_id) + (SELECT count(*) FROM borders b WHERE b.model_id = q.model_id) + 2 AS steps FROM quilts q WHERE model_id IN (SELECT model_id FROM sized)""", "steps"))
 def assembly_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many steps the strip plan takes."""
-    return construction.assembly_steps(construction.plan(grids.benchmark(spark), "strip")).groupBy("model_id").agg(F.count("*").alias("steps"))
+    return construction.assembly_steps(construction.plan(_models(spark, sf_dir), "strip")).groupBy("model_id").agg(F.count("*").alias("steps"))
 
 
 @register("assembly_strip", _sql([MODELS_CTE, SIZE_CTE, BLOCKS_CTE, SETS_CTE, """
@@ -402,12 +443,12 @@ across AS (SELECT model_id, br, count(*) AS across, string_agg(chr(CAST(65 + typ
  UNION ALL SELECT model_id, 6, 0, 'Prepare the binding', 'Join ' || CAST(ceil((perimeter + 80) / 336.0) AS BIGINT) || ' WOF strips of ' || {_inch('20')} || ' end to end; press in half lengthwise.' FROM finished
  UNION ALL SELECT model_id, 7, 0, 'Bind the quilt', 'Attach the binding to the quilt edge; miter the corners.' FROM quilts) WHERE model_id IN (SELECT model_id FROM sized)""", "number"))
 def assembly_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return construction.assembly_steps(construction.plan(grids.everything(spark), "strip"))
+    return construction.assembly_steps(construction.plan(_models(spark, sf_dir), "strip"))
 
 
 @register("rectangle_cover")
 def rectangle_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return construction.rectangles(grids.everything(spark))
+    return construction.rectangles(_models(spark, sf_dir))
 
 
 # --- sizing ---------------------------------------------------------------------------------------------
@@ -415,62 +456,71 @@ def rectangle_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("finished_columns", _sql([MODELS_CTE, SIZE_CTE], "SELECT *, perimeter + 80 AS binding_length, finished_width + 64 AS batting_width, finished_height + 64 AS batting_height FROM finished", "band finished_width finished_height perimeter binding_length batting_width batting_height"))
 def finished_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = grids.everything(spark)
+    m = _models(spark, sf_dir)
     return _plain(sizing.finished_columns(m.quilts, m.borders))
 
 
-def _targets(spark: SparkSession) -> DataFrame:
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("int")
-    w = F.col("id").cast("int")
-    return spark.range(60, 1400, 7).select(
-        F.lit(55).alias("rows"), F.lit(45).alias("cols"), F.lit(12).alias("cell_size"), F.lit(30).alias("band"), F.array(F.lit(30)).alias("bands"), F.lit(5).alias("block"),
+    w = (F.col("o_orderkey") * 7 % 1340 + 60).cast("int")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.lit(55).alias("rows"), F.lit(45).alias("cols"), F.lit(12).alias("cell_size"), F.lit(30).alias("band"), F.array(F.lit(30)).alias("bands"), F.lit(5).alias("block"),
         F.when(w % 3 != 0, w).alias("target_width"), F.when(w % 3 != 1, w + 60).alias("target_height"), none.alias("target_cell"),
     )
 
 
-_T = "targets AS (SELECT i, CASE WHEN i % 3 <> 0 THEN i END AS w, CASE WHEN i % 3 <> 1 THEN i + 60 END AS h FROM range(60, 1400, 7) AS t(i))"
+_T = "targets AS (SELECT o_orderkey, i, CASE WHEN i % 3 <> 0 THEN i END AS w, CASE WHEN i % 3 <> 1 THEN i + 60 END AS h FROM (SELECT o_orderkey, 60 + o_orderkey * 7 % 1340 AS i FROM orders))"
 
 
-@register("resize_locked", _sql([_T, "x AS (SELECT *, greatest(1, CASE WHEN w IS NOT NULL THEN (greatest(w - 60, 0) + 22) // 45 ELSE (greatest(h - 60, 0) + 27) // 55 END) AS new_cell FROM targets)"], "SELECT w AS target_width, h AS target_height, new_cell, 45 * new_cell + 60 AS achieved_width, 55 * new_cell + 60 AS achieved_height FROM x", "target_width target_height new_cell achieved_width achieved_height"))
+@register("resize_locked", _sql([_T, "x AS (SELECT *, greatest(1, CASE WHEN w IS NOT NULL THEN (greatest(w - 60, 0) + 22) // 45 ELSE (greatest(h - 60, 0) + 27) // 55 END) AS new_cell FROM targets)"], "SELECT o_orderkey, w AS target_width, h AS target_height, new_cell, 45 * new_cell + 60 AS achieved_width, 55 * new_cell + 60 AS achieved_height FROM x", "target_width target_height new_cell achieved_width achieved_height"))
 def resize_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(sizing.locked(_targets(spark)).select("target_width", "target_height", "new_cell", "achieved_width", "achieved_height"))
+    return _plain(sizing.locked(_targets(spark, sf_dir)).select("o_orderkey", "target_width", "target_height", "new_cell", "achieved_width", "achieved_height"))
 
 
-@register("resize_unlocked", _sql([_T, "x AS (SELECT *, CASE WHEN w IS NULL THEN 45 ELSE 5 * greatest(1, (greatest(w - 60, 0) + 30) // 60) END AS nc, CASE WHEN h IS NULL THEN 55 ELSE 5 * greatest(1, (greatest(h - 60, 0) + 30) // 60) END AS nr FROM targets)"], "SELECT w AS target_width, h AS target_height, nr AS new_rows, nc AS new_cols, nc * 12 + 60 AS achieved_width, nr * 12 + 60 AS achieved_height FROM x", "target_width target_height new_rows new_cols achieved_width achieved_height"))
+@register("resize_unlocked", _sql([_T, "x AS (SELECT *, CASE WHEN w IS NULL THEN 45 ELSE 5 * greatest(1, (greatest(w - 60, 0) + 30) // 60) END AS nc, CASE WHEN h IS NULL THEN 55 ELSE 5 * greatest(1, (greatest(h - 60, 0) + 30) // 60) END AS nr FROM targets)"], "SELECT o_orderkey, w AS target_width, h AS target_height, nr AS new_rows, nc AS new_cols, nc * 12 + 60 AS achieved_width, nr * 12 + 60 AS achieved_height FROM x", "target_width target_height new_rows new_cols achieved_width achieved_height"))
 def resize_unlocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(sizing.unlocked(_targets(spark)).select("target_width", "target_height", "new_rows", "new_cols", "achieved_width", "achieved_height"))
+    return _plain(sizing.unlocked(_targets(spark, sf_dir)).select("o_orderkey", "target_width", "target_height", "new_rows", "new_cols", "achieved_width", "achieved_height"))
 
 
 _Q = "greatest(160, least(1120, ({0} + 1) // 2 * 2))"
 
 
-@register("resize_scaled", _sql([_T, f"x AS (SELECT *, greatest(6, least(32, least(coalesce(greatest(1, (greatest({_Q.format('w')} - 60, 0) + 22) // 45), 99999), coalesce(greatest(1, (greatest({_Q.format('h')} - 60, 0) + 27) // 55), 99999)))) AS new_cell FROM (SELECT i, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h FROM targets))".replace("greatest(1, (greatest(greatest(160, least(1120, (w + 1) // 2 * 2)) - 60, 0) + 22) // 45)", "CASE WHEN w IS NOT NULL THEN greatest(1, (greatest(greatest(160, least(1120, (w + 1) // 2 * 2)) - 60, 0) + 22) // 45) END").replace("greatest(1, (greatest(greatest(160, least(1120, (h + 1) // 2 * 2)) - 60, 0) + 27) // 55)", "CASE WHEN h IS NOT NULL THEN greatest(1, (greatest(greatest(160, least(1120, (h + 1) // 2 * 2)) - 60, 0) + 27) // 55) END"), "y AS (SELECT *, greatest(2, least(112, (30 * new_cell + 6) // 12)) AS band FROM x)"], "SELECT w AS target_width, h AS target_height, new_cell, band, 45 * new_cell + 2 * band AS achieved_width, 55 * new_cell + 2 * band AS achieved_height FROM y", "target_width target_height new_cell band achieved_width achieved_height"))
+@register("resize_scaled", _sql([_T, f"x AS (SELECT *, greatest(6, least(32, least(coalesce(greatest(1, (greatest({_Q.format('w')} - 60, 0) + 22) // 45), 99999), coalesce(greatest(1, (greatest({_Q.format('h')} - 60, 0) + 27) // 55), 99999)))) AS new_cell FROM (SELECT o_orderkey, i, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h FROM targets))".replace("greatest(1, (greatest(greatest(160, least(1120, (w + 1) // 2 * 2)) - 60, 0) + 22) // 45)", "CASE WHEN w IS NOT NULL THEN greatest(1, (greatest(greatest(160, least(1120, (w + 1) // 2 * 2)) - 60, 0) + 22) // 45) END").replace("greatest(1, (greatest(greatest(160, least(1120, (h + 1) // 2 * 2)) - 60, 0) + 27) // 55)", "CASE WHEN h IS NOT NULL THEN greatest(1, (greatest(greatest(160, least(1120, (h + 1) // 2 * 2)) - 60, 0) + 27) // 55) END"), "y AS (SELECT *, greatest(2, least(112, (30 * new_cell + 6) // 12)) AS band FROM x)"], "SELECT o_orderkey, w AS target_width, h AS target_height, new_cell, band, 45 * new_cell + 2 * band AS achieved_width, 55 * new_cell + 2 * band AS achieved_height FROM y", "target_width target_height new_cell band achieved_width achieved_height"))
 def resize_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(sizing.rescaled(_targets(spark)).select("target_width", "target_height", "new_cell", F.get("new_bands", F.lit(0)).alias("band"), "achieved_width", "achieved_height"))
+    return _plain(sizing.rescaled(_targets(spark, sf_dir)).select("o_orderkey", "target_width", "target_height", "new_cell", F.get("new_bands", F.lit(0)).alias("band"), "achieved_width", "achieved_height"))
 
 
-@register("finished_size", _sql([_T, "x AS (SELECT *, greatest(6, least(32, least(coalesce(CASE WHEN w IS NOT NULL THEN (w * 12 + 300) // 600 END, 99999), coalesce(CASE WHEN h IS NOT NULL THEN (h * 12 + 360) // 720 END, 99999)))) AS new_cell FROM targets)", "y AS (SELECT *, greatest(2, (30 * new_cell + 6) // 12) AS band FROM x)"], "SELECT w AS target_width, h AS target_height, new_cell, band, 45 * new_cell + 2 * band AS achieved_width, 55 * new_cell + 2 * band AS achieved_height FROM y", "target_width target_height new_cell band achieved_width achieved_height"))
+@register("finished_size", _sql([_T, "x AS (SELECT *, greatest(6, least(32, least(coalesce(CASE WHEN w IS NOT NULL THEN (w * 12 + 300) // 600 END, 99999), coalesce(CASE WHEN h IS NOT NULL THEN (h * 12 + 360) // 720 END, 99999)))) AS new_cell FROM targets)", "y AS (SELECT *, greatest(2, (30 * new_cell + 6) // 12) AS band FROM x)"], "SELECT o_orderkey, w AS target_width, h AS target_height, new_cell, band, 45 * new_cell + 2 * band AS achieved_width, 55 * new_cell + 2 * band AS achieved_height FROM y", "target_width target_height new_cell band achieved_width achieved_height"))
 def finished_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(sizing.finished(_targets(spark)).select("target_width", "target_height", "new_cell", F.get("new_bands", F.lit(0)).alias("band"), "achieved_width", "achieved_height"))
+    return _plain(sizing.finished(_targets(spark, sf_dir)).select("o_orderkey", "target_width", "target_height", "new_cell", F.get("new_bands", F.lit(0)).alias("band"), "achieved_width", "achieved_height"))
 
 
 _PRESETS = f"presets(name, w, h) AS (VALUES {_values(list(sizing.PRESETS))})"
 
 
-@register("presets", f"SELECT CAST(ord AS BIGINT) AS ord, name, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height FROM (VALUES {_values([(i, *p) for i, p in enumerate(sizing.PRESETS)])}) AS t(ord, name, w, h)")
+@register("presets", _sql([MODELS_CTE, SIZE_CTE, _PRESETS], "SELECT model_id, name, w AS width, h AS height FROM finished JOIN presets ON finished_width <= w AND finished_height <= h", "width height"))
 def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(sizing.presets(spark))
+    """The presets that each quilt fits into."""
+    m = _models(spark, sf_dir)
+    sized = sizing.finished_columns(m.quilts, m.borders)
+    p = F.broadcast(sizing.presets(spark))  # a handful of rows
+    return _plain(sized.join(p, (F.col("finished_width") <= F.col("width")) & (F.col("finished_height") <= F.col("height"))).select("model_id", p["name"], "width", "height"))
 
 
-@register("preset_by_aspect", _sql([_PRESETS], """SELECT aspect, (SELECT CASE WHEN count(*) = 1 THEN min(name) END FROM presets WHERE aspect > 0 AND abs(CASE WHEN aspect >= 1 THEN aspect ELSE 1 / aspect END - greatest(w, h) / least(w, h)) <= 0.04) AS preset
- FROM (SELECT i / 97.0 AS aspect FROM range(40, 240) AS t(i))""", "", "aspect"))
+@register("preset_by_aspect", _sql([_PRESETS], """SELECT o_orderkey, aspect, (SELECT CASE WHEN count(*) = 1 THEN min(name) END FROM presets WHERE aspect > 0 AND abs(CASE WHEN aspect >= 1 THEN aspect ELSE 1 / aspect END - greatest(w, h) / least(w, h)) <= 0.04) AS preset
+ FROM (SELECT o_orderkey, (o_orderkey % 200 + 40) / 97.0 AS aspect FROM orders)""", "o_orderkey", "aspect"))
 def preset_by_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(sizing.by_aspect(spark.range(40, 240).select((F.col("id") / F.lit(97.0)).alias("aspect"))))
+    return _plain(sizing.by_aspect(table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") % 200 + 40) / F.lit(97.0)).alias("aspect"))))
 
 
-@register("preset_by_size", _sql([_PRESETS], "SELECT i AS width, 416 AS height, CASE WHEN abs(i - 288) <= 0.56 THEN 'Crib' END AS preset FROM range(280, 300) AS t(i)", "width height"))
+@register("preset_by_size", _sql([_PRESETS], "SELECT o_orderkey, width, height, (SELECT arg_min(name, ord) FROM (SELECT *, row_number() OVER () AS ord FROM presets) WHERE abs(w - width) <= 0.56 AND abs(h - height) <= 0.56) AS preset FROM (SELECT o_orderkey, w + o_orderkey % 3 - 1 AS width, h + o_orderkey // 3 % 2 AS height FROM orders, presets WHERE length(name) = 4 + o_orderkey % 3 OR o_orderkey % 4 = 0)", "width height"))
 def preset_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(sizing.by_size(spark.range(280, 300).select(F.col("id").alias("width"), F.lit(416).alias("height"))))
+    """Sizes on and beside those of the presets."""
+    k = F.col("o_orderkey")
+    p = F.broadcast(sizing.presets(spark))  # a handful of rows
+    beside = table(spark, sf_dir, "orders").join(p, (F.length("name") == 4 + k % 3) | (k % 4 == 0))
+    near = beside.select("o_orderkey", (F.col("width") + k % 3 - 1).alias("width"), (F.col("height") + lengths.int_div(k, 3) % 2).alias("height"))
+    return _plain(sizing.by_size(near))
 
 
 # --- analytics on grids ----------------------------------------------------------------------------------
@@ -484,7 +534,7 @@ scores AS (SELECT model_id, side, i, arg_min(fabric_id, (-n, fabric_id)) AS fabr
 lead_strips AS (SELECT * FROM (SELECT *, min(CASE WHEN score < 0.93 THEN i END) OVER (PARTITION BY model_id, side) AS stop FROM scores) WHERE stop IS NULL OR i < stop)"""],
  "SELECT model_id, side, sum(n) AS strips, arg_min(fabric_id, (-n, fabric_id)) AS fabric_id, sum(s) / sum(n) AS score FROM (SELECT model_id, side, fabric_id, count(*) AS n, sum(score) AS s FROM lead_strips GROUP BY ALL) GROUP BY model_id, side", "strips", "score"))
 def border_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(analytics.border_scan(grids.everything(spark).cells))
+    return _plain(analytics.border_scan(_models(spark, sf_dir).cells))
 
 
 @register("voted_cells", _sql([EVENTS_CTE, """tally AS (SELECT model_id, r % 5 AS kr, c % 4 AS kc, fabric_id, sum(confidence) AS w FROM cells GROUP BY ALL),
@@ -525,7 +575,7 @@ def seam_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("strip_seams", _sql([MODELS_CTE, _EDGES], "SELECT model_id, (SELECT count(*) FROM cells c WHERE c.model_id = e.model_id) - count(*) FILTER (WHERE same AND dir = 'v') AS pieces, count(*) - count(*) FILTER (WHERE same AND dir = 'v') AS seams FROM edges e GROUP BY model_id", "pieces seams"))
 def strip_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A strip's pieces are runs in a row, so their number follows from the merged edges."""
-    cells = grids.everything(spark).cells
+    cells = _models(spark, sf_dir).cells
     return _plain(seams.estimate(cells, seams.merges(cells, "strip")))
 
 

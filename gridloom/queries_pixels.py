@@ -13,7 +13,7 @@ from gridloom.functions import report
 from gridloom.functions.lengths import ceil_div
 from gridloom.operators import analytics, edits, pixels, seams, structure
 from gridloom.plans import construction
-from gridloom.queries import BLOCKS_CTE, EVENTS_CTE, MODELS_CTE, SETS_CTE, SIZE_CTE, _inch, _plain, _sql
+from gridloom.queries import BLOCKS_CTE, EVENTS_CTE, MODELS_CTE, SETS_CTE, SIZE_CTE, _inch, _models, _plain, _sql
 from gridloom.sources import documents, grids, reports, scratch
 
 _PIXELS = """px AS (SELECT l_suppkey % 40 AS image_id, l_orderkey % 40 AS y, l_partkey % 40 AS x, l_linenumber % 4 AS strip,
@@ -206,7 +206,7 @@ def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("documents_whole", _sql(MODELS_CTE, """SELECT model_id, 'note of ' || model_id AS notes, cell_size + 5 AS binding_strip_width, 1 AS motifs, CASE WHEN model_id = 'tiny' THEN NULL ELSE cell_size / 4.0 END AS density, 'photo' AS source, 0.25 AS grid_confidence, cell_size FROM quilts""", "binding_strip_width motifs cell_size", "density grid_confidence"))
 def documents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that a document holds beside its grid comes back after writing files and reading them."""
-    m = grids.everything(spark)
+    m = _models(spark, sf_dir)
     motif = F.array(F.struct(F.lit("feather").alias("name"), *[F.lit(v).alias(n) for n, v in (("x", 0), ("y", 1), ("width", 8), ("height", 9))]))
     q = m.quilts.withColumns({
         "notes": F.concat(F.lit("note of "), "model_id"), "binding_strip_width": F.col("cell_size") + 5, "motifs": motif, "density": F.when(F.col("model_id") != "tiny", F.col("cell_size") / 4.0),
@@ -222,7 +222,7 @@ def documents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cutlist_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut list, written as CSV files and read again."""
     path = scratch.folder(spark) + "/cutlist"
-    reports.write_csv(construction.plan(grids.benchmark(spark), "strip"), path)
+    reports.write_csv(construction.plan(_models(spark, sf_dir), "strip"), path)
     return _plain(reports.read_csv(spark, path))
 
 
@@ -233,19 +233,19 @@ _CHART = f"chart AS (SELECT string_agg('| SS' || set || ' | ' || array_to_string
  SELECT f.ord, '## ' || fabric_name || ' (' || li.fabric_id || ')' || chr(10) || chr(10) || '{reports._HEADS[0]}' || chr(10) || '{reports._HEADS[1]}' || chr(10) || string_agg('| ' || label || ' | ' || component || ' | ' || CASE source WHEN 'strip_set' THEN 'strip sets' ELSE source END || ' | ' || quantity || ' | ' || cut_size || ' | ' || finished_size || ' |', chr(10) ORDER BY line) || chr(10) AS part
  FROM li JOIN fabrics f USING (model_id, fabric_id) GROUP BY f.ord, fabric_name, li.fabric_id)) || chr(10) || '## Strip cutting chart' || chr(10) || chr(10) || '{reports._CHART[0]}' || chr(10) || '{reports._CHART[1]}' || chr(10) || (SELECT rows FROM chart) || chr(10) || chr(10) || 'Crosscut every set at ' || {_inch('16')} || '.' || chr(10) AS text"""))
 def cutlist_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.cut_list_markdown(construction.plan(grids.benchmark(spark), "strip"))
+    return reports.cut_list_markdown(construction.plan(_models(spark, sf_dir), "strip"))
 
 
 @register("yardage_markdown", _sql([f"y AS ({ORACLES['yardage_historical']})"], f"""SELECT model_id, '# Yardage (historical strategy)' || chr(10) || chr(10) || '| Fabric | Length needed | Yards |' || chr(10) || '| --- | --- | --- |' || chr(10)
  || string_agg('| ' || CASE WHEN fabric_id IS NULL THEN name ELSE name || ' (' || fabric_id || ')' END || ' | ' || {_inch('length_needed')} || ' | ' || CASE WHEN quarter_yards % 4 = 0 THEN CAST(quarter_yards // 4 AS VARCHAR) WHEN quarter_yards // 4 = 0 THEN list_extract(['1/4','1/2','3/4'], quarter_yards % 4) ELSE (quarter_yards // 4) || ' ' || list_extract(['1/4','1/2','3/4'], quarter_yards % 4) END || ' yd |', chr(10) ORDER BY grp, ord)
  || chr(10) || chr(10) || 'Yardage rounds up to the nearest 1/4 yard per fabric. Backing is a dedicated line item, never a palette fabric.' || chr(10) AS text FROM y GROUP BY model_id"""))
 def yardage_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.yardage_markdown(construction.yardage(construction.plan(grids.everything(spark), "historical")), "historical")
+    return reports.yardage_markdown(construction.yardage(construction.plan(_models(spark, sf_dir), "historical")), "historical")
 
 
 @register("areas_reconciled", _sql([MODELS_CTE, SIZE_CTE], "SELECT model_id, finished_width * finished_height AS pieces_area, finished_width * finished_height AS top_area FROM finished", "pieces_area top_area"))
 def areas_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(construction.reconciled(construction.plan(grids.everything(spark), "modern")))
+    return _plain(construction.reconciled(construction.plan(_models(spark, sf_dir), "modern")))
 
 
 _JOINS = """across AS (SELECT model_id, br, count(*) AS across, string_agg(chr(CAST(65 + type AS INTEGER)), ' ' ORDER BY bc) AS letters FROM layout GROUP BY ALL), down AS (SELECT model_id, count(*) AS down FROM across GROUP BY ALL)"""
@@ -261,12 +261,12 @@ _JOINS = """across AS (SELECT model_id, br, count(*) AS across, string_agg(chr(C
  UNION ALL SELECT model_id, 6, 0, 'Prepare the binding', 'Join ' || CAST(ceil((perimeter + 80) / 336.0) AS BIGINT) || ' WOF strips of ' || {_inch('20')} || ' end to end; press in half lengthwise.' FROM finished
  UNION ALL SELECT model_id, 7, 0, 'Bind the quilt', 'Attach the binding to the quilt edge; miter the corners.' FROM quilts)""", "number"))
 def assembly_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return construction.assembly_steps(construction.plan(grids.everything(spark), "historical"))
+    return construction.assembly_steps(construction.plan(_models(spark, sf_dir), "historical"))
 
 
 @register("model_summaries", _sql([MODELS_CTE, SIZE_CTE], "SELECT model_id, rows, cols, (SELECT count(*) FROM fabrics f WHERE f.model_id = q.model_id) AS fabric_count, finished_width, finished_height, finished_width + 64 AS batting_width, finished_height + 64 AS batting_height, CAST(ceil((finished_height + 64) / 72.0) AS BIGINT) AS batting_quarters FROM quilts q JOIN finished USING (model_id)", "rows cols fabric_count finished_width finished_height batting_width batting_height batting_quarters"))
 def model_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(analytics.summary(grids.everything(spark)))
+    return _plain(analytics.summary(_models(spark, sf_dir)))
 
 
 # --- edits ------------------------------------------------------------------------------------------------
@@ -288,14 +288,14 @@ def painted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("edited_palettes", _sql(MODELS_CTE, "SELECT model_id, ord, fabric_id, CASE WHEN ord = 0 THEN 'New ' || fabric_id ELSE name END AS name, CASE WHEN ord = 1 THEN '#000000' ELSE color END AS color FROM fabrics UNION ALL SELECT model_id, max(ord) + 1, 'f1', 'Fabric ' || (count(*) + 1), '#b8a06a' FROM fabrics GROUP BY model_id", "ord"))
 def edited_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = grids.everything(spark).fabrics
+    f = _models(spark, sf_dir).fabrics
     changes = f.select("model_id", "fabric_id", F.when(F.col("ord") == 0, F.concat(F.lit("New "), "fabric_id")).alias("new_name"), F.when(F.col("ord") == 1, "#000000").alias("new_color"))
     return _plain(edits.with_fabric(edits.redone(f, changes)))
 
 
 @register("removable_fabrics", _sql(MODELS_CTE, "SELECT model_id, fabric_id, NOT (EXISTS (SELECT 1 FROM cells c WHERE c.model_id = f.model_id AND c.fabric_id = f.fabric_id) OR EXISTS (SELECT 1 FROM borders b WHERE b.model_id = f.model_id AND b.fabric_id = f.fabric_id) OR EXISTS (SELECT 1 FROM quilts q WHERE q.model_id = f.model_id AND q.binding_fabric_id = f.fabric_id)) AS removable FROM (SELECT model_id, fabric_id FROM fabrics UNION ALL SELECT DISTINCT model_id, 'f1' FROM fabrics) f"))
 def removable_fabrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = grids.everything(spark)
+    m = _models(spark, sf_dir)
     return edits.removable(grids.Models(m.quilts, m.cells, edits.with_fabric(m.fabrics), m.borders))
 
 
@@ -303,7 +303,7 @@ def removable_fabrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edited_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide borders change width and fabric, impossible changes are left out, a new innermost one comes, and the
     removal of a border that isn't there changes nothing."""
-    m = grids.everything(spark)
+    m = _models(spark, sf_dir)
     most = m.fabrics.groupBy("model_id").agg(F.max("fabric_id").alias("new_fabric"))
     good = m.borders.where("width > 5").join(most, "model_id").select("model_id", "ord", (F.col("width") + 3).alias("new_width"), "new_fabric")
     bad = m.borders.where("width <= 5").select("model_id", "ord", F.lit(0).alias("new_width"), F.lit(None).cast("string").alias("new_fabric"))
@@ -317,7 +317,7 @@ _SEAMS = "e AS (SELECT a.model_id, a.r, a.c, 'v' AS dir FROM cells a JOIN cells
 
 @register("dragged_seams", _sql([MODELS_CTE, _SEAMS], "SELECT model_id, r, c, 'v' AS dir, 'merge' AS action FROM cells WHERE r % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e WHERE e.model_id = cells.model_id AND e.r = cells.r AND e.c = cells.c) UNION ALL SELECT model_id, 1, 0, 'h', 'split' FROM quilts", "r c"))
 def dragged_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = grids.everything(spark)
+    m = _models(spark, sf_dir)
     old = m.quilts.select("model_id", F.lit(1).alias("r"), F.lit(0).alias("c"), F.lit("h").alias("dir"), F.lit("split").alias("action"))
     drag = m.cells.where("r % 2 = 0").select("model_id", "r", "c", F.lit("v").alias("dir"))
     return _plain(edits.dragged(old, seams.merges(m.cells, "strip"), drag))
@@ -339,7 +339,7 @@ def tapped_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
  "SELECT f.model_id, c.r, x AS c, c.fabric_id FROM fit f, range(200) AS t(x), cells c WHERE x < nc AND c.model_id = f.model_id AND c.c = CASE WHEN x < cols THEN x WHEN f.model_id = 'benchmark' THEN x % 10 WHEN f.model_id = 'uniform' THEN 0 ELSE x % 3 END", "r c"))
 def resized_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """100 eighths are added to the width of three models, in whole blocks or single squares."""
-    m = grids.everything(spark)
+    m = _models(spark, sf_dir)
     m = grids.Models(*(getattr(m, k).where("model_id in ('benchmark', 'uniform', 'checker')") for k in ("quilts", "cells", "fabrics", "borders")))
     bands = m.borders.groupBy("model_id").agg(F.sum("width").alias("band"))
     wide = m.quilts.join(bands, "model_id", "left").select("model_id", (F.col("cols") * F.col("cell_size") + 2 * F.coalesce("band", F.lit(0)) + 100).cast("int").alias("target_width"), F.lit(None).cast("int").alias("target_height"))
@@ -348,7 +348,7 @@ def resized_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("viewer_yardages", _sql(MODELS_CTE, "SELECT f.model_id, f.fabric_id, count(c.r) AS cells, CAST(ceil(ceil(count(c.r) * (cell_size + 4) * (cell_size + 4) / 336.0) / 72.0) AS BIGINT) AS quarter_yards FROM fabrics f JOIN quilts USING (model_id) LEFT JOIN cells c ON c.model_id = f.model_id AND c.fabric_id = f.fabric_id GROUP BY f.model_id, f.fabric_id, cell_size", "cells quarter_yards"))
 def viewer_yardages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(edits.viewer_yardage(grids.everything(spark)))
+    return _plain(edits.viewer_yardage(_models(spark, sf_dir)))
 
 
 @register("tiled_grids", _sql(EVENTS_CTE, "SELECT d.model_id, r2 AS r, c2 AS c, fabric_id FROM dims d, range(30) AS a(r2), range(26) AS b(c2), cells WHERE rows = 25 AND cols = 20 AND cells.model_id = d.model_id AND cells.r = r2 % 25 AND cells.c = c2 % 20", "r c"))
@@ -362,4 +362,4 @@ def tiled_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT model_id, -1 AS layer, band + c * cell_size AS x, band + r * cell_size AS y, band + (c + 1) * cell_size AS u, band + (r + 1) * cell_size AS v, color FROM cells JOIN quilts USING (model_id) JOIN finished USING (model_id) JOIN fabrics USING (model_id, fabric_id)
  UNION ALL SELECT b.model_id, 0, 0, 0, finished_width, finished_height, color FROM borders b JOIN finished USING (model_id) JOIN fabrics USING (model_id, fabric_id))""", "layer x0 y0 x1 y1"))
 def flat_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(edits.rectangles(grids.everything(spark)))
+    return _plain(edits.rectangles(_models(spark, sf_dir)))
