@@ -85,9 +85,10 @@ def border_scan(cells: DataFrame) -> DataFrame:
 def voted(cells: DataFrame, periods: DataFrame) -> DataFrame:
     """cells with `voted`: those of low confidence get the label of the greatest weight among their periodic
     copies. periods: (model_id, period_rows, period_cols). An axis votes with three copies or more; ties and
-    a tally of nothing go to the smallest label (of the copies, or of the whole grid)."""
-    size = dims(cells).join(periods, "model_id")
-    pr, pc = F.col("period_rows"), F.col("period_cols")
+    a tally of nothing go to the smallest label (of the copies, or of the whole grid). Grids without periods, or
+    with null ones, stay as they are."""
+    size = dims(cells).join(periods, "model_id", "left")
+    pr, pc = F.coalesce("period_rows", F.lit(0)), F.coalesce("period_cols", F.lit(0))
     placed = cells.join(size, "model_id")
     by_r, by_c = (pr > 0) & (F.col("rows") >= COPIES * pr), (pc > 0) & (F.col("cols") >= COPIES * pc)
     placed = placed.withColumn("kr", F.when(by_r, F.col("r") % F.greatest(pr, F.lit(1))).otherwise(F.col("r"))).withColumn("kc", F.when(by_c, F.col("c") % F.greatest(pc, F.lit(1))).otherwise(F.col("c"))).withColumn("votes", by_r | by_c)

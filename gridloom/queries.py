@@ -539,7 +539,7 @@ def border_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("voted_cells", _sql([EVENTS_CTE, """tally AS (SELECT model_id, r % 5 AS kr, c % 4 AS kc, fabric_id, sum(confidence) AS w FROM cells GROUP BY ALL),
 best AS (SELECT model_id, kr, kc, fabric_id, w FROM (SELECT *, row_number() OVER (PARTITION BY model_id, kr, kc ORDER BY round(w, 6) DESC, fabric_id) AS k FROM tally) WHERE k = 1)"""],
- "SELECT c.model_id, r, c, c.fabric_id, CASE WHEN confidence < 0.8 THEN CASE WHEN w > 0 THEN b.fabric_id ELSE (SELECT min(fabric_id) FROM cells x WHERE x.model_id = c.model_id) END ELSE c.fabric_id END AS voted FROM cells c JOIN dims USING (model_id) JOIN best b ON b.model_id = c.model_id AND kr = r % 5 AND kc = c % 4 WHERE rows >= 15 AND cols >= 12", "r c"))
+ "SELECT c.model_id, r, c, c.fabric_id, CASE WHEN rows >= 15 AND cols >= 12 AND confidence < 0.8 THEN CASE WHEN w > 0 THEN b.fabric_id ELSE (SELECT min(fabric_id) FROM cells x WHERE x.model_id = c.model_id) END ELSE c.fabric_id END AS voted FROM cells c JOIN dims USING (model_id) JOIN best b ON b.model_id = c.model_id AND kr = r % 5 AND kc = c % 4", "r c"))
 def voted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grids.from_events(table(spark, sf_dir, "events"))
     # hundredths add up exactly only as decimals

@@ -13,7 +13,7 @@ from gridloom.functions import report
 from gridloom.functions.lengths import ceil_div
 from gridloom.operators import analytics, edits, pixels, seams, structure
 from gridloom.plans import construction
-from gridloom.queries import BLOCKS_CTE, EVENTS_CTE, MODELS_CTE, SETS_CTE, SIZE_CTE, _inch, _models, _plain, _sql
+from gridloom.queries import _LINES, BLOCKS_CTE, EVENTS_CTE, MODELS_CTE, SETS_CTE, SIZE_CTE, _inch, _models, _plain, _sql
 from gridloom.sources import documents, grids, reports, scratch
 
 _PIXELS = """px AS (SELECT l_suppkey % 40 AS image_id, l_orderkey % 40 AS y, l_partkey % 40 AS x, l_linenumber % 4 AS strip,
@@ -179,8 +179,8 @@ _PHRASE = f"CASE WHEN k >= 1 THEN CASE WHEN sized THEN 'It repeats every ' || rt
 
 @register("verdict_stories", _sql(_CASES, f"""SELECT event_id, CASE v WHEN 'no_grid' THEN 'failure' WHEN 'non_square_repeat' THEN 'nonsquare' ELSE 'percent' END AS mode,
  CASE v WHEN 'no_grid' THEN 'Could not read this photo' WHEN 'non_square_repeat' THEN 'blocks repeat - squares uncertain' ELSE '' END AS pill,
- CASE WHEN v = 'no_grid' THEN CASE g WHEN 'no_quilt_found' THEN '{report.REASONS["no_quilt_found"]}' WHEN 'weak_periodicity' THEN '{report.REASONS["weak_periodicity"]}' ELSE '{report.NO_REASON}' END END AS reason,
- CASE WHEN v = 'readable_no_repeat' THEN '{report.NO_REPEAT}' WHEN coalesce(v, 'readable') = 'readable' THEN {_PHRASE} END AS caption,
+ CASE WHEN v = 'no_grid' THEN CASE g WHEN 'no_quilt_found' THEN 'We could not tell the quilt apart from the background.' WHEN 'weak_periodicity' THEN 'The square pattern is too faint to read confidently.' ELSE 'The pattern did not read as a grid of squares.' END END AS reason,
+ CASE WHEN v = 'readable_no_repeat' THEN 'No repeating block found - common for samplers and medallion quilts.' WHEN coalesce(v, 'readable') = 'readable' THEN {_PHRASE} END AS caption,
  CASE WHEN v = 'no_grid' THEN CASE WHEN g = 'no_quilt_found' THEN 0 ELSE 2 END END AS first_dashed FROM cs""", "first_dashed"))
 def verdict_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
@@ -190,31 +190,32 @@ def verdict_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in report.story(verdict, diagnosis, phrase).items()]))
 
 
-@register("display_texts", _sql("", f"""SELECT i AS eighths, format('{{:.1f}}', floor(i / 8.0 * 2.54 * 10 + 0.5) / 10) AS cm, CASE WHEN i < 720 THEN 'phone' ELSE 'desktop' END AS device, format('{{:.3f}}', i / 7.0) AS fixed,
+@register("display_texts", _sql("", f"""SELECT o_orderkey, i AS eighths, format('{{:.1f}}', floor(i / 8.0 * 2.54 * 10 + 0.5) / 10) AS cm, CASE WHEN i < 720 THEN 'phone' ELSE 'desktop' END AS device, format('{{:.3f}}', i / 7.0) AS fixed,
  CASE WHEN i % 4 = 0 THEN CAST(i // 4 AS VARCHAR) WHEN i // 4 = 0 THEN list_extract(['1/4', '1/2', '3/4'], i % 4) ELSE (i // 4) || ' ' || list_extract(['1/4', '1/2', '3/4'], i % 4) END AS yards, (i + 71) // 72 AS batting_quarters,
  CASE WHEN i % 3 = 0 THEN {_inch('i')} || ' x ' || {_inch('(i + 8)')} ELSE 'Requested ' || {_inch('(i + i % 3)')} || ' x ' || {_inch('(i + 8)')} || ' - achieved ' || {_inch('i')} || ' x ' || {_inch('(i + 8)')} END AS achieved
- FROM range(0, 1500) AS t(i)""", "eighths batting_quarters"))
+ FROM (SELECT o_orderkey, o_custkey AS i FROM orders)""", "eighths batting_quarters"))
 def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
+    i = F.col("o_custkey")
     texts = {"cm": report.cm_shown(i), "device": report.device_class(i), "fixed": report.fixed(i / F.lit(7.0)), "yards": report.quarters_shown(i), "batting_quarters": ceil_div(i, 72), "achieved": report.achieved_shown(i + i % 3, i + 8, i, i + 8)}
-    return _plain(spark.range(0, 1500).select(i.alias("eighths"), *[c.alias(n) for n, c in texts.items()]))
+    return _plain(table(spark, sf_dir, "orders").select("o_orderkey", i.alias("eighths"), *[c.alias(n) for n, c in texts.items()]))
 
 
 # --- documents and reports --------------------------------------------------------------------------------
 
 
-@register("documents_whole", _sql(MODELS_CTE, """SELECT model_id, 'note of ' || model_id AS notes, cell_size + 5 AS binding_strip_width, 1 AS motifs, CASE WHEN model_id = 'tiny' THEN NULL ELSE cell_size / 4.0 END AS density, 'photo' AS source, 0.25 AS grid_confidence, cell_size FROM quilts""", "binding_strip_width motifs cell_size", "density grid_confidence"))
+@register("documents_whole", _sql(MODELS_CTE, """SELECT model_id, 'note of ' || model_id AS notes, cell_size + 5 AS binding_strip_width, k % 3 AS motifs, CASE WHEN k % 10 > 0 THEN cell_size / 4.0 END AS density, CASE WHEN k % 2 = 0 THEN 'photo' ELSE 'authored' END AS source, (k % 5) / 4.0 AS grid_confidence, cell_size FROM quilts JOIN seeds USING (model_id)""", "binding_strip_width motifs cell_size", "density grid_confidence"))
 def documents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that a document holds beside its grid comes back after writing files and reading them."""
     m = _models(spark, sf_dir)
-    motif = F.array(F.struct(F.lit("feather").alias("name"), *[F.lit(v).alias(n) for n, v in (("x", 0), ("y", 1), ("width", 8), ("height", 9))]))
+    k = F.regexp_extract("model_id", "[0-9]+", 0).cast("int")
+    motif = F.struct(F.lit("feather").alias("name"), *[F.lit(v).alias(n) for n, v in (("x", 0), ("y", 1), ("width", 8), ("height", 9))])
     q = m.quilts.withColumns({
-        "notes": F.concat(F.lit("note of "), "model_id"), "binding_strip_width": F.col("cell_size") + 5, "motifs": motif, "density": F.when(F.col("model_id") != "tiny", F.col("cell_size") / 4.0),
-        "source": F.lit("photo"), "stage_confidence": F.create_map(F.lit("grid"), F.lit(0.25)),
+        "notes": F.concat(F.lit("note of "), "model_id"), "binding_strip_width": F.col("cell_size") + 5, "motifs": F.array_repeat(motif, k % 3), "density": F.when(k % 10 > 0, F.col("cell_size") / 4.0),
+        "source": F.when(k % 2 == 0, "photo").otherwise("authored"), "stage_confidence": F.create_map(F.lit("grid"), k % 5 / F.lit(4.0)),
     })
     path = scratch.folder(spark) + "/documents"
     documents.save(grids.Models(q, m.cells, m.fabrics, m.borders), path)
-    back = documents.quilts_of(documents.parse(documents.load(spark, path)))
+    back = documents.quilts_of(documents.parse(documents.saved(spark, path)))
     return _plain(back.select("model_id", "notes", "binding_strip_width", F.size("motifs").alias("motifs"), "density", "source", F.element_at("stage_confidence", F.lit("grid")).alias("grid_confidence"), "cell_size"))
 
 
@@ -226,12 +227,16 @@ def cutlist_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(reports.read_csv(spark, path))
 
 
-_CHART = f"chart AS (SELECT string_agg('| SS' || set || ' | ' || array_to_string(sequence, ' ') || ' | ' || {_inch('width')} || ' | ' || sets || ' | ' || per_set || ' | ' || CAST(needed AS BIGINT) || ' |', chr(10) ORDER BY set) AS rows FROM sets WHERE model_id = 'benchmark')"
+_CHART = f"""chart AS (SELECT model_id, string_agg('| SS' || set || ' | ' || array_to_string(sequence, ' ') || ' | ' || {_inch('width')} || ' | ' || sets || ' | ' || per_set || ' | ' || CAST(needed AS BIGINT) || ' |', chr(10) ORDER BY set) AS rows FROM sets GROUP BY model_id),
+parts AS (SELECT li.model_id, f.ord, '## ' || fabric_name || ' (' || li.fabric_id || ')' || chr(10) || chr(10) || '| Piece | Component | Source | Quantity | Cut size | Finished size |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10)
+ || string_agg('| ' || label || ' | ' || component || ' | ' || CASE source WHEN 'strip_set' THEN 'strip sets' ELSE source END || ' | ' || quantity || ' | ' || cut_size || ' | ' || finished_size || ' |', chr(10) ORDER BY line) || chr(10) AS part
+ FROM li JOIN fabrics f USING (model_id, fabric_id) GROUP BY li.model_id, f.ord, fabric_name, li.fabric_id),
+body AS (SELECT model_id, string_agg(part, chr(10) ORDER BY ord) AS body FROM parts GROUP BY model_id)"""
 
 
-@register("cutlist_markdown", _sql([MODELS_CTE, BLOCKS_CTE, SETS_CTE, _CHART, f"li AS ({ORACLES['cutlist_strip']})"], f"""SELECT 'benchmark' AS model_id, '# Cut list - Double Irish Chain 75x90 (strip strategy)' || chr(10) || chr(10) || (SELECT string_agg(part, chr(10) ORDER BY ord) FROM (
- SELECT f.ord, '## ' || fabric_name || ' (' || li.fabric_id || ')' || chr(10) || chr(10) || '{reports._HEADS[0]}' || chr(10) || '{reports._HEADS[1]}' || chr(10) || string_agg('| ' || label || ' | ' || component || ' | ' || CASE source WHEN 'strip_set' THEN 'strip sets' ELSE source END || ' | ' || quantity || ' | ' || cut_size || ' | ' || finished_size || ' |', chr(10) ORDER BY line) || chr(10) AS part
- FROM li JOIN fabrics f USING (model_id, fabric_id) GROUP BY f.ord, fabric_name, li.fabric_id)) || chr(10) || '## Strip cutting chart' || chr(10) || chr(10) || '{reports._CHART[0]}' || chr(10) || '{reports._CHART[1]}' || chr(10) || (SELECT rows FROM chart) || chr(10) || chr(10) || 'Crosscut every set at ' || {_inch('16')} || '.' || chr(10) AS text"""))
+@register("cutlist_markdown", _sql([MODELS_CTE, BLOCKS_CTE, SETS_CTE, f"li AS ({ORACLES['cutlist_strip']})", _CHART], f"""SELECT model_id, '# Cut list - ' || name || ' (strip strategy)' || chr(10) || chr(10) || coalesce(body
+ || chr(10) || '## Strip cutting chart' || chr(10) || chr(10) || '| Set | Strips (top to bottom) | Strip cut width | Sets to make | Segments per set | Segments needed |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10)
+ || chart.rows || chr(10) || chr(10) || 'Crosscut every set at ' || {_inch('(cell_size + 4)')} || '.' || chr(10), '') AS text FROM quilts LEFT JOIN body USING (model_id) LEFT JOIN chart USING (model_id) WHERE model_id IN (SELECT model_id FROM sized)"""))
 def cutlist_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.cut_list_markdown(construction.plan(_models(spark, sf_dir), "strip"))
 
@@ -243,7 +248,10 @@ def yardage_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.yardage_markdown(construction.yardage(construction.plan(_models(spark, sf_dir), "historical")), "historical")
 
 
-@register("areas_reconciled", _sql([MODELS_CTE, SIZE_CTE], "SELECT model_id, finished_width * finished_height AS pieces_area, finished_width * finished_height AS top_area FROM finished", "pieces_area top_area"))
+@register("areas_reconciled", _sql([MODELS_CTE, SIZE_CTE, """bands_of AS (SELECT model_id, sum(2 * width * (rows * cell_size + 2 * before) + 2 * width * (cols * cell_size + 2 * before + 2 * width)) AS area
+ FROM (SELECT *, coalesce(sum(width) OVER (PARTITION BY model_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM borders) JOIN quilts USING (model_id) GROUP BY model_id),
+squares AS (SELECT model_id, count(*) * cell_size * cell_size AS area FROM cells JOIN quilts USING (model_id) GROUP BY model_id, cell_size)"""],
+ "SELECT model_id, s.area + coalesce(b.area, 0) AS pieces_area, finished_width * finished_height AS top_area FROM finished JOIN squares s USING (model_id) LEFT JOIN bands_of b USING (model_id)", "pieces_area top_area"))
 def areas_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(construction.reconciled(construction.plan(_models(spark, sf_dir), "modern")))
 
@@ -286,27 +294,27 @@ def painted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(edits.painted(cells, early.unionByName(late).unionByName(beyond)))
 
 
-@register("edited_palettes", _sql(MODELS_CTE, "SELECT model_id, ord, fabric_id, CASE WHEN ord = 0 THEN 'New ' || fabric_id ELSE name END AS name, CASE WHEN ord = 1 THEN '#000000' ELSE color END AS color FROM fabrics UNION ALL SELECT model_id, max(ord) + 1, 'f1', 'Fabric ' || (count(*) + 1), '#b8a06a' FROM fabrics GROUP BY model_id", "ord"))
+@register("edited_palettes", _sql(MODELS_CTE, "SELECT model_id, ord, fabric_id, CASE WHEN ord = 0 THEN 'New ' || fabric_id ELSE name END AS name, CASE WHEN ord = 1 THEN '#000000' ELSE color END AS color FROM fabrics UNION ALL SELECT model_id, max(ord) + 1, 'f' || count(*), 'Fabric ' || (count(*) + 1), '#b8a06a' FROM fabrics GROUP BY model_id", "ord"))
 def edited_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _models(spark, sf_dir).fabrics
     changes = f.select("model_id", "fabric_id", F.when(F.col("ord") == 0, F.concat(F.lit("New "), "fabric_id")).alias("new_name"), F.when(F.col("ord") == 1, "#000000").alias("new_color"))
     return _plain(edits.with_fabric(edits.redone(f, changes)))
 
 
-@register("removable_fabrics", _sql(MODELS_CTE, "SELECT model_id, fabric_id, NOT (EXISTS (SELECT 1 FROM cells c WHERE c.model_id = f.model_id AND c.fabric_id = f.fabric_id) OR EXISTS (SELECT 1 FROM borders b WHERE b.model_id = f.model_id AND b.fabric_id = f.fabric_id) OR EXISTS (SELECT 1 FROM quilts q WHERE q.model_id = f.model_id AND q.binding_fabric_id = f.fabric_id)) AS removable FROM (SELECT model_id, fabric_id FROM fabrics UNION ALL SELECT DISTINCT model_id, 'f1' FROM fabrics) f"))
+@register("removable_fabrics", _sql(MODELS_CTE, "SELECT model_id, fabric_id, NOT (EXISTS (SELECT 1 FROM cells c WHERE c.model_id = f.model_id AND c.fabric_id = f.fabric_id) OR EXISTS (SELECT 1 FROM borders b WHERE b.model_id = f.model_id AND b.fabric_id = f.fabric_id) OR EXISTS (SELECT 1 FROM quilts q WHERE q.model_id = f.model_id AND q.binding_fabric_id = f.fabric_id)) AS removable FROM (SELECT model_id, fabric_id FROM fabrics UNION ALL SELECT model_id, 'f' || count(*) FROM fabrics GROUP BY model_id) f"))
 def removable_fabrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _models(spark, sf_dir)
     return edits.removable(grids.Models(m.quilts, m.cells, edits.with_fabric(m.fabrics), m.borders))
 
 
-@register("edited_borders", _sql(MODELS_CTE, "SELECT model_id, 0 AS ord, min_by(fabric_id, ord) AS fabric_id, 16 AS width FROM fabrics GROUP BY model_id UNION ALL SELECT model_id, ord + 1, CASE WHEN width > 5 THEN (SELECT max(fabric_id) FROM fabrics f WHERE f.model_id = b.model_id) ELSE fabric_id END, CASE WHEN width > 5 THEN width + 3 ELSE width END FROM borders b", "ord width"))
+@register("edited_borders", _sql(MODELS_CTE, "SELECT model_id, 0 AS ord, min_by(fabric_id, ord) AS fabric_id, 16 AS width FROM fabrics GROUP BY model_id UNION ALL SELECT model_id, ord + 1, CASE WHEN width > 14 THEN (SELECT max(fabric_id) FROM fabrics f WHERE f.model_id = b.model_id) ELSE fabric_id END, CASE WHEN width > 14 THEN width + 3 ELSE width END FROM borders b", "ord width"))
 def edited_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide borders change width and fabric, impossible changes are left out, a new innermost one comes, and the
     removal of a border that isn't there changes nothing."""
     m = _models(spark, sf_dir)
     most = m.fabrics.groupBy("model_id").agg(F.max("fabric_id").alias("new_fabric"))
-    good = m.borders.where("width > 5").join(most, "model_id").select("model_id", "ord", (F.col("width") + 3).alias("new_width"), "new_fabric")
-    bad = m.borders.where("width <= 5").select("model_id", "ord", F.lit(0).alias("new_width"), F.lit(None).cast("string").alias("new_fabric"))
+    good = m.borders.where("width > 14").join(most, "model_id").select("model_id", "ord", (F.col("width") + 3).alias("new_width"), "new_fabric")
+    bad = m.borders.where("width <= 14").select("model_id", "ord", F.lit(0).alias("new_width"), F.lit(None).cast("string").alias("new_fabric"))
     changed = edits.changed_border(m, good.unionByName(bad))
     more = edits.with_border(grids.Models(m.quilts, m.cells, m.fabrics, changed))
     return _plain(edits.without_border(more, m.quilts.select("model_id", F.lit(9).alias("ord"))))
@@ -326,21 +334,20 @@ def dragged_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tapped_seams", _sql([MODELS_CTE, _SEAMS], "SELECT model_id, r, c, 'v' AS dir, 'split' AS action FROM runs x WHERE r = 0 AND run = (SELECT run FROM runs y WHERE y.model_id = x.model_id AND y.r = 0 AND y.c = 0)", "r c"))
 def tapped_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tap on the first cell splits the run it lies in."""
-    m = grids.authored(spark)
-    b = grids.benchmark(spark)
-    cells = m.cells.unionByName(b.cells)
+    m = _models(spark, sf_dir)
     none = grids.literal(spark, "model_id string, r int, c int, dir string, action string", []).where("false")
-    taps = m.quilts.unionByName(b.quilts).select("model_id", F.lit(0).alias("r"), F.lit(0).alias("c"))
-    return _plain(edits.tapped(cells, none, seams.merges(cells, "strip"), taps))
+    taps = m.quilts.select("model_id", F.lit(0).alias("r"), F.lit(0).alias("c"))
+    return _plain(edits.tapped(m.cells, none, seams.merges(m.cells, "strip"), taps))
 
 
-@register("resized_models", _sql([MODELS_CTE, SIZE_CTE, BLOCKS_CTE, """want AS (SELECT q.model_id, rows, cols, cell_size, band, CASE WHEN (SELECT count(*) FROM types t WHERE t.model_id = q.model_id) > 1 THEN (SELECT max(size) FROM types t WHERE t.model_id = q.model_id) ELSE 1 END AS block, finished_width + 100 AS w FROM quilts q JOIN finished USING (model_id) WHERE model_id IN ('benchmark', 'uniform', 'checker')),
- fit AS (SELECT *, block * greatest(1, (greatest(w - 2 * band, 0) + block * cell_size // 2) // (block * cell_size)) AS nc FROM want)"""],
- "SELECT f.model_id, c.r, x AS c, c.fabric_id FROM fit f, range(200) AS t(x), cells c WHERE x < nc AND c.model_id = f.model_id AND c.c = CASE WHEN x < cols THEN x WHEN f.model_id = 'benchmark' THEN x % 10 WHEN f.model_id = 'uniform' THEN 0 ELSE x % 3 END", "r c"))
+@register("resized_models", _sql([MODELS_CTE, SIZE_CTE, BLOCKS_CTE, _LINES, """want AS (SELECT q.model_id, rows, cols, cell_size, band, CASE WHEN (SELECT count(*) FROM types t WHERE t.model_id = q.model_id) > 1 THEN (SELECT max(size) FROM types t WHERE t.model_id = q.model_id) ELSE 1 END AS block, finished_width + 100 AS w FROM quilts q JOIN finished USING (model_id)),
+ fit AS (SELECT *, block * greatest(1, (greatest(w - 2 * band, 0) + block * cell_size // 2) // (block * cell_size)) AS nc FROM want),
+ least_of AS (SELECT model_id, coalesce((SELECT min(p) FROM range(1, 60) AS t(p) WHERE p < n AND NOT EXISTS (SELECT 1 FROM lines a JOIN lines b ON a.model_id = b.model_id AND a.axis = b.axis AND a.i = b.i + p
+ WHERE a.model_id = x.model_id AND a.axis = 'col' AND a.sig <> b.sig)), n) AS period FROM (SELECT model_id, count(*) AS n FROM lines WHERE axis = 'col' GROUP BY ALL) x)"""],
+ "SELECT f.model_id, c.r, x AS c, c.fabric_id FROM fit f JOIN least_of USING (model_id), range(200) AS t(x), cells c WHERE x < nc AND c.model_id = f.model_id AND c.c = CASE WHEN x < cols THEN x ELSE x % period END", "r c"))
 def resized_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100 eighths are added to the width of three models, in whole blocks or single squares."""
+    """100 eighths are added to the width of each model, in whole blocks or single squares."""
     m = _models(spark, sf_dir)
-    m = grids.Models(*(getattr(m, k).where("model_id in ('benchmark', 'uniform', 'checker')") for k in ("quilts", "cells", "fabrics", "borders")))
     bands = m.borders.groupBy("model_id").agg(F.sum("width").alias("band"))
     wide = m.quilts.join(bands, "model_id", "left").select("model_id", (F.col("cols") * F.col("cell_size") + 2 * F.coalesce("band", F.lit(0)) + 100).cast("int").alias("target_width"), F.lit(None).cast("int").alias("target_height"))
     return _plain(edits.resized(m, wide).select("model_id", "r", "c", "fabric_id"))
@@ -351,15 +358,16 @@ def viewer_yardages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(edits.viewer_yardage(_models(spark, sf_dir)))
 
 
-@register("tiled_grids", _sql(EVENTS_CTE, "SELECT d.model_id, r2 AS r, c2 AS c, fabric_id FROM dims d, range(30) AS a(r2), range(26) AS b(c2), cells WHERE rows = 25 AND cols = 20 AND cells.model_id = d.model_id AND cells.r = r2 % 25 AND cells.c = c2 % 20", "r c"))
+@register("tiled_grids", _sql(EVENTS_CTE, "SELECT d.model_id, r2 AS r, c2 AS c, fabric_id FROM dims d, range(30) AS a(r2), range(26) AS b(c2), cells WHERE r2 < rows + 5 AND c2 < cols + 6 AND cells.model_id = d.model_id AND cells.r = r2 % rows AND cells.c = c2 % cols", "r c"))
 def tiled_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _event_models(spark, sf_dir)
-    full = structure.dims(cells).where("rows = 25 and cols = 20").select("model_id", F.lit(30).alias("new_rows"), F.lit(26).alias("new_cols"))
-    return _plain(edits.tiled(cells, full))
+    larger = structure.dims(cells).select("model_id", (F.col("rows") + 5).alias("new_rows"), (F.col("cols") + 6).alias("new_cols"))
+    return _plain(edits.tiled(cells, larger))
 
 
 @register("flat_rectangles", _sql([MODELS_CTE, SIZE_CTE], """SELECT model_id, layer, CAST(floor(x * 10 / 8.0 + 0.5) AS BIGINT) AS x0, CAST(floor(y * 10 / 8.0 + 0.5) AS BIGINT) AS y0, CAST(floor(u * 10 / 8.0 + 0.5) AS BIGINT) - 1 AS x1, CAST(floor(v * 10 / 8.0 + 0.5) AS BIGINT) - 1 AS y1, color FROM (
  SELECT model_id, -1 AS layer, band + c * cell_size AS x, band + r * cell_size AS y, band + (c + 1) * cell_size AS u, band + (r + 1) * cell_size AS v, color FROM cells JOIN quilts USING (model_id) JOIN finished USING (model_id) JOIN fabrics USING (model_id, fabric_id)
- UNION ALL SELECT b.model_id, 0, 0, 0, finished_width, finished_height, color FROM borders b JOIN finished USING (model_id) JOIN fabrics USING (model_id, fabric_id))""", "layer x0 y0 x1 y1"))
+ UNION ALL SELECT model_id, layer, inset, inset, finished_width - inset, finished_height - inset, color FROM (SELECT *, row_number() OVER o - 1 AS layer, coalesce(sum(width) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inset FROM borders WINDOW o AS (PARTITION BY model_id ORDER BY ord DESC)) b
+ JOIN finished USING (model_id) JOIN fabrics USING (model_id, fabric_id))""", "layer x0 y0 x1 y1"))
 def flat_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(edits.rectangles(_models(spark, sf_dir)))

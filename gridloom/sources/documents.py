@@ -30,13 +30,19 @@ _PLACES = (("metadata", "notes"), ("settings", "binding_strip_width"), ("quiltin
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """(model_id, json) of the document files below a folder that `save` wrote, a file each."""
-    return spark.read.text(path, wholetext=True).select(F.col("model_id").cast("string").alias("model_id"), F.col("value").alias("json"))
+    """(model_id, json) of all document files at a path, a file each: the id is the file's name without its ending."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("model_id"), F.col("value").alias("json"))
 
 
 def save(models: Models, path: str) -> None:
-    """A folder a model with its document."""
-    to_json(models).withColumnRenamed("json", "value").repartition("model_id").write.partitionBy("model_id").text(path)
+    """The models' documents as JSON lines of model_id and json, many to a file."""
+    to_json(models).write.json(path)
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """(model_id, json) of what `save` wrote."""
+    return spark.read.schema("model_id string, json string").json(path)
 
 
 def parse(rows: DataFrame) -> DataFrame:

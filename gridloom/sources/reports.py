@@ -12,15 +12,16 @@ CSV_SCHEMA = (
     "line long, fabric_id string, fabric_name string, component string, source string, label string, quantity long, cut_width_eighths long, cut_height_eighths long, "
     "finished_width_eighths long, finished_height_eighths long, cut_size string, finished_size string, model_id string"
 )
+#: The heads of the tables.
 _HEADS = ("| Piece | Component | Source | Quantity | Cut size | Finished size |", "| --- | --- | --- | --- | --- | --- |")
 _CHART = ("| Set | Strips (top to bottom) | Strip cut width | Sets to make | Segments per set | Segments needed |", "| --- | --- | --- | --- | --- | --- |")
 
 
 def write_csv(plan: Plan, path: str) -> None:
-    """A folder a model with its lines in plan order, one file each: a model's lines meet in one task, models spread."""
-    rows = cut_list(plan)
-    ordered = rows.repartition("model_id").sortWithinPartitions("model_id", "line")
-    ordered.write.partitionBy("model_id").csv(path, header=True, quote='"', escape='"')
+    """CSV files with a key column: a model's lines meet in one task, in plan order, and many models share a file."""
+    names = [x.split()[0] for x in CSV_SCHEMA.split(", ")]
+    ordered = cut_list(plan).select(*names).repartition("model_id").sortWithinPartitions("model_id", "line")
+    ordered.write.csv(path, header=True, quote='"', escape='"')
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
