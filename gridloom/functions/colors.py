@@ -11,12 +11,16 @@ def rgb(color: Column) -> tuple[Column, Column, Column]:
 
 
 def lab(color: Column) -> tuple[Column, Column, Column]:
+    return lab_of(*rgb(color))
+
+
+def lab_of(red: Column, green: Column, blue: Column) -> tuple[Column, Column, Column]:
     """CIE L*a*b* (D65) in 8 bits: lightness over 255, a and b shifted by 128."""
     def linear(x: Column) -> Column:
         s = x / F.lit(255.0)
         return F.when(s <= 0.04045, s / 12.92).otherwise(F.pow((s + 0.055) / 1.055, F.lit(2.4)))
 
-    r, g, b = (linear(x) for x in rgb(color))
+    r, g, b = (linear(x) for x in (red, green, blue))
     # fixed values: the sRGB matrix, rows divided by the white point
     x = (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456
     y = 0.212671 * r + 0.715160 * g + 0.072169 * b
