@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import register
 from gridloom.functions import colors
-from gridloom.operators import analytics, clusters, lattice
+from gridloom.operators import analytics, clusters, lattice, quads
 from gridloom.operators import pixels as pixel_ops
 from gridloom.queries import MODELS_CTE, SIZE_CTE, _models, _plain, _sql
 from gridloom.queries_pixels import _PIXELS, _pixels
@@ -214,3 +214,36 @@ def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = analytics.compared(own.cells, cells, mapping)
     told = found.select(F.col("image_id").alias("model_id"), "confidence", "diagnosis")
     return _plain(told.join(compared, "model_id", "left").select("model_id", "confidence", "diagnosis", "dims_match", "compared", "accuracy"))
+
+
+# --- photos ----------------------------------------------------------------------------------------------------
+
+
+def _photos(models: grids.Models) -> DataFrame:
+    """Cloth on the background's color, seen a little from the side: its top is up to 9 % of its width narrower."""
+    p = _cloth(models).withColumnRenamed("model_id", "image_id")
+    size = p.groupBy("image_id").agg(F.max("x").alias("w"), F.max("y").alias("h"))
+    k = F.regexp_extract("image_id", "[0-9]+", 0).cast("long")
+    w, h = F.col("w"), F.col("h")
+    inset = F.rint(w * (3 + k % 4) / 100) + 8
+    spot = quads._point
+    corners = F.array(spot(inset, F.lit(10)), spot(w - inset + 20, F.lit(12)), spot(w + 12, h + 12), spot(F.lit(8), h + 10))
+    whole = F.array(spot(F.lit(0), F.lit(0)), spot(w, F.lit(0)), spot(w, h), spot(F.lit(0), h))
+    maps = size.withColumn("corners", corners).withColumn("whole", whole)
+    return quads.warped(p, maps.select("image_id", quads.projection(F.col("corners"), F.col("whole")).alias("h"), (w + 21).alias("wide"), (h + 23).alias("high")))
+
+
+@register("found_quads")
+def found_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quilts' corners in photos of all models."""
+    return quads.quads(quads.largest(quads.parts(quads.foreground(_photos(_models(spark, sf_dir))))))
+
+
+@register("rectified_pictures")
+def rectified_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos brought upright: (image_id, identity, confidence, warp, wide, high, grid_confidence, diagnosis)."""
+    photos = _photos(_models(spark, sf_dir))
+    flat, told = quads.upright(photos, quads.quads(quads.largest(quads.parts(quads.foreground(photos)))))
+    size = flat.groupBy("image_id").agg((F.max("x") + 1).alias("wide"), (F.max("y") + 1).alias("high"))
+    found = lattice.grids(lattice.edge_profiles(_gray(flat.withColumnRenamed("image_id", "model_id"))))
+    return _plain(told.join(size, "image_id").join(found.select("image_id", F.col("confidence").alias("grid_confidence"), "diagnosis"), "image_id"))

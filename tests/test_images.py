@@ -248,3 +248,79 @@ def test_grids_without_periods_keep_their_cells(spark):
     cells = spark.createDataFrame([("a", 0, 0, "x", 0.1), ("b", 0, 0, "y", 0.2), ("c", 0, 0, "z", 0.3)], "model_id string, r int, c int, fabric_id string, confidence double")
     periods = spark.createDataFrame([("a", 1, 1), ("c", None, None)], "model_id string, period_rows int, period_cols int")
     assert {(r["model_id"], r["voted"]) for r in analytics.voted(cells, periods).collect()} == {("a", "x"), ("b", "y"), ("c", "z")}
+
+
+# --- quads and warps -------------------------------------------------------------------------------------------------
+
+
+def colored(spark, arrays):
+    rows = [(i, y, x, int(v), int(v), int(v)) for i, a in arrays.items() for (y, x), v in np.ndenumerate(a)]
+    return spark.createDataFrame(rows, "image_id string, y long, x long, red int, green int, blue int")
+
+
+@pytest.mark.parametrize("tile", [4, 100])
+def test_parts_equal_a_plain_flood(spark, tile):
+    rng = np.random.default_rng(7)
+    masks = {f"m{k}": rng.random((23, 31)) < d for k, d in enumerate((0.2, 0.35, 0.5, 0.9))}
+    masks["snake"] = np.array([[1 if r % 2 == 0 or c == (30 if r % 4 == 1 else 0) else 0 for c in range(31)] for r in range(23)], bool)
+    rows = [(i, y, x) for i, m in masks.items() for y, x in zip(*np.nonzero(m))]
+    pixels = spark.createDataFrame([(i, int(y), int(x)) for i, y, x in rows] + [("m0", int(rows[0][1]), int(rows[0][2]))], "image_id string, y long, x long")
+    from gridloom.operators import quads
+
+    found = {}
+    for r in quads.parts(pixels, tile).collect():
+        for x in range(r["x0"], r["x1"] + 1):
+            assert (r["image_id"], r["y"], x) not in found
+            found[r["image_id"], r["y"], x] = r["part"]
+    for name, m in masks.items():
+        left, groups = set(zip(*(a.tolist() for a in np.nonzero(m)))), []
+        while left:
+            group, todo = set(), [left.pop()]
+            while todo:
+                y, x = todo.pop()
+                group.add((y, x))
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            groups.append(frozenset(group))
+        own = {}
+        for (i, y, x), p in found.items():
+            if i == name:
+                own.setdefault(p, set()).add((y, x))
+        assert {frozenset(g) for g in own.values()} == set(groups)
+
+
+def test_photos_come_upright(spark):
+    from gridloom.operators import quads
+
+    inner = checker([12] * 8, [12] * 6, 220, 120)
+    flat = np.full((100, 130), 0x40)
+    flat[10 : 10 + 72, 15 : 15 + 96] = inner
+    flat[95:97, 2:6] = 255  # a crumb beside the quilt
+    photo = colored(spark, {"flat": flat})
+    quad = quads.quads(quads.largest(quads.parts(quads.foreground(photo), tile=32)))
+    assert [(p["x"], p["y"]) for p in quad.first()["corners"]] == [(15, 10), (110, 10), (110, 81), (15, 81)] and quad.first()["residual"] == 0
+    cut, told = quads.upright(photo, quad)
+    assert (told.first()["identity"], told.first()["confidence"]) == (True, 1.0)
+    assert {(r["y"], r["x"]): r["red"] for r in cut.collect()} == {(y, x): int(v) for (y, x), v in np.ndenumerate(inner)}
+
+
+def test_a_slanted_photo_gives_its_grid_back(spark):
+    from gridloom.operators import quads
+
+    inner = colored(spark, {"q": checker([16] * 9, [16] * 7, 220, 120)})
+    corners = [(20.0, 10.0), (150.0, 14.0), (160.0, 120.0), (8.0, 116.0)]
+    point = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    whole = F.array(point(0.0, 0.0), point(143.0, 0.0), point(143.0, 111.0), point(0.0, 111.0))
+    maps = spark.range(1).select(F.lit("q").alias("image_id"), quads.projection(F.array(*[point(*c) for c in corners]), whole).alias("h"), F.lit(170).alias("wide"), F.lit(130).alias("high"))
+    photo = quads.warped(inner, maps)
+    assert photo.count() == 170 * 130
+    quad = quads.quads(quads.largest(quads.parts(quads.foreground(photo))))
+    assert all(abs(p["x"] - x) <= 1.5 and abs(p["y"] - y) <= 1.5 for p, (x, y) in zip(quad.first()["corners"], corners))
+    flat, told = quads.upright(photo, quad)
+    row = told.first()
+    assert not row["identity"] and 0 < row["warp"] < 0.1 and 0.8 < row["confidence"] < 1
+    gray = flat.select("image_id", "y", "x", F.col("red").alias("gray"))
+    grid = lattice.grids(lattice.edge_profiles(gray), spark.createDataFrame([("q", row["warp"], None, None, None, None, None)], "image_id string, warp double, period_x double, period_y double, lattice_x double, lattice_y double, lattice_snr double")).first()
+    assert len(grid["boundaries_x"]) == 10 and len(grid["boundaries_y"]) == 8
+    assert quads.warped(inner, maps, fill=None).count() < 170 * 130
