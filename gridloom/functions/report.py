@@ -91,3 +91,9 @@ def achieved_shown(requested_width: Column, requested_height: Column, width: Col
 
     differs = (requested_width != width) | (requested_height != height)
     return F.when(differs, F.concat(F.lit("Requested "), size(requested_width, requested_height), F.lit(" - achieved "), size(width, height))).otherwise(size(width, height))
+
+
+def settings_json(rows: Column, cols: Column, cell_size: Column, borders: Column) -> Column:
+    """Sizes as JSON; borders: an array of structs (fabric_id, width), inner band first."""
+    center = F.struct(rows.alias("rows"), cols.alias("cols"), cell_size.alias("cell_size"))
+    return F.to_json(F.struct(center.alias("center"), borders.alias("borders")), {"ignoreNullFields": "false"})

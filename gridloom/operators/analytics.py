@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions import colors
 from gridloom.functions.lengths import QUARTER_YARD, ceil_div, int_div
-from gridloom.operators import sizing
+from gridloom.operators import pixels, sizing
 from gridloom.operators.structure import dims
 from gridloom.sources.grids import Models
 
@@ -59,10 +60,11 @@ def plausible(extent: Column, count: Column) -> Column:
     return (count >= 2) & (count <= int_div(extent, 5))
 
 
-def border_scan(cells: DataFrame) -> DataFrame:
+def border_scan(cells: DataFrame, by_strip: bool = False) -> DataFrame:
     """(model_id, side, strips, fabric_id, score): how many strips from each side on are of one fabric, a
     quarter of the grid at most; the most frequent fabric of these strips; their mean score. A strip's score
-    is its most frequent fabric's share once 15 percent of it is left out of account."""
+    is its most frequent fabric's share once 15 percent of it is left out of account. by_strip: a row a strip
+    (model_id, side, i, fabric_id, score) in their place."""
     sized = cells.join(dims(cells), "model_id")
 
     def strips(side: str, at: Column, extent: str) -> DataFrame:
@@ -77,11 +79,36 @@ def border_scan(cells: DataFrame) -> DataFrame:
     scored = mode.select("model_id", "side", "i", F.col("m.fabric_id").alias("fabric_id"), F.least(F.lit(1.0), -F.col("m.k") / keep).alias("score"))
     stop = F.min(F.when(F.col("score") < UNIFORM, F.col("i"))).over(W.partitionBy("model_id", "side"))
     lead = scored.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("i") < F.col("stop")))
+    if by_strip:
+        return lead.select("model_id", "side", "i", "fabric_id", "score")
     votes = lead.groupBy("model_id", "side", "fabric_id").agg(F.count("*").alias("n"), F.sum("score").alias("s"))
     return votes.groupBy("model_id", "side").agg(
         F.sum("n").alias("strips"), F.min(F.struct((-F.col("n")).alias("k"), "fabric_id"))["fabric_id"].alias("fabric_id"), (F.sum("s") / F.sum("n")).alias("score"))
 
 
+def borders_found(cells: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """(model_id, left, right, top, bottom, left_px, right_px, top_px, bottom_px, fabric_id, confidence): the strips of
+    `border_scan` by side and how wide they are between boundaries (model_id, xs, ys); the most frequent fabric of
+    all strips, the smallest of equal ones, and their mean score, null and 1 without any."""
+    sides = border_scan(cells, by_strip=True)
+    n = sides.groupBy("model_id").agg(
+        *[F.count(F.when(F.col("side") == s, True)).alias(s) for s in ("left", "right", "top", "bottom")], F.avg("score").alias("confidence"))
+    votes = sides.groupBy("model_id", "fabric_id").agg(F.count("*").alias("n")).groupBy("model_id").agg(F.min(F.struct((-F.col("n")).alias("k"), "fabric_id"))["fabric_id"].alias("fabric_id"))
+    every = boundaries.join(n, "model_id", "left").join(votes, "model_id", "left")
+    left, right, top, bottom = (F.coalesce(F.col(s), F.lit(0)) for s in ("left", "right", "top", "bottom"))
+
+    def low(edges: str, k: Column) -> Column:
+        return F.get(edges, k.cast("int")) - F.get(edges, F.lit(0))
+
+    def high(edges: str, k: Column) -> Column:
+        return F.element_at(edges, -1) - F.get(edges, (F.size(edges) - 1 - k).cast("int"))
+
+    return every.select(
+        "model_id", left.alias("left"), right.alias("right"), top.alias("top"), bottom.alias("bottom"), low("xs", left).alias("left_px"), high("xs", right).alias("right_px"),
+        low("ys", top).alias("top_px"), high("ys", bottom).alias("bottom_px"), "fabric_id", F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+    )
+
+
 def voted(cells: DataFrame, periods: DataFrame) -> DataFrame:
     """cells with `voted`: those of low confidence get the label of the greatest weight among their periodic
     copies. periods: (model_id, period_rows, period_cols). An axis votes with three copies or more; ties and
@@ -111,6 +138,22 @@ def compared(truth: DataFrame, recovered: DataFrame, mapping: DataFrame) -> Data
     return a.join(b, "model_id").join(both, "model_id", "left").select("model_id", F.coalesce("compared", F.lit(0)).alias("compared"), F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), same.alias("dims_match"))
 
 
+def compared_models(truth: Models, recovered: Models) -> DataFrame:
+    """(model_id, compared, accuracy, dims_match, mapping, stages): `compared` with the recovered palette's fabrics
+    matched to the true ones by color, that mapping, and for each stage the confidence of the recovered model
+    (column stage_confidence of its quilts, a map; 1 where it has none)."""
+
+    def palette(m: Models) -> DataFrame:
+        return m.fabrics.select("model_id", "ord", "fabric_id", F.array(*[c.cast("double") for c in colors.lab(F.col("color"))]).alias("v"))
+
+    mapping = pixels.matched_palettes(palette(truth), palette(recovered)).select("model_id", "fabric_id", "truth_id")
+    listed = mapping.groupBy("model_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fabric_id", "truth_id")))).alias("mapping"))
+    told = F.col("stage_confidence") if "stage_confidence" in recovered.quilts.columns else F.lit(None).cast("map<string, double>")
+    stages = F.map_from_arrays(F.array(*[F.lit(s) for s in STAGES]), F.array(*[F.coalesce(F.try_element_at(told, F.lit(s)), F.lit(1.0)) for s in STAGES]))
+    found = compared(truth.cells, recovered.cells, mapping)
+    return found.join(listed, "model_id", "left").join(recovered.quilts.select("model_id", stages.alias("stages")), "model_id", "left")
+
+
 def nearest_two(points: DataFrame, centers: DataFrame) -> DataFrame:
     """(point_id, center_id, d1, d2, margin) from (point_id, v) and a small table (center_id, w): the nearest
     center (the smaller id of equal ones) and how far behind the second is, relative to it."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.lengths import shown, yards_shown
+from gridloom.functions.lengths import QUARTER_YARD, ceil_div, shown, yards_shown
+from gridloom.functions.report import quarters_shown
+from gridloom.operators import sizing
 from gridloom.plans.construction import Plan, cut_list
 
 CSV_SCHEMA = (
@@ -63,3 +65,28 @@ def yardage_markdown(lines: DataFrame, strategy: str) -> DataFrame:
     head = F.array(F.lit(f"# Yardage ({strategy} strategy)"), F.lit(""), F.lit("| Fabric | Length needed | Yards |"), F.lit("| --- | --- | --- |"))
     note = "Yardage rounds up to the nearest 1/4 yard per fabric. Backing is a dedicated line item, never a palette fabric."
     return rows.select("model_id", F.array_join(F.concat(head, F.col("rows"), F.array(F.lit(""), F.lit(note), F.lit(""))), "\n").alias("text"))
+
+
+def settings_summary(plan: Plan, lines: DataFrame) -> DataFrame:
+    """(model_id, text): a pattern's size, squares and borders, and what to buy, from purchase lines. What isn't bought
+    is a dash."""
+    m = plan.models
+    size = sizing.finished_columns(m.quilts, m.borders)
+    bands = m.borders.groupBy("model_id").agg(F.array_join(_in_order(F.col("ord"), shown(F.col("width"))), " + ").alias("bands"))
+    yards = F.concat(quarters_shown(F.col("quarter_yards")), F.lit(" yd"))
+    top = F.concat(F.lit("  - "), F.col("name"), F.lit(": "), yards)
+    bought = lines.groupBy("model_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("purpose") == "top", F.struct(F.col("ord").alias("k"), top.alias("v"))))), lambda x: x["v"]).alias("tops"),
+        *[F.min(F.when(F.col("purpose") == p, F.struct("ord", yards.alias("v"))))["v"].alias(p) for p in ("binding", "backing")],
+    )
+    q = m.quilts.join(size.drop("cell_size", "rows", "cols", "name"), "model_id").join(bands, "model_id", "left").join(bought, "model_id", "left")
+    batting = F.concat(shown(F.col("batting_width")), F.lit(" × "), shown(F.col("batting_height")), F.lit(" ("), quarters_shown(ceil_div(F.col("batting_height"), QUARTER_YARD)), F.lit(" yd)"))
+    tops = F.coalesce("tops", F.array().cast("array<string>"))
+    head = F.array(
+        F.concat(F.lit("Pattern — "), "name"), F.concat(F.lit("Finished size: "), shown(F.col("finished_width")), F.lit(" × "), shown(F.col("finished_height"))),
+        F.concat(F.lit("Squares: "), F.col("cols").cast("string"), F.lit(" × "), F.col("rows").cast("string"), F.lit(" at "), shown(F.col("cell_size")), F.lit(" each ("), (F.col("rows") * F.col("cols")).cast("string"), F.lit(" squares)")),
+        F.concat(F.lit("Borders: "), F.coalesce("bands", F.lit(""))),
+    )
+    body = F.when(F.size(tops) > 0, F.concat(F.array(F.lit("Fabric yardage:")), tops)).otherwise(tops)
+    end = F.array(*[F.concat(F.lit(f"{n}: "), v) for n, v in (("Binding", F.coalesce("binding", F.lit("—"))), ("Backing", F.coalesce("backing", F.lit("—"))), ("Batting", batting))])
+    return q.select("model_id", F.array_join(F.concat(head, body, end), "\n").alias("text"))
