@@ -15,16 +15,21 @@ from gridloom.sources import scratch
 
 #: The numbers of fabrics tried, most rounds, and the move below which centers rest.
 TRIED, ROUNDS, REST = tuple(range(2, 9)), 50, 0.5
+#: Rounds that one job makes before it is seen whether the centers rest.
+LOOKED = 5
 
 
 def counted(pixels: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """(image_id, v, n): the different colors of each picture and their numbers; pixels with a null channel are left out."""
+    """(image_id, v, n): the different colors of each picture and their numbers; pixels with a null channel are left
+    out. v has three numbers, zeros for channels that there aren't."""
     full = pixels.dropna(subset=list(channels))
-    return full.groupBy("image_id", *channels).agg(F.count("*").alias("n")).select("image_id", F.array(*[F.col(c).cast("double") for c in channels]).alias("v"), "n")
+    three = [F.col(c).cast("double") for c in channels] + [F.lit(0.0)] * (3 - len(channels))
+    return full.groupBy("image_id", *channels).agg(F.count("*").alias("n")).select("image_id", F.array(*three).alias("v"), "n")
 
 
 def _squared(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    parts = [F.get(a, F.lit(j)) - F.get(b, F.lit(j)) for j in range(3)]
+    return parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2]
 
 
 def seeds(colors: DataFrame, most: int = TRIED[-1]) -> DataFrame:
@@ -53,12 +58,9 @@ def moved(colors: DataFrame, centers: DataFrame) -> DataFrame:
     center to the mean of its pixels, in nine digits; one without any stays. shift: the longest way of a center."""
     nearest = F.array_min(F.transform("centers", lambda c, i: F.struct(_squared(F.col("v"), c).alias("d"), i.alias("i"))))["i"]
     own = colors.join(centers, "image_id").withColumn("i", nearest)
-    dims = F.transform("v", lambda x: x * F.col("n"))
-    width = F.size(F.first("v"))
-    sums = own.withColumn("w", dims).groupBy("image_id", "k", "i").agg(
-        F.sum("n").alias("n"), *[F.sum(F.get("w", F.lit(j))).alias(f"w{j}") for j in range(3)], width.alias("width"), F.first("centers").alias("centers"),
-    )
-    mean = F.slice(F.array(*[F.round(F.col(f"w{j}") / F.col("n"), 9) for j in range(3)]), 1, F.col("width"))
+    weighed = [F.sum(F.get("v", F.lit(j)) * F.col("n")).alias(f"w{j}") for j in range(3)]
+    sums = own.groupBy("image_id", "k", "i").agg(F.sum("n").alias("n"), *weighed, F.first("centers").alias("centers"))
+    mean = F.array(*[F.round(F.col(f"w{j}") / F.col("n"), 9) for j in range(3)])
     told = sums.groupBy("image_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("i", mean.alias("m")))).alias("m"), F.first("centers").alias("old"))
     new = F.transform("old", lambda c, i: F.coalesce(F.try_element_at("m", i), c))
     both = told.select("image_id", "k", "old", new.alias("centers"))
@@ -79,8 +81,8 @@ def palettes(pixels: DataFrame, channels: Sequence[str], tried: Sequence[int] =
     """(image_id, k, silhouette, ord, v): the palette of each picture, from the darkest first channel on.
 
     Of all k in `tried` that with the highest silhouette in nine digits is taken, the smaller of equal ones; a
-    forced number of fabrics is a `tried` of one. Rounds end when no center of any picture moves by `rest` or
-    more. Three channels at most. A picture without a whole pixel has no row."""
+    forced number of fabrics is a `tried` of one. Rounds end when no center of any picture has moved by `rest` or
+    more in the last of five, or after `rounds`. Three channels at most. A picture without a whole pixel has no row."""
     spark = pixels.sparkSession
     if not 1 <= len(channels) <= 3:
         raise ValueError(f"{len(channels)} channels")
@@ -92,10 +94,13 @@ def palettes(pixels: DataFrame, channels: Sequence[str], tried: Sequence[int] =
 
     colors = written(counted(pixels, channels), "colors")
     at = written(started(seeds(colors, max(tried)), tried).withColumn("shift", F.lit(None).cast("double")), "centers_0")
-    for i in range(rounds):
-        at = written(moved(colors, at.drop("shift")), f"centers_{i + 1}")
+    for done in range(0, rounds, LOOKED):
+        for _ in range(min(LOOKED, rounds - done)):
+            at = moved(colors, at.drop("shift"))
+        at = written(at, f"centers_{done + LOOKED}")
         if at.where(F.col("shift") >= rest).isEmpty():
             break
     found = scored(colors, at.drop("shift"))
     best = found.groupBy("image_id").agg(F.min(F.struct((-F.round("silhouette", 9)).alias("s"), "k", "silhouette", "centers")).alias("b"))
-    return best.select("image_id", "b.k", "b.silhouette", F.posexplode(F.array_sort("b.centers")).alias("ord", "v"))
+    found = best.select("image_id", "b.k", "b.silhouette", F.posexplode(F.array_sort("b.centers")).alias("ord", "v"))
+    return found.withColumn("v", F.slice("v", 1, len(channels)))

@@ -36,7 +36,7 @@ def _gray(p: DataFrame) -> DataFrame:
 
 _RASTER = f"""
 depths AS (SELECT model_id, (8 * y + 3) // {SCALE} AS ey, (8 * x + 3) // {SCALE} AS ex, y, x, q.cell_size, band, finished_width AS fw, finished_height AS fh
- FROM quilts q JOIN finished USING (model_id), range(500) AS a(y), range(500) AS b(x)
+ FROM quilts q JOIN finished USING (model_id), range(700) AS a(y), range(700) AS b(x)
  WHERE y < floor(finished_height * {SCALE} / 8.0 + 0.5) AND x < floor(finished_width * {SCALE} / 8.0 + 0.5)),
 rings AS (SELECT *, coalesce(sum(width) OVER (PARTITION BY model_id ORDER BY ord DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inset FROM borders),
 placed AS (SELECT d.*, least(ex, fw - 1 - ex, ey, fh - 1 - ey) AS depth FROM depths d),
