@@ -27,6 +27,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _UNITS = re.compile(r" *[^ ]+| +")
 _MEMO = 1 << 20
+#: Substrings of one size that are looked up at once.
+_PROBED = 1 << 17
 
 
 def _points(texts: list[str]) -> np.ndarray:
@@ -214,46 +216,82 @@ class Encoder:
             self.memo_key[slot[new]], self.memo_value[slot[new]] = key[new], found
         return out
 
+    def _found(self, hashes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
+        """All pieces that end at low or later and before high: end, word, size, id and score, sorted by the first three.
+
+        hashes has a row for each position, a column for each word; a size is one probe for all ends."""
+        ends, rows, sizes, ids, scores = [], [], [], [], []
+        for size, keys in self.m.keys.items():
+            first = max(low, size)
+            if first >= high:
+                continue
+            with np.errstate(over="ignore"):
+                h = (hashes[first:high] - hashes[first - size : high - size] * self.powers[size]).ravel()
+            spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            at = np.flatnonzero(keys[spot] == h)
+            end, row = np.divmod(at, hashes.shape[1])
+            ends.append(end + first)
+            rows.append(row)
+            sizes.append(np.full(len(at), size))
+            ids.append(self.m.ids[size][spot[at]])
+            scores.append(self.m.scores[size][spot[at]])
+        if not ends:
+            return (np.empty(0, np.int64),) * 5
+        found = [np.concatenate(x) for x in (ends, rows, sizes, ids, scores)]
+        order = np.lexsort(found[2::-1])
+        return tuple(x[order] for x in found)
+
     def _words(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of words of one length (a row of code points each): flat, and their number by word."""
+        """Piece ids of words of one length (a row of code points each): flat, and their number by word.
+
+        Of paths of equal value the one whose last piece is the shortest is kept. Pieces are looked up for a
+        block of ends at once, so a word that is alone in its length costs a few calls a character."""
         n, length = points.shape
-        hashes = _prefixes(_char_values(points))
+        hashes = np.ascontiguousarray(_prefixes(_char_values(points)).T)
         value = np.full((length + 1, n), -np.inf)
         value[0] = 0
         last = np.full((length + 1, n), -1, np.int64)
         back = np.zeros((length + 1, n), np.int32)
-        for end in range(1, length + 1):
-            for size in range(1, min(end, self.m.longest) + 1):
-                keys = self.m.keys.get(size)
-                if keys is None:
-                    continue
-                with np.errstate(over="ignore"):
-                    h = hashes[:, end] - hashes[:, end - size] * self.powers[size]
-                spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                found = np.flatnonzero((keys[spot] == h) & (value[end - size] > -np.inf))
-                if not len(found):
+        values, lasts, backs = value.ravel(), last.ravel(), back.ravel()  # views: place * n + word
+        block = max(1, _PROBED // n)
+        for low in range(1, length + 1, block):
+            high = min(low + block, length + 1)
+            end, row, size, piece, score = self._found(hashes, low, high)
+            origin, target = (end - size) * n + row, end * n + row
+            new = np.ones(len(end), bool)
+            new[1:] = target[1:] != target[:-1]
+            heads = np.flatnonzero(new)
+            marks = np.searchsorted(end, np.arange(low, high + 1))
+            firsts = np.searchsorted(heads, marks)
+            for i in range(high - low):
+                a, b = marks[i], marks[i + 1]
+                if a == b:
                     continue
-                ids = self.m.ids[size][spot[found]]
+                worth = values[origin[a:b]]
                 if self.m.is_bpe:
-                    worth = np.zeros(len(found))
-                    inner = np.flatnonzero(last[end - size, found] >= 0)
-                    worth[inner[~self._agree(last[end - size, found[inner]], ids[inner])]] = -np.inf
+                    before = lasts[origin[a:b]]
+                    inner = np.flatnonzero((before >= 0) & (worth > -np.inf))
+                    if len(inner):
+                        worth[inner[~self._agree(before[inner], piece[a:b][inner])]] = -np.inf
                 else:
-                    worth = value[end - size, found] + self.m.scores[size][spot[found]]
-                better = worth > value[end, found]
-                at = found[better]
-                value[end, at], last[end, at], back[end, at] = worth[better], ids[better], size
-        place, rows, steps = np.full(n, length), np.arange(n), []
+                    worth = worth + score[a:b]
+                starts = heads[firsts[i] : firsts[i + 1]] - a
+                best = np.maximum.reduceat(worth, starts)
+                hit = np.flatnonzero((worth == np.repeat(best, np.diff(starts, append=b - a))) & (worth > -np.inf))
+                spot = target[a:b][hit]
+                one = np.ones(len(hit), bool)
+                one[1:] = spot[1:] != spot[:-1]
+                hit, spot = hit[one], spot[one]
+                values[spot], lasts[spot], backs[spot] = worth[hit], piece[a:b][hit], size[a:b][hit]
+        place, rows = np.full(n, length), np.arange(n)
+        used = np.zeros((n, length + 1), bool)
         while len(rows):
-            ids = last[place[rows], rows]
-            if (ids < 0).any():
+            used[rows, place] = True
+            if (last[place, rows] < 0).any():
                 raise ValueError("a word has no encoding")
-            steps.append((rows, ids))
-            place[rows] -= back[place[rows], rows]
-            rows = rows[place[rows] > 0]
-        row = np.concatenate([r for r, _ in steps[::-1]])
-        order = np.argsort(row, kind="stable")
-        return np.concatenate([i for _, i in steps[::-1]])[order], np.bincount(row, minlength=n)
+            place = place - back[place, rows]
+            rows, place = rows[place > 0], place[place > 0]
+        return last.T[used], used.sum(1)
 
     def _bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters outside the vocabulary (numbers beyond it) as byte pieces, or as the unknown piece."""

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import struct
 import zipfile
 from collections import Counter
 
@@ -44,6 +45,18 @@ def test_pieces_equal_the_library(model):
     assert [decoder.decode(x) for x in ids] == texts
 
 
+def test_long_runs_are_read_in_blocks(model, monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    rng = random.Random(2)
+    texts = ["a" * 5000, "ab" * 1500, "".join(rng.choice("etaoinshrdluABC012") for _ in range(5000)), "e" * 5000, "the cat", ""]
+    expected = library.encode(texts)
+    for probed in (1 << 17, 50, 1):
+        monkeypatch.setattr(pieces, "_PROBED", probed)
+        assert [x.tolist() for x in pieces.Encoder(model).encode(texts)] == expected
+
+
 def test_unigram_takes_the_best_sum():
     m = object.__new__(pieces.Model)
     names, scores = ["a", "b", "ab", "ba", "aba"], [-1.0, -1.0, -1.5, -5.0, -9.0]
@@ -100,6 +113,14 @@ def test_directories_of_both_kinds():
         assert list(warc.ranges(f, [(m.start, m.size) for m in members])) == [b"a" * 1000, b"b/c" * 1000]
     with pytest.raises(ValueError, match="ZIP"):
         warc.directory(io.BytesIO(b"nothing"), 7)
+    # the same package with a ZIP64 end record and its locator, the plain end record holding no numbers
+    end = data.rindex(b"PK\x05\x06")
+    length, start = (int.from_bytes(data[end + k : end + k + 4], "little") for k in (12, 16))
+    wide_end = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, 2, 2, length, start)
+    locator = struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1)
+    data = data[:end] + wide_end + locator + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    f = io.BytesIO(data)
+    assert list(warc.ranges(f, [(m.start, m.size) for m in warc.directory(f, len(data))])) == [b"a" * 1000, b"b/c" * 1000]
     wide = (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + b"".join(x.to_bytes(8, "little") for x in (5, 6, 7 << 33))
     assert warc._wide(wide, 0xFFFFFFFF, 0xFFFFFFFF, 0xFFFFFFFF) == (5, 6, 7 << 33)
 
@@ -469,6 +490,10 @@ def test_names_that_clash(spark, documents):
     assert warc.round_trip(pages).count() == 1
     vectors = spark.createDataFrame([(0, [1.0], 1), (1, [0.5], 2)], "vec_id long, embedding array<double>, Rank int")
     assert topk.search(vectors, F.col("vec_id") == 0).count() == 1
+    sizes = pieces.load(queries.PIECE_MODEL)
+    encoded = pieces.encode(docs, sizes)
+    assert encoded.count() == pieces.decode(encoded, sizes).count() == pieces.round_trip(docs, sizes).count() == 3
+    assert "piece_ids" in encoded.columns and "Piece_Ids" not in encoded.columns
 
 
 #: The columns each query returns at least.
