@@ -63,3 +63,15 @@ def test_unknown_strategies_are_refused(spark):
 def test_cover_takes_the_largest_rectangle_first():
     grid = [list("aab"), list("aab"), list("ccb")]
     assert construction.cover(grid) == [(0, 0, 2, 2, "a"), (0, 2, 3, 1, "b"), (2, 0, 1, 2, "c")]
+
+
+def test_models_are_dealt_by_key_and_never_broadcast(spark):
+    """A table that is exploded from a small file is large, whatever Spark takes it for."""
+    suppliers = spark.createDataFrame([(k, k % 25) for k in range(50)], "s_suppkey long, s_nationkey int").coalesce(1)
+    m = grids.from_suppliers(suppliers)
+    both = m.quilts.join(m.cells, "model_id")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert m.cells.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # nothing is shuffled but the rows of the suppliers, before they are exploded
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2
