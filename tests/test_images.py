@@ -324,3 +324,49 @@ def test_a_slanted_photo_gives_its_grid_back(spark):
     grid = lattice.grids(lattice.edge_profiles(gray), spark.createDataFrame([("q", row["warp"], None, None, None, None, None)], "image_id string, warp double, period_x double, period_y double, lattice_x double, lattice_y double, lattice_snr double")).first()
     assert len(grid["boundaries_x"]) == 10 and len(grid["boundaries_y"]) == 8
     assert quads.warped(inner, maps, fill=None).count() < 170 * 130
+
+
+def _above_pixels(df) -> str:
+    """The part of the plan that reads pixels: what lies above the step that makes them."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[: plan.index("explode(sequence(x0")]
+
+
+def test_cloth_is_drawn_at_once_without_a_shuffle_of_pixels(spark):
+    m = grids.authored(spark)
+    key = F.length("model_id").cast("long")
+    slow = pictures.textured(pictures.raster(m, 4), pictures.cell_places(m, 4), key, 42)
+    sized = pictures.cloth(m, 4, key, 42, pictures.sides(m, 4))
+    fast = pictures.cloth(m, 4, key, 42)
+    assert fast.count() == slow.count() > 0
+    assert fast.exceptAll(slow).isEmpty() and sized.drop("w", "h").exceptAll(slow).isEmpty()
+    wrong = sized.groupBy("model_id").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.max("w").alias("w"), F.max("h").alias("h")).where("x + 1 <> w or y + 1 <> h")
+    assert wrong.isEmpty()
+    seen = _above_pixels(fast.groupBy("model_id", "y").agg(F.sum("red")))
+    assert "Exchange" not in seen and "Join" not in seen
+
+
+def test_lit_and_folded_pictures_take_what_pixels_bring(spark):
+    m = grids.authored(spark, ("tiny", "mini"))
+    key = F.length("model_id").cast("long")
+    told = pictures.cloth(m, 4, key, 42, pictures.sides(m, 4).withColumns(pictures.lighting(key, 42)))
+    bare = told.select("model_id", "y", "x", *pictures.RGB)
+    kept = pictures.lit_from(pictures.folded(told, key, 42), key, 42)
+    plain = pictures.lit_from(pictures.folded(bare, key, 42), key, 42)
+    assert kept.select(*plain.columns).exceptAll(plain).isEmpty() and kept.count() == plain.count() > 0
+    assert "Exchange" not in _above_pixels(kept) and "Join" not in _above_pixels(kept)
+
+
+def test_pixels_with_sides_have_the_same_profiles_and_one_draft(spark):
+    m = grids.authored(spark)
+    pixels = pictures.cloth(m, 4, F.length("model_id").cast("long"), 42, pictures.sides(m, 4)).withColumnRenamed("model_id", "image_id").withColumn("gray", F.col("red"))
+    mine, counted = (lattice.edge_profiles(p, tile=16) for p in (pixels, pixels.drop("w", "h")))
+    assert mine.exceptAll(counted).isEmpty() and mine.count() == counted.count() > 0
+    assert mine._jdf.queryExecution().executedPlan().toString().count("explode(sequence(x0") == 1
+
+
+def test_boxes_of_cells_hold_their_pixels(spark):
+    m = grids.authored(spark)
+    old = pictures.cell_places(m, 4).groupBy("model_id", "r", "c").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
+    new = pictures.cell_boxes(m, 4).drop("fabric_id")
+    assert new.exceptAll(old.select(*new.columns)).isEmpty() and new.count() == old.count() > 0
