@@ -24,10 +24,10 @@ def dims(cells: DataFrame) -> DataFrame:
 
 def block_signatures(cells: DataFrame) -> DataFrame:
     """(model_id, p, br, bc, sig): the content of each p x p block, for every p > 1 that divides both sides."""
-    size = dims(cells)
-    p = F.explode(F.sequence(F.lit(2), F.greatest(F.least("rows", "cols"), F.lit(2)))).alias("p")
-    candidates = size.select("model_id", "rows", "cols", p).where((F.col("rows") % F.col("p") == 0) & (F.col("cols") % F.col("p") == 0))
-    placed = cells.join(candidates.select("model_id", "p"), "model_id")
+    whole = W.partitionBy("model_id")
+    sized = cells.where("model_id is not null").select("model_id", "r", "c", "fabric_id", (F.max("r").over(whole) + 1).alias("rows"), (F.max("c").over(whole) + 1).alias("cols"))
+    divisors = F.filter(F.sequence(F.lit(2), F.greatest(F.least("rows", "cols"), F.lit(2))), lambda p: (F.col("rows") % p == 0) & (F.col("cols") % p == 0))
+    placed = sized.select("model_id", "r", "c", "fabric_id", F.explode(divisors).alias("p"))
     place = F.struct(F.col("r") % F.col("p"), F.col("c") % F.col("p"))
     keys = ["model_id", "p", int_div(F.col("r"), F.col("p")).alias("br"), int_div(F.col("c"), F.col("p")).alias("bc")]
     return placed.groupBy(*keys).agg(_sorted_text(place, F.col("fabric_id"), ",").alias("sig"))
@@ -36,19 +36,20 @@ def block_signatures(cells: DataFrame) -> DataFrame:
 def block_layout(cells: DataFrame) -> DataFrame:
     """(model_id, size, br, bc, type, sig): the smallest block size with at most 8 different blocks, which are
     numbered by first appearance in reading order. Models without such a size have no rows."""
-    blocks = block_signatures(cells)
-    # p is bounded by the grid's side, so counting comes before anything is ordered
-    sizes = blocks.groupBy("model_id", "p").agg(F.countDistinct("sig").alias("types")).where(F.col("types") <= MOST_TYPES)
-    chosen = sizes.groupBy("model_id").agg(F.min("p").alias("p"))
-    kept = blocks.join(chosen, ["model_id", "p"])
-    first = kept.groupBy("model_id", "sig").agg(F.min(F.struct("br", "bc")).alias("first"))
-    number = first.withColumn("type", F.row_number().over(W.partitionBy("model_id").orderBy("first")) - 1).drop("first")
-    return kept.join(number, ["model_id", "sig"]).select("model_id", F.col("p").alias("size"), "br", "bc", "type", "sig")
+    # windows within a model, in place of joins of the blocks with what is counted of them: blocks are made once, and stay
+    # where their model is
+    blocks, model, place = block_signatures(cells), W.partitionBy("model_id"), F.struct("br", "bc")
+    ranked = blocks.withColumn("types", F.dense_rank().over(W.partitionBy("model_id", "p").orderBy("sig")))
+    counted = ranked.withColumn("types", F.max("types").over(W.partitionBy("model_id", "p"))).where(F.col("types") <= MOST_TYPES)
+    kept = counted.withColumn("size", F.min("p").over(model)).where("p = size")
+    first = kept.withColumn("first", F.min(place).over(W.partitionBy("model_id", "sig")))
+    number = F.dense_rank().over(model.orderBy("first")) - 1
+    return first.select("model_id", "size", "br", "bc", number.alias("type"), "sig").hint("merge")
 
 
 def types_of(layout: DataFrame) -> DataFrame:
     """(model_id, size, type, sig, count) of a block layout."""
-    return layout.groupBy("model_id", "size", "type", "sig").agg(F.count("*").alias("count"))
+    return layout.groupBy("model_id", "size", "type", "sig").agg(F.count("*").alias("count")).hint("merge")
 
 
 def block_types(cells: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def strip_sets(types: DataFrame, quilts: DataFrame) -> DataFrame:
     sets = sums.withColumn("set", F.row_number().over(W.partitionBy("model_id").orderBy("first"))).drop("first")
     width = F.col("cell_size") + 2 * F.col("seam_allowance")
     sized = sets.join(quilts.select("model_id", width.alias("width"), "wof"), "model_id").withColumn("per_set", int_div(F.col("wof"), F.col("width")))
-    return sized.select("model_id", "set", "sequence", "width", "needed", "per_set", ceil_div(F.col("needed"), F.col("per_set")).alias("sets"))
+    return sized.select("model_id", "set", "sequence", "width", "needed", "per_set", ceil_div(F.col("needed"), F.col("per_set")).alias("sets")).hint("merge")
 
 
 def lines(cells: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from gridloom import catalog
+from gridloom.operators import structure
 from gridloom.plans import construction
 from gridloom.sources import grids
 
@@ -75,3 +76,20 @@ def test_models_are_dealt_by_key_and_never_broadcast(spark):
     assert m.cells.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     # nothing is shuffled but the rows of the suppliers, before they are exploded
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2
+
+
+@pytest.mark.parametrize("name", ["areas_reconciled", "metrics_modern", "assembly_strip", "assembly_historical"])
+def test_plans_broadcast_nothing(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(8 * 10**18))  # whatever may be broadcast is
+    try:
+        plan = __spark_entry__.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastExchange" not in plan
+
+
+def test_block_layouts_shuffle_cells_once(spark):
+    cells = spark.range(400).selectExpr("'m' || id div 100 as model_id", "int(id % 100 div 10) as r", "int(id % 10) as c", "'f' || id % 3 as fabric_id")
+    plan = structure.block_layout(cells)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
