@@ -33,7 +33,7 @@ def sections(p: Plan) -> DataFrame:
     m = p.models
     names = m.fabrics.select("model_id", "fabric_id", F.col("name").alias("fabric_name"))
     size = sizing.finished_columns(m.quilts, m.borders).select("model_id", "finished_width", "finished_height", "binding_length")
-    q = m.quilts.join(size, "model_id")
+    q = m.quilts.join(size, "model_id").hint("merge")
     lines = construction.purchase(p)
     parts = []
 

@@ -50,7 +50,7 @@ def cut_list_markdown(plan: Plan) -> DataFrame:
     row = _row(F.concat(F.lit("SS"), F.col("set").cast("string")), F.array_join("sequence", " "), shown(F.col("width")), F.col("sets"), F.col("per_set"), F.col("needed"))
     chart = plan.sets.join(plan.models.quilts.select("model_id", "cell_size", "seam_allowance"), "model_id").groupBy("model_id").agg(_in_order(F.col("set"), row).alias("rows"), F.max(F.col("cell_size") + 2 * F.col("seam_allowance")).alias("segment"))
     end = F.concat(F.lit("\nCrosscut every set at "), shown(F.col("segment")), F.lit("."))
-    chart = chart.select("model_id", F.concat(F.array(F.lit("## Strip cutting chart"), F.lit(""), *map(F.lit, _CHART)), F.col("rows"), F.array(end, F.lit(""))).alias("chart"))
+    chart = chart.select("model_id", F.concat(F.array(F.lit("## Strip cutting chart"), F.lit(""), *map(F.lit, _CHART)), F.col("rows"), F.array(end, F.lit(""))).alias("chart")).hint("merge")
     head = F.array(F.concat(F.lit("# Cut list - "), F.col("name"), F.lit(f" ({plan.strategy} strategy)")), F.lit(""))
     every = plan.models.quilts.select("model_id", "name").join(body, "model_id", "left").join(chart, "model_id", "left")
     none = F.array().cast("array<string>")
@@ -78,7 +78,7 @@ def settings_summary(plan: Plan, lines: DataFrame) -> DataFrame:
     bought = lines.groupBy("model_id").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("purpose") == "top", F.struct(F.col("ord").alias("k"), top.alias("v"))))), lambda x: x["v"]).alias("tops"),
         *[F.min(F.when(F.col("purpose") == p, F.struct("ord", yards.alias("v"))))["v"].alias(p) for p in ("binding", "backing")],
-    )
+    ).hint("merge")
     q = m.quilts.join(size.drop("cell_size", "rows", "cols", "name"), "model_id").join(bands, "model_id", "left").join(bought, "model_id", "left")
     batting = F.concat(shown(F.col("batting_width")), F.lit(" × "), shown(F.col("batting_height")), F.lit(" ("), quarters_shown(ceil_div(F.col("batting_height"), QUARTER_YARD)), F.lit(" yd)"))
     tops = F.coalesce("tops", F.array().cast("array<string>"))
