@@ -1,6 +1,7 @@
 """Pictures, palettes and grids against plain versions, and on odd pictures."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -370,3 +371,47 @@ def test_boxes_of_cells_hold_their_pixels(spark):
     old = pictures.cell_places(m, 4).groupBy("model_id", "r", "c").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
     new = pictures.cell_boxes(m, 4).drop("fabric_id")
     assert new.exceptAll(old.select(*new.columns)).isEmpty() and new.count() == old.count() > 0
+
+
+@pytest.mark.parametrize("fill", [(64, 64, 64), None])
+def test_warps_send_tiles_and_agree_with_a_plain_warp(spark, fill):
+    from gridloom.operators import quads
+
+    rng = np.random.default_rng(5)
+    old = rng.integers(0, 256, (37, 45))
+    old[20:30, 18:22] = -1  # pixels that are missing
+    rows = [("p", y, x, int(v), int(255 - v), 7) for (y, x), v in np.ndenumerate(old) if v >= 0]
+    pixels = spark.createDataFrame(rows, "image_id string, y long, x long, red int, green int, blue int")
+    h = [0.8, 0.15, -4.0, -0.1, 0.9, 3.0, 0.001, 0.002]
+    maps = spark.createDataFrame([("p", h, 50, 41), ("none", h, 20, 20)], "image_id string, h array<double>, wide long, high long")
+    new = quads.warped(pixels, maps, fill, tile=16)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "inline(" not in plan and "BroadcastExchange" not in plan  # no pixel becomes four rows, and no tile goes through the driver
+    want = {}
+    for y in range(41):
+        for x in range(50):
+            below = h[6] * x + h[7] * y + 1
+            sx, sy = round((h[0] * x + h[1] * y + h[2]) / below, 6), round((h[3] * x + h[4] * y + h[5]) / below, 6)
+            fx, fy = math.floor(sx), math.floor(sy)
+            total, share = 0.0, 0.0
+            for oy, ox, w in [(fy + j, fx + i, ((sx - fx) if i else 1 - sx + fx) * ((sy - fy) if j else 1 - sy + fy)) for j in (0, 1) for i in (0, 1)]:
+                there = 0 <= oy < 37 and 0 <= ox < 45 and old[oy, ox] >= 0
+                total, share = total + w * (old[oy, ox] if there else 64 if fill else 0), share + (w if there else 0)
+            if fill or share > 0:
+                want["p", y, x] = math.floor(round(total / (1 if fill else share), 6) + 0.5)
+    if fill:
+        want |= {("none", y, x): 64 for y in range(20) for x in range(20)}
+    found = {(r["image_id"], r["y"], r["x"]): r["red"] for r in new.collect()}
+    assert found == want
+
+
+def test_runs_are_made_before_they_are_sent(spark):
+    import pandas as pd
+
+    from gridloom.operators import quads
+
+    spots = pd.DataFrame({"image_id": ["a"] * 41, "y": [3] * 41, "x": [*range(40), 39]})
+    sent = pd.concat(quads._fused([spots], 32))
+    assert sent[["tx", "x0", "x1"]].values.tolist() == [[0, 0, 31], [1, 32, 39], [1, 39, 39]]
+    runs = quads.parts(spark.createDataFrame(spots), tile=32).collect()
+    assert sorted((r["x0"], r["x1"]) for r in runs) == [(0, 31), (32, 39)] and len({r["part"] for r in runs}) == 1
