@@ -93,3 +93,9 @@ def test_block_layouts_shuffle_cells_once(spark):
     cells = spark.range(400).selectExpr("'m' || id div 100 as model_id", "int(id % 100 div 10) as r", "int(id % 10) as c", "'f' || id % 3 as fabric_id")
     plan = structure.block_layout(cells)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_tasks_of_models_follow_the_suppliers(spark, monkeypatch):
+    monkeypatch.setattr(grids, "TASK_MODELS", 10)
+    m = grids.from_suppliers(spark.range(100).selectExpr("id as s_suppkey", "int(id % 5) as s_nationkey"))
+    assert m.cells.rdd.getNumPartitions() == 10 and m.quilts.count() == 100

@@ -415,3 +415,13 @@ def test_runs_are_made_before_they_are_sent(spark):
     assert sent[["tx", "x0", "x1"]].values.tolist() == [[0, 0, 31], [1, 32, 39], [1, 39, 39]]
     runs = quads.parts(spark.createDataFrame(spots), tile=32).collect()
     assert sorted((r["x0"], r["x1"]) for r in runs) == [(0, 31), (32, 39)] and len({r["part"] for r in runs}) == 1
+
+
+def test_tasks_of_pixels_follow_the_pictures(spark, monkeypatch):
+    m = grids.from_suppliers(spark.range(12).selectExpr("id as s_suppkey", "int(id % 5) as s_nationkey"))
+    whole = pictures.raster(m, 6)
+    n, rows = whole.count(), {tuple(r) for r in whole.groupBy("model_id", "y").agg(F.sum("red"), F.count("*")).collect()}
+    monkeypatch.setattr(pictures, "TASK_PIXELS", n // 20)
+    more = pictures.raster(m, 6)
+    assert more.rdd.getNumPartitions() >= 20
+    assert {tuple(r) for r in more.groupBy("model_id", "y").agg(F.sum("red"), F.count("*")).collect()} == rows
