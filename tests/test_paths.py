@@ -44,6 +44,32 @@ def test_strokes_and_crossed_edges(spark):
     assert paths.strokes(table.limit(0)).count() == 0
 
 
+def test_walks_with_gaps_equal_plain_ones_and_are_dealt_in_small_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    paths_of = {k: [(i * 3, *((None, None) if rng.random() < 0.2 else (rng.randrange(-3, 6), rng.randrange(5)))) for i in range(rng.randrange(1, 40))] for k in range(30)}
+    cells, edges = {}, {}
+    for k, stops in paths_of.items():
+        known = [None, *[s if s[1] is not None else None for s in stops], None]
+        # a sample between gaps is its cell
+        lines = [(at, to or at) for before, at, to in zip(known, known[1:], known[2:]) if at and (to or not before)]
+        walk = [cell for a, b in lines for cell in plain_line(*a[1:], *b[1:])]
+        cells[k] = list(dict.fromkeys(walk))
+        met = [(min(a[0], b[0]), min(a[1], b[1]), "v" if a[0] == b[0] else "h") for a, b in zip(walk, walk[1:]) if abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1]
+        edges[k] = list(dict.fromkeys(met))
+    table = spark.createDataFrame([(k, *s) for k, stops in paths_of.items() for s in stops], "path_id int, place int, r int, c int")
+    monkeypatch.setattr(paths, "TASK_SAMPLES", 50, raising=False)
+    for of, expected in ((paths.strokes, cells), (paths.crossed, edges)):
+        found = {k: [] for k in paths_of}
+        rows = of(table)
+        for x in rows.orderBy("path_id", "ord").collect():
+            assert x["ord"] == len(found[x["path_id"]])
+            found[x["path_id"]].append(tuple(x[2:]))
+        assert found == expected
+        # tasks follow the samples, and cells met again are not sorted
+        assert rows.rdd.getNumPartitions() >= table.count() / 50
+        assert "SortAggregate" not in rows._jdf.queryExecution().toString()
+
+
 def plain_claims(grid):
     rows, cols, taken, out = len(grid), len(grid[0]), set(), []
     for r in range(rows):
