@@ -6,8 +6,13 @@ spread alike. Palettes and boundaries are small by nature, an array a row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,53 +144,65 @@ def palette_fidelity(truth: DataFrame, recovered: DataFrame) -> DataFrame:
     return models.join(worst, "model_id", "left").select("model_id", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
 
 
-def twice_area(polygon: Column) -> Column:
-    """Twice the signed area of an array of points (x, y)."""
-    n = F.size(polygon)
-    terms = F.transform(polygon, lambda p, i: p["x"] * F.get(polygon, (i + 1) % n)["y"] - F.get(polygon, (i + 1) % n)["x"] * p["y"])
-    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-
-
-def _kept(value: Column, then) -> Column:
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def _half(polygon: Column, a: Column, b: Column) -> Column:
-    """The part of a convex polygon on the left of the line from a to b: kept corners, and where sides cross it."""
-
-    def side(p: Column) -> Column:
-        return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
-
-    def corner(p: Column, i: Column) -> Column:
-        def with_last(q: Column) -> Column:
-            s, t = side(q), side(p)
-            cut = F.struct((q["x"] + s / (s - t) * (p["x"] - q["x"])).alias("x"), (q["y"] + s / (s - t) * (p["y"] - q["y"])).alias("y"))
-            none = F.array().cast("array<struct<x: double, y: double>>")
-            return F.concat(F.when((s >= 0) != (t >= 0), F.array(cut)).otherwise(none), F.when(t >= 0, F.array(p)).otherwise(none))
-
-        return _kept(F.get(polygon, F.pmod(i - 1, F.size(polygon))), with_last)
-
-    return F.flatten(F.transform(polygon, corner))
+def _twice_areas(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Twice the signed areas of polygons, a column each with `size` corners from the top."""
+    slot = np.arange(len(x))[:, None]
+    u, v = (np.where(slot == size - 1, a[0], np.roll(a, -1, axis=0)) for a in (x, y))
+    terms = np.where(slot < size, x * v - u * y, 0.0)
+    total = np.zeros(x.shape[1])
+    for term in terms:  # in the order of the corners
+        total = total + term
+    return total
+
+
+def _half(x: np.ndarray, y: np.ndarray, size: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of convex polygons on the left of the line from a to b: kept corners, and where sides cross it."""
+    there = np.arange(len(x))[:, None] < size
+    t = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+    last, each = np.maximum(size - 1, 0), np.arange(len(size))
+
+    def before(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([v[last, each][None], v[:-1]])
+
+    s, u, v = before(t), before(x), before(y)
+    # as in SQL, what is no number counts as large
+    kept, were = ~(t < 0), ~(s < 0)
+    way = s / (s - t)
+    new = np.stack([(kept != were) & there, kept & there], axis=1).reshape(-1, len(size))
+    cx, cy = (np.stack([o + way * (c - o), c], axis=1).reshape(-1, len(size)) for o, c in ((u, x), (v, y)))
+    place, left = np.cumsum(new, axis=0) - 1, new.sum(axis=0)
+    spot = np.nonzero(new)
+    out = np.zeros((2, max(int(left.max(initial=0)), 1), len(size)))
+    out[0, place[spot], spot[1]], out[1, place[spot], spot[1]] = cx[spot], cy[spot]
+    return out[0], out[1], left
+
+
+def _overlaps(*corners: pd.Series) -> pd.Series:
+    """quad_overlap of many pairs at once; corners are x and y of the first quads' corners, then of the second's."""
+    points = np.stack([c.to_numpy(float) for c in corners])
+    four = np.full(points.shape[1], 4)
+    with np.errstate(all="ignore"):
+        turned = []
+        for x, y in ((points[0:8:2], points[1:8:2]), (points[8::2], points[9::2])):
+            back = _twice_areas(x, y, four) < 0
+            x, y = np.where(back, x[::-1], x), np.where(back, y[::-1], y)
+            turned.append((x, y, _twice_areas(x, y, four)))
+        (x, y, area), (u, v, other) = turned
+        size = four
+        for i in range(4):
+            j = (i + 1) % 4
+            x, y, size = _half(x, y, size, u[i], v[i], u[j], v[j])
+        inner = np.where(size >= 3, np.abs(_twice_areas(x, y, size)), 0.0)
+        return pd.Series(np.where((area <= 0) | (other <= 0), 0.0, inner / (area + other - inner)))
 
 
 def quad_overlap(one: Column, two: Column) -> Column:
-    """Intersection over union of two convex quads (arrays of four points, in either turn); 0 if one has no area."""
-
-    def turned(q: Column) -> Column:
-        return F.when(twice_area(q) < 0, F.reverse(q)).otherwise(q)
-
-    def cut_at(i: int, q: Column):
-        return lambda p: _half(p, F.get(q["b"], F.lit(i)), F.get(q["b"], F.lit((i + 1) % 4)))
-
-    def both(q: Column) -> Column:
-        cut = q["a"]
-        for i in range(4):
-            cut = _kept(cut, cut_at(i, q))
-        area_a, area_b = twice_area(q["a"]), twice_area(q["b"])
-        inner = _kept(cut, lambda p: F.when(F.size(p) >= 3, F.abs(twice_area(p))).otherwise(0.0))
-        return F.when((area_a <= 0) | (area_b <= 0), 0.0).otherwise(_kept(inner, lambda x: x / (area_a + area_b - x)))
-
-    return _kept(F.struct(turned(one).alias("a"), turned(two).alias("b")), both)
+    """Intersection over union of two convex quads (arrays of four points, in either turn); 0 if one has no area, null if
+    a corner is missing otherwise. Quads are cut by each other's sides many at a time, as sixteen numbers a row."""
+    corners = [F.get(q, F.lit(i))[c].cast("double") for q in (one, two) for i in range(4) for c in ("x", "y")]
+    missing = reduce(or_, [c.isNull() for c in corners])
+    # what is no number comes back as null
+    return F.coalesce(F.pandas_udf(_overlaps, "double")(*corners), F.when(~missing, F.lit(math.nan)))
 
 
 def whole_ratio(period: Column, pitch: Column) -> tuple[Column, Column]:
