@@ -83,6 +83,29 @@ def test_palettes_equal_plain_kmeans(spark, tried):
     assert clusters.palettes(pixels.limit(0), ("l", "a", "b")).count() == 0
 
 
+def test_rounds_read_blocks_of_colors_and_sort_none(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"p{i}", [float(v) for v in rng.integers(0, 40, 3)], int(rng.integers(1, 9))) for i in range(3) for _ in range((400, 7, 1)[i])]
+    colors = spark.createDataFrame(rows, "image_id string, v array<double>, n long").groupBy("image_id", "v").agg(F.sum("n").alias("n"))
+    start = clusters.started(clusters.seeds(colors))
+    found = clusters.moved(colors, start)
+    blocks = clusters.packed(colors, 16).collect()
+    assert sorted((b["image_id"], list(v), n) for b in blocks for *v, n in zip(b["v0"], b["v1"], b["v2"], b["n"])) == sorted((r["image_id"], r["v"], r["n"]) for r in colors.collect())
+    assert max(len(b["n"]) for b in blocks) <= 64 and len(blocks) > 10
+    own = {}
+    for r in colors.collect():
+        own.setdefault(r["image_id"], []).append((np.array(r["v"]), r["n"]))
+    centers = {(r["image_id"], r["k"]): r["centers"] for r in start.collect()}
+    split = {(r["image_id"], r["k"]): r for r in clusters._moved(clusters.packed(colors, 16), start).collect()}
+    assert {(r["image_id"], r["k"]): r["centers"] for r in found.collect()} == {k: r["centers"] for k, r in split.items()} and set(split) == set(centers)
+    for (image, k), old in centers.items():
+        near = [int(np.argmin([((v - c) ** 2).sum() for c in np.array(old)])) for v, _ in own[image]]
+        for i, c in enumerate(old):
+            mine = [(v, n) for (v, n), j in zip(own[image], near) if j == i]
+            mean = sum(v * n for v, n in mine) / sum(n for _, n in mine) if mine else c
+            assert split[image, k]["centers"][i] == pytest.approx(mean, abs=1e-8)
+
+
 # --- profiles and grids --------------------------------------------------------------------------------------
 
 
